@@ -144,7 +144,7 @@ def report(source: str = "long", name: str = "report", keys: str = "field") -> s
 def scored(source: str = "long", rep: str = "report", name: str = "scored", keys: str = "field") -> str:
     return f"""{name} AS (
   SELECT {keys}, n, n_correct, n_correct / n AS accuracy, f1_macro
-  FROM (SELECT {keys}, count(*) AS n, count_if(coalesce(t = p, false)) AS n_correct FROM {source} GROUP BY {keys})
+  FROM (SELECT {keys}, count(*) AS n, count(*) FILTER (WHERE coalesce(t = p, false)) AS n_correct FROM {source} GROUP BY {keys})
   JOIN (SELECT {keys}, avg(f1) AS f1_macro FROM {rep} GROUP BY {keys}) USING ({keys}))"""
 
 
@@ -353,7 +353,7 @@ ORACLE: dict[str, str] = {
     # labels
     "dataset_profile": f"""WITH {AP} SELECT 'rows' AS metric, count(*) AS value FROM ap
       UNION ALL SELECT 'classes_' || lower(field), count(DISTINCT label) FROM ({fields('ap')}) GROUP BY field""",
-    "null_label_counts": f"""WITH {AP}, {GAPS} SELECT field, count_if(label IS NULL) AS n_null FROM ({fields('gaps')}) GROUP BY field""",
+    "null_label_counts": f"""WITH {AP}, {GAPS} SELECT field, count(*) FILTER (WHERE label IS NULL) AS n_null FROM ({fields('gaps')}) GROUP BY field""",
     "label_vocab": f"WITH {AP}, {vocabulary('ap')} SELECT field, label, idx FROM vocab",
     "encoded_labels": f"""WITH {AP}, {GAPS}, {vocabulary('gaps')}
       SELECT line_id, coalesce(n.idx, -1) AS "NOMINAL_idx", coalesce(d.idx, -1) AS "DEPARTMENT_idx", coalesce(t.idx, -1) AS "TC_idx"
@@ -435,8 +435,8 @@ ORACLE: dict[str, str] = {
     "class_report": f"""WITH {SCORED} SELECT field, label, tp, fp, fn, tp + fn AS support, round(precision, 6) AS precision,
       round(recall, 6) AS recall, round(f1, 6) AS f1 FROM report""",
     "sample_f1": f"WITH {PREDICTIONS} SELECT round(avg((3 - ({N_WRONG})) / 3), 6) AS sample_wise_f1, count(*) AS n FROM pred",
-    "error_rate": f"""WITH {PREDICTIONS} SELECT count(*) AS n, count_if(({N_WRONG}) > 0) AS n_errors,
-      round(count_if(({N_WRONG}) > 0) / count(*), 6) AS error_rate FROM pred""",
+    "error_rate": f"""WITH {PREDICTIONS} SELECT count(*) AS n, count(*) FILTER (WHERE ({N_WRONG}) > 0) AS n_errors,
+      round(count(*) FILTER (WHERE ({N_WRONG}) > 0) / count(*), 6) AS error_rate FROM pred""",
     "metrics_with_gaps": f"""WITH {PREDICTIONS}, holes AS (SELECT * REPLACE (
         CASE WHEN substr(md5(line_id), 32, 1) <> '0' THEN true_nominal END AS true_nominal,
         CASE WHEN substr(md5(line_id), 32, 1) <> '1' THEN pred_nominal END AS pred_nominal) FROM pred),
@@ -448,7 +448,7 @@ ORACLE: dict[str, str] = {
     "error_report": f"""WITH {PREDICTIONS} SELECT detail, supplier, true_nominal, pred_nominal, true_department, pred_department,
       true_tc, pred_tc FROM pred WHERE ({N_WRONG}) > 0""",
     "error_field_shares": f"""WITH {PREDICTIONS}, {long()}, e AS (SELECT count(*) AS total FROM pred WHERE ({N_WRONG}) > 0)
-      SELECT field, count_if(t <> p) AS n_wrong, any_value(total) AS n_error_rows, round(count_if(t <> p) / any_value(total), 6) AS share
+      SELECT field, count(*) FILTER (WHERE t <> p) AS n_wrong, any_value(total) AS n_error_rows, round(count(*) FILTER (WHERE t <> p) / any_value(total), 6) AS share
       FROM long, e GROUP BY field""",
     "wrong_field_histogram": f"WITH {PREDICTIONS} SELECT CAST({N_WRONG} AS BIGINT) AS n_wrong, count(*) AS n_rows FROM pred WHERE ({N_WRONG}) > 0 GROUP BY 1",
     "supplier_errors": f"""WITH {PREDICTIONS}, wrong AS (
@@ -458,10 +458,10 @@ ORACLE: dict[str, str] = {
       SELECT supplier, count(DISTINCT line_id) AS n_error_rows, count(*) AS n_wrong_labels, count(DISTINCT (field, t, p)) AS n_confusions,
         count(DISTINCT (field, t, p)) FILTER (field = 'department') AS n_department_confusions FROM wrong GROUP BY supplier""",
     "majority_collapse": f"""WITH {SCORED}, m AS (SELECT CASE field WHEN 'NOMINAL' THEN 'nominal' WHEN 'DEPARTMENT' THEN 'department' ELSE 'tc' END AS field,
-        label AS majority_label FROM overall), e AS (SELECT field, majority_label, count(*) AS n_errors, count_if(p = majority_label) AS n_to_majority
+        label AS majority_label FROM overall), e AS (SELECT field, majority_label, count(*) AS n_errors, count(*) FILTER (WHERE p = majority_label) AS n_to_majority
         FROM long JOIN m USING (field) WHERE t <> p GROUP BY ALL)
       SELECT field, majority_label, n_errors, n_to_majority, round(n_to_majority / n_errors, 6) AS share_to_majority, n_classes, n_zero_f1
-      FROM e JOIN (SELECT field, count(*) AS n_classes, count_if(f1 = 0) AS n_zero_f1 FROM report GROUP BY field) USING (field)""",
+      FROM e JOIN (SELECT field, count(*) AS n_classes, count(*) FILTER (WHERE f1 = 0) AS n_zero_f1 FROM report GROUP BY field) USING (field)""",
     # comparing runs
     "leaderboard": f"""WITH {RESULTS} SELECT experiment, method, is_baseline, run_order, round(f1_macro, 6) AS f1_macro, round(accuracy, 6) AS accuracy,
       round(sample_wise_f1, 6) AS sample_wise_f1, row_number() OVER (ORDER BY f1_macro DESC, run_order) AS rank, f1_macro >= 0.7 AS passed,

@@ -18,7 +18,7 @@ from ledgerloom.operators.metrics import evaluate_predictions
 from ledgerloom.operators.retrieval import build_index, nested_examples, retrieve
 from ledgerloom.operators.split import Split, stratified_random_split
 from ledgerloom.operators.vote import vote
-from ledgerloom.plans.models import MlClassifier
+from ledgerloom.plans.models import MlClassifier, fit_text_models
 from ledgerloom.plans.tuning import grid_search_tfidf, random_search_embeddings
 
 COLUMN_OF = dict(zip(REPORT_FIELDS, LABEL_COLUMNS.values()))
@@ -89,12 +89,13 @@ def tfidf_experiment(
     """TF-IDF and logistic regression, one model per field over one split."""
     started = time.time()
     train = split.train.persist()
+    columns = list(LABEL_COLUMNS.values())
+    if tune:
+        models = [grid_search_tfidf(train, column, grid=grid).model for column in columns]
+    else:
+        models = fit_text_models(train, columns)
     scored = split.test
-    for column in LABEL_COLUMNS.values():
-        if tune:
-            model = grid_search_tfidf(train, column, grid=grid).model
-        else:
-            model = MlClassifier("tfidf", [column]).fit(train)
+    for model in models:
         scored = model.predict(scored)
     name = "TF-IDF + LogisticRegression" + (" (tuned)" if tune else "")
     run = _finish("tfidf", name, _beside_truth(scored), started, not tune, order)

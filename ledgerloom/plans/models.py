@@ -6,7 +6,7 @@ The solvers are MLlib's; what is set here is the mapping of hyper-parameters.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -206,5 +206,19 @@ class MlClassifier:
         return scored.drop(*[f"prob_{m.field}" for m in self.fitted])
 
 
-def with_settings(settings: Settings, **changes) -> Settings:
-    return replace(settings, **changes)
+def fit_text_models(
+    train: DataFrame, targets: list[str], settings: Settings | None = None, tfidf: Tfidf | None = None
+) -> list[MlClassifier]:
+    """One text model per field.  The vocabulary does not depend on the field, so
+    it is built once, the features are kept, and the fits run side by side."""
+    models = [MlClassifier("tfidf", [t], settings=settings, tfidf=tfidf) for t in targets]
+    text_model = models[0].tfidf.fit(train)
+    ready = text_model.transform(train).select("features", *targets).persist()
+    try:
+        with ThreadPoolExecutor(len(targets)) as pool:
+            fitted = list(pool.map(lambda m: fit_field(ready, m.targets[0], m.settings), models))
+    finally:
+        ready.unpersist()
+    for model, one in zip(models, fitted):
+        model.text_model, model.fitted = text_model, [one]
+    return models

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
@@ -114,8 +115,12 @@ def grid_search_tfidf(
     n_folds: int = 5,
     id_col: str = "line_id",
     seed: int = SEED,
+    parallelism: int = 8,
 ) -> SearchResult:
-    """Exhaustive search for one field; ``grid`` may narrow any of the axes."""
+    """Exhaustive search for one field; ``grid`` may narrow any of the axes.
+
+    Up to ``parallelism`` fits run side by side.
+    """
     grid = {**TFIDF_GRID, **(grid or {})}
     axes = ("max_features", "ngram_range", "min_df", "max_df", "sublinear_tf")
     known = train.where(F.col(target).isNotNull()).select(id_col, text, target)
@@ -135,8 +140,8 @@ def grid_search_tfidf(
                 minN=setting["ngram_range"][0], maxN=setting["ngram_range"][1],
                 minDF=setting["min_df"], maxDF=setting["max_df"], sublinear=setting["sublinear_tf"],
             )
-            sums = {c: 0.0 for c in grid["C"]}
-            for fold in sorted(sizes):
+            ready = {}
+            for fold in sizes:
                 others = (
                     statistics[setting["ngram_range"]]
                     .where(F.col("fold") != fold)
@@ -144,14 +149,24 @@ def grid_search_tfidf(
                     .agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
                 )
                 model = tfidf.model_for(others, total - sizes[fold])
-                ready = model.transform(folded).select("features", target, "fold").persist()
-                for c in grid["C"]:
-                    fitted = fit_field(
-                        ready.where(F.col("fold") != fold), target, LogisticSettings(C=c, max_iter=200)
-                    )
-                    sums[c] += _held_out_score([fitted], ready.where(F.col("fold") == fold))
-                ready.unpersist()
-            scores += [({**setting, "C": c}, sums[c] / len(sizes)) for c in grid["C"]]
+                ready[fold] = model.transform(folded).select("features", target, "fold").persist()
+
+            def score(case: tuple[int, float]) -> float:
+                fold, c = case
+                fitted = fit_field(
+                    ready[fold].where(F.col("fold") != fold), target,
+                    LogisticSettings(C=c, max_iter=200),
+                )
+                return _held_out_score([fitted], ready[fold].where(F.col("fold") == fold))
+
+            cases = [(fold, c) for c in grid["C"] for fold in sorted(sizes)]
+            with ThreadPoolExecutor(parallelism) as pool:
+                found = list(pool.map(score, cases))
+            for table in ready.values():
+                table.unpersist()
+            for at, c in enumerate(grid["C"]):
+                own = found[at * len(sizes) : (at + 1) * len(sizes)]
+                scores.append(({**setting, "C": c}, sum(own) / len(sizes)))
     finally:
         folded.unpersist()
         for table in statistics.values():
@@ -208,6 +223,7 @@ def random_search_embeddings(
     id_col: str = "line_id",
     seed: int = SEED,
     settings: list[Settings] | None = None,
+    parallelism: int = 8,
 ) -> SearchResult:
     """Random search over the settings shared by all fields.
 
@@ -223,13 +239,19 @@ def random_search_embeddings(
     ready = shape.features(folded).select("features", *targets, "fold").persist()
     scores = []
     try:
-        for chosen in settings or draw_settings(classifier, n_iter, seed):
-            total = 0.0
-            for fold in range(n_folds):
-                rest = ready.where(F.col("fold") != fold)
-                models = [fit_field(rest, t, chosen, seed=seed) for t in targets]
-                total += _held_out_score(models, ready.where(F.col("fold") == fold))
-            scores.append((vars(chosen), total / n_folds))
+        chosen = settings or draw_settings(classifier, n_iter, seed)
+
+        def score(case: tuple[Settings, int]) -> float:
+            setting, fold = case
+            rest = ready.where(F.col("fold") != fold)
+            models = [fit_field(rest, t, setting, seed=seed) for t in targets]
+            return _held_out_score(models, ready.where(F.col("fold") == fold))
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            found = list(pool.map(score, [(s, f) for s in chosen for f in range(n_folds)]))
+        for at, setting in enumerate(chosen):
+            own = found[at * n_folds : (at + 1) * n_folds]
+            scores.append((vars(setting), sum(own) / n_folds))
     finally:
         ready.unpersist()
     params, score = _best(scores)
