@@ -12,10 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table that comes as fewer file splits than there are cores.
+
+    A table of many splits, as on a cluster, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoice lines: line items with their order, customer segment, part and supplier."""
     lines = (
-        table(spark, sf_dir, "lineitem")
+        spread(table(spark, sf_dir, "lineitem"))
         .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -46,7 +55,7 @@ def ap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as lines: whole texts, language / quality / toxicity as labels."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id")
     return docs.select(
         F.col("doc_id").cast("string").alias("line_id"),
         F.col("text").alias("DETAIL"),

@@ -13,6 +13,7 @@ from checks.adapters import (
     doc_items,
     prepared_lines,
     responses,
+    spread,
     table,
     vec_items,
 )
@@ -33,6 +34,7 @@ from ledgerloom.operators.vote import vote
 from ledgerloom.plans import experiments, tuning
 from ledgerloom.plans.models import ForestSettings, LogisticSettings, MlClassifier
 from ledgerloom.scale import small_side
+from ledgerloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +46,7 @@ def query(build: Query) -> Query:
     """Register a query; doubles are rounded and integers widened for comparison."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
         df = build(spark, sf_dir)
         columns = []
         for f in df.schema.fields:
@@ -90,7 +93,7 @@ def majority(spark, sf_dir) -> DataFrame:
 
 @query
 def text_normalized(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", normalize_text("text").alias("text_norm"))
 
 
@@ -116,13 +119,13 @@ def novel_model_text(spark, sf_dir):
 
 @query
 def example_excerpts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", example_excerpt("text").alias("excerpt"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", example_excerpt("text").alias("excerpt"))
 
 
 @query
 def token_counts(spark, sf_dir):
     """Tokens of whole documents in four languages."""
-    docs = table(spark, sf_dir, "documents").withColumn("words", tokens("text"))
+    docs = spread(table(spark, sf_dir, "documents")).withColumn("words", tokens("text"))
     return docs.select(
         "doc_id",
         F.size("words").alias("n_tokens"),
@@ -408,8 +411,8 @@ def retrieval_metrics(spark, sf_dir):
 
 @query
 def parse_json(spark, sf_dir):
-    parsed = responses(spark, sf_dir).select("line_id", parse_json_response("response").alias("p"))
-    return parsed.select("line_id", "p.*")
+    answers = responses(spark, sf_dir).select("line_id", "response")
+    return parse_json_response(answers).drop("response")
 
 
 @query
@@ -421,8 +424,8 @@ def parse_lines(spark, sf_dir):
 @query
 def fallback_labels(spark, sf_dir):
     vocabulary = labels.build_label_vocab(ap_lines(spark, sf_dir))
-    parsed = responses(spark, sf_dir).select("line_id", parse_json_response("response").alias("p"))
-    filled = inference.fallback_labels(parsed.select("line_id", "p.*"), vocabulary)
+    answers = responses(spark, sf_dir).select("line_id", "response")
+    filled = inference.fallback_labels(parse_json_response(answers), vocabulary)
     return filled.select("line_id", *LABEL_COLUMNS, "failed")
 
 
@@ -464,7 +467,7 @@ def batch_embed(spark, sf_dir):
 @query
 def hashed_vectors(spark, sf_dir):
     """Non-zero members of the built-in text vectors of whole documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     vectors = hashed_embedding(docs, "text", dim=64)
     return vectors.select("doc_id", F.posexplode_outer("embedding").alias("pos", "value")).where("value <> 0")
 

@@ -383,8 +383,9 @@ ORACLE: dict[str, str] = {
     "split_sizes": f"WITH {LINE_SPLIT} SELECT split, count(*) AS n FROM sp GROUP BY split",
     "prepared_sides": f"""WITH {LINE_SPLIT} SELECT split AS side, "NOMINAL" AS nominal, "DEPARTMENT" AS department,
       "TC" AS tax_code, count(*) AS n FROM sp GROUP BY ALL""",
-    "cv_folds": f"""WITH {DOCS} SELECT line_id, "NOMINAL",
-      (row_number() OVER (PARTITION BY "NOMINAL" ORDER BY md5('42|' || line_id) || '|' || line_id) - 1) % 5 AS fold FROM docs""",
+    "cv_folds": f"""WITH {DOCS}, r AS (SELECT line_id, "NOMINAL", count(*) OVER (PARTITION BY "NOMINAL") AS c,
+      row_number() OVER (PARTITION BY "NOMINAL" ORDER BY md5('42|' || line_id) || '|' || line_id) AS r FROM docs)
+      SELECT line_id, "NOMINAL", len(list_filter(range(1, 5), lambda i: (c * i) // 5 < r)) AS fold FROM r""",
     "group_split": """WITH g AS (SELECT user_id, row_number() OVER (ORDER BY md5('42|' || user_id) || '|' || user_id) AS r
         FROM (SELECT DISTINCT user_id FROM events)), c AS (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) AS t FROM g)
       SELECT event_id, user_id, CASE WHEN r <= t THEN 'train' ELSE 'test' END AS split FROM events JOIN g USING (user_id), c""",

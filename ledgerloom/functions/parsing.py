@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import clean_reasoning
@@ -16,32 +16,36 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def parse_json_response(response: Column | str) -> Column:
-    """Validated answer as a struct: the members, ``valid`` and a ``reason`` code.
+def parse_json_response(df: DataFrame, response: str = "response") -> DataFrame:
+    """Add the members of a JSON answer, ``valid`` and a ``reason`` code.
 
     Reasons are ``not_json``, ``missing:<member>`` and ``range:<member>``; the
     first that applies is given, and ``ok`` otherwise.  Labels and confidences of
-    an invalid answer are null.
+    an invalid answer are null.  The text is parsed once, in a step of its own:
+    one big expression would parse it for every member and every check.
     """
-    raw = _col(response)
-    parsed = F.from_json(raw, RESPONSE_DDL)
-    readable = F.coalesce(F.try_parse_json(raw).isNotNull(), F.lit(False)) & F.coalesce(
-        F.regexp_like(raw, F.lit(r"^\s*\{")), F.lit(False)
+    read = df.withColumns(
+        {
+            "_json": F.from_json(response, RESPONSE_DDL),
+            "_object": F.schema_of_variant(F.try_parse_json(response)).startswith("OBJECT"),
+        }
     )
-    reason = F.when(~readable, "not_json")
+    member = F.col("_json")
+    reason = F.when(~F.coalesce("_object", F.lit(False)), "not_json")
     for name in (*LABELS, *CONFIDENCES, "reasoning"):
-        reason = reason.when(parsed[name].isNull(), f"missing:{name}")
+        reason = reason.when(member[name].isNull(), f"missing:{name}")
     for name in CONFIDENCES:
-        inside = parsed[name].between(0.0, 1.0) & ~F.isnan(parsed[name])
+        inside = member[name].between(0.0, 1.0) & ~F.isnan(member[name])
         reason = reason.when(~inside, f"range:{name}")
-    reason = reason.otherwise("ok")
-    valid = reason == "ok"
-    return F.struct(
-        *[F.when(valid, parsed[n]).alias(n) for n in (*LABELS, *CONFIDENCES)],
-        F.when(valid, clean_reasoning(parsed["reasoning"])).otherwise("").alias("reasoning"),
-        valid.alias("valid"),
-        reason.alias("reason"),
-    )
+    judged = read.withColumn("reason", reason.otherwise("ok"))
+    valid = F.col("reason") == "ok"
+    return judged.withColumns(
+        {
+            **{n: F.when(valid, member[n]) for n in (*LABELS, *CONFIDENCES)},
+            "reasoning": F.when(valid, clean_reasoning(member["reasoning"])).otherwise(""),
+            "valid": valid,
+        }
+    ).drop("_json", "_object")
 
 
 def parse_line_response(response: Column | str) -> Column:

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerloom.config import LABEL_COLUMNS, TOP_K
-from ledgerloom.scale import settle
+from ledgerloom.scale import settle, small_side
 
 PAYLOAD = ("text", *LABEL_COLUMNS)
 BROADCAST_QUERY_BYTES = 64 * 1024 * 1024
@@ -94,6 +94,11 @@ def _best(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> pd.
     return best
 
 
+def _vectors(rows: np.ndarray) -> pa.Array:
+    offsets = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)))
+
+
 def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
 
@@ -183,7 +188,7 @@ def _to_cells(index: DataFrame, pivots: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("idx"),
-                    pa.array(list(rows), type=arrow_schema.field("embedding").type),
+                    _vectors(rows).cast(arrow_schema.field("embedding").type),
                     pa.array(cell.astype(np.int32)),
                     pa.array(angle),
                 ],
@@ -236,7 +241,7 @@ def _visits(
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("query_id").take(pa.array(part)),
-                        pa.array(list(rows[part]), type=arrow_schema.field("embedding").type),
+                        _vectors(rows[part]).cast(arrow_schema.field("embedding").type),
                         pa.array(names[which[start : start + BLOCK_ROWS]].astype(np.int32)),
                     ],
                     schema=arrow_schema,
@@ -375,7 +380,7 @@ def knn(
     """
     asked = queries.select(F.col(query_id).alias("query_id"), "embedding")
     schema = _candidate_schema(queries, query_id, index)
-    candidates = None
+    candidates, few = None, False
     if method in ("auto", "broadcast"):
         head = asked.select("embedding").first()
         dim = len(head[0]) if head else 1
@@ -386,11 +391,14 @@ def knn(
             candidates = _scan_with_queries(
                 index, ids, _matrix(table.column("embedding")), k, schema
             )
+            few = True
         elif method == "broadcast":
             raise ValueError(f"more than {cap} queries; use method='blocks'")
     if candidates is None:
         candidates = _pruned_blocks(asked, index, k, schema, block_rows)
-    return _best_overall(candidates, k).withColumn("similarity", 1 - F.col("distance"))
+    best = _best_overall(candidates, k).withColumn("similarity", 1 - F.col("distance"))
+    # Few queries have few answers: kept, they can be broadcast to the index.
+    return small_side(best) if few else best
 
 
 def retrieve(

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.config import LABEL_COLUMNS, SEED, TEST_SIZE
-from ledgerloom.scale import RANK_ROWS, hash_key, quota_thresholds, rank_in_groups, small_side
+from ledgerloom.scale import RANK_ROWS, hash_key, quota_thresholds, small_side
 
 
 class Split(NamedTuple):
@@ -67,7 +67,7 @@ def _threshold_split(
 ) -> DataFrame:
     keys = df.select(stratum.alias("stratum"), _ordered_key(id_col, seed).alias("key"))
     quotas = small_side(_quotas(strata, n, n - n_test))
-    thresholds = small_side(quota_thresholds(keys, quotas, largest, max_rank_rows))
+    thresholds = F.broadcast(quota_thresholds(keys, quotas, largest, max_rank_rows).drop("quota"))
     is_train = F.coalesce(F.col("_key") <= F.col("threshold"), F.lit(False))
     return (
         df.withColumns({"stratum": stratum, "_key": _ordered_key(id_col, seed)})
@@ -179,11 +179,34 @@ def stratified_folds(
     id_col: str = "line_id",
     max_rank_rows: int = RANK_ROWS,
 ) -> DataFrame:
-    """Add ``fold`` (0 .. n_folds-1), dealing the rows of every class in turn."""
-    keyed = df.withColumn("_key", _ordered_key(id_col, seed))
-    ranked = rank_in_groups(keyed, label, "_key", "_rank", max_rank_rows)
-    fold = ((F.col("_rank") - 1) % n_folds).cast("int")
-    return ranked.withColumn("fold", fold).drop("_key", "_rank")
+    """Add ``fold`` (0 .. n_folds-1): equal runs of every class in hash order.
+
+    As with splits, the runs' limits are found first and the rows then compare
+    their own hash with them, so the table itself is not shuffled.
+    """
+    stratum = _as_text(label)
+    strata = small_side(df.groupBy(stratum.alias("stratum")).agg(F.count("*").alias("c")))
+    largest = strata.agg(F.max("c")).first()[0] or 0
+    ends = F.explode(F.sequence(F.lit(1), F.lit(n_folds - 1))).alias("run")
+    quotas = small_side(
+        strata.select("stratum", "c", ends).select(
+            "stratum",
+            F.expr(f"c div {n_folds} * run + c % {n_folds} * run div {n_folds}").alias("quota"),
+        )
+    )
+    keys = df.select(stratum.alias("stratum"), _ordered_key(id_col, seed).alias("key"))
+    limits = (
+        quota_thresholds(keys, quotas, largest, max_rank_rows)
+        .groupBy("stratum")
+        .agg(F.collect_list("threshold").alias("_limits"))
+    )
+    passed = F.filter("_limits", lambda limit: limit < F.col("_key"))
+    return (
+        df.withColumns({"stratum": stratum, "_key": _ordered_key(id_col, seed)})
+        .join(F.broadcast(limits), "stratum")
+        .withColumn("fold", F.size(passed))
+        .drop("stratum", "_key", "_limits")
+    )
 
 
 def split_sizes(split: Split) -> DataFrame:

@@ -60,66 +60,45 @@ def bucket_digits(group_rows: int, max_rows: int = RANK_ROWS) -> int:
     return digits
 
 
-def rank_in_groups(
-    df: DataFrame, group: str, key: str, name: str, max_rows: int = RANK_ROWS
-) -> DataFrame:
-    """Exact 1-based rank of every row within ``group`` in order of ``key``.
-
-    ``key`` is a hex hash.  No task ever sorts a whole hot group: groups above
-    ``max_rows`` are cut by the leading digits of the hash, ranked piecewise, and
-    shifted by the number of rows in the pieces before.
-    """
-    largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    digits = bucket_digits(largest, max_rows)
-    if digits == 0:
-        window = W.partitionBy(group).orderBy(key)
-        return df.withColumn(name, F.row_number().over(window).cast("bigint"))
-    df = df.withColumn("_piece", F.substring(key, 1, digits))
-    before = W.partitionBy(group).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        df.groupBy(group, "_piece")
-        .count()
-        .withColumn("_offset", F.coalesce(F.sum("count").over(before), F.lit(0)))
-        .drop("count")
-    )
-    local = F.row_number().over(W.partitionBy(group, "_piece").orderBy(key))
-    return (
-        df.withColumn("_local", local)
-        .join(small_side(offsets), [group, "_piece"])
-        .withColumn(name, F.col("_local") + F.col("_offset"))
-        .drop("_piece", "_local", "_offset")
-    )
-
-
 def quota_thresholds(
     keys: DataFrame, quotas: DataFrame, largest: int, max_rows: int = RANK_ROWS
 ) -> DataFrame:
-    """The hash key of the ``quota``-th row of every stratum.
+    """``(stratum, quota, threshold)``: the hash key at the given ranks of a stratum.
 
-    ``keys`` holds ``(stratum, key)`` for every row, ``quotas`` one
-    ``(stratum, quota)`` per stratum, ``largest`` the biggest stratum's row count.
-    Only narrow columns are shuffled, and for big strata only the one piece of
-    the hash range in which the quota is reached.
+    ``keys`` holds ``(stratum, key)`` for every row, ``quotas`` any number of
+    ranks per stratum (a short table), ``largest`` the biggest stratum's size.
+    No task ever sorts a whole hot stratum: above ``max_rows`` rows it is cut by
+    the leading digits of the hash, and only the pieces in which a quota falls
+    are ranked.  Rank 0 gives the empty string, which is below every key.
     """
     digits = bucket_digits(largest, max_rows)
     if digits == 0:
-        wanted = keys.join(quotas, "stratum")
+        rank = F.row_number().over(W.partitionBy("stratum").orderBy("key"))
+        ranked = keys.withColumn("quota", rank.cast("bigint"))
+        found = ranked.join(F.broadcast(quotas.distinct()), ["stratum", "quota"])
     else:
         keys = keys.withColumn("_piece", F.substring("key", 1, digits))
         upto = W.partitionBy("stratum").orderBy("_piece")
-        crossing = (
+        crossing = small_side(
             keys.groupBy("stratum", "_piece")
             .count()
             .withColumn("_upto", F.sum("count").over(upto))
-            .join(quotas, "stratum")
+            .join(quotas.distinct(), "stratum")
             .where(F.col("_upto") >= F.col("quota"))
             .where(F.col("_upto") - F.col("count") < F.col("quota"))
-            .select("stratum", "_piece", (F.col("quota") - F.col("_upto") + F.col("count")).alias("quota"))
+            .select(
+                "stratum",
+                "_piece",
+                "quota",
+                (F.col("quota") - F.col("_upto") + F.col("count")).alias("_rank"),
+            )
         )
-        wanted = keys.join(small_side(crossing), ["stratum", "_piece"])
-    rank = F.row_number().over(W.partitionBy("stratum").orderBy("key"))
-    return (
-        wanted.withColumn("_rank", rank)
-        .where(F.col("_rank") == F.col("quota"))
-        .select("stratum", F.col("key").alias("threshold"))
+        pieces = crossing.select("stratum", "_piece").distinct()
+        rank = F.row_number().over(W.partitionBy("stratum", "_piece").orderBy("key"))
+        ranked = keys.join(F.broadcast(pieces), ["stratum", "_piece"], "left_semi")
+        ranked = ranked.withColumn("_rank", rank.cast("bigint"))
+        found = ranked.join(F.broadcast(crossing), ["stratum", "_piece", "_rank"])
+    at = small_side(found.select("stratum", "quota", F.col("key").alias("threshold")))
+    return quotas.join(at, ["stratum", "quota"], "left").withColumn(
+        "threshold", F.coalesce("threshold", F.lit(""))
     )
