@@ -63,6 +63,12 @@ class FieldModel:
         )
 
 
+def _over_cores(df: DataFrame) -> DataFrame:
+    """Growing trees is bound by computing, not by bytes: use every core on small tables."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _name_of(labels: list[str], position: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in labels]), position.cast("int"))
 
@@ -163,7 +169,10 @@ class MlClassifier:
         """Fit all fields on features computed once; the fits run side by side."""
         if self.feature_type == "tfidf":
             self.text_model = self.tfidf.fit(train)
-        ready = self.features(train).select("features", *self.targets).persist()
+        ready = self.features(train).select("features", *self.targets)
+        if isinstance(self.settings, ForestSettings):
+            ready = _over_cores(ready)
+        ready = ready.persist()
         try:
             with ThreadPoolExecutor(len(self.targets)) as pool:
                 self.fitted = list(
