@@ -22,9 +22,13 @@ def error_rows(predictions: DataFrame) -> DataFrame:
 
 
 def error_report(predictions: DataFrame) -> DataFrame:
-    """Error rows in report layout; a confidence map is written as JSON text."""
+    """Error rows in report layout.
+
+    Predictions with confidence and reasoning give the long layout, in which the
+    confidence map is written as JSON text.
+    """
     errors = error_rows(predictions)
-    if "confidence" not in predictions.columns:
+    if not {"confidence", "reasoning"} <= set(predictions.columns):
         return errors.select(*REPORT_COLUMNS)
     as_json = F.coalesce(F.to_json("confidence"), F.lit("{}"))
     return errors.withColumn("confidence", as_json).select(*EXTENDED_COLUMNS)

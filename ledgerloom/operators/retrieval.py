@@ -310,9 +310,21 @@ def _best_overall(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _without_surplus_copies(index: DataFrame, k: int) -> DataFrame:
+    """Of rows with the same vector only the ``k`` smallest keys can be among ``k`` winners.
+
+    Spark applies the limit before the shuffle too, so a vector that fills a third
+    of the index leaves ``k`` rows per task, not a hot partition.
+    """
+    copies = W.partitionBy("embedding").orderBy("idx")
+    ranked = index.select("idx", "embedding").withColumn("_copy", F.row_number().over(copies))
+    return ranked.where(F.col("_copy") <= k).drop("_copy")
+
+
 def _pruned_blocks(
     queries: DataFrame, index: DataFrame, k: int, schema: T.StructType, block_rows: int
 ) -> DataFrame:
+    index = settle(_without_surplus_copies(index, k))
     n = index.count()
     wanted = min(256, max(2, ceil(n / block_rows)))
     is_zero = F.forall("embedding", lambda x: x == 0)

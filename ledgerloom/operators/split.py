@@ -67,7 +67,9 @@ def _threshold_split(
 ) -> DataFrame:
     keys = df.select(stratum.alias("stratum"), _ordered_key(id_col, seed).alias("key"))
     quotas = small_side(_quotas(strata, n, n - n_test))
-    thresholds = F.broadcast(quota_thresholds(keys, quotas, largest, max_rank_rows).drop("quota"))
+    thresholds = small_side(
+        quota_thresholds(keys, quotas, largest, max_rank_rows).drop("quota")
+    )
     is_train = F.coalesce(F.col("_key") <= F.col("threshold"), F.lit(False))
     return (
         df.withColumns({"stratum": stratum, "_key": _ordered_key(id_col, seed)})
@@ -195,7 +197,7 @@ def stratified_folds(
         )
     )
     keys = df.select(stratum.alias("stratum"), _ordered_key(id_col, seed).alias("key"))
-    limits = (
+    limits = small_side(
         quota_thresholds(keys, quotas, largest, max_rank_rows)
         .groupBy("stratum")
         .agg(F.collect_list("threshold").alias("_limits"))
@@ -203,7 +205,7 @@ def stratified_folds(
     passed = F.filter("_limits", lambda limit: limit < F.col("_key"))
     return (
         df.withColumns({"stratum": stratum, "_key": _ordered_key(id_col, seed)})
-        .join(F.broadcast(limits), "stratum")
+        .join(limits, "stratum")
         .withColumn("fold", F.size(passed))
         .drop("stratum", "_key", "_limits")
     )

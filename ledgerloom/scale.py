@@ -75,7 +75,7 @@ def quota_thresholds(
     if digits == 0:
         rank = F.row_number().over(W.partitionBy("stratum").orderBy("key"))
         ranked = keys.withColumn("quota", rank.cast("bigint"))
-        found = ranked.join(F.broadcast(quotas.distinct()), ["stratum", "quota"])
+        found = ranked.join(small_side(quotas.distinct()), ["stratum", "quota"])
     else:
         keys = keys.withColumn("_piece", F.substring("key", 1, digits))
         upto = W.partitionBy("stratum").orderBy("_piece")
@@ -93,11 +93,11 @@ def quota_thresholds(
                 (F.col("quota") - F.col("_upto") + F.col("count")).alias("_rank"),
             )
         )
-        pieces = crossing.select("stratum", "_piece").distinct()
+        pieces = small_side(crossing.select("stratum", "_piece").distinct())
         rank = F.row_number().over(W.partitionBy("stratum", "_piece").orderBy("key"))
-        ranked = keys.join(F.broadcast(pieces), ["stratum", "_piece"], "left_semi")
+        ranked = keys.join(pieces, ["stratum", "_piece"], "left_semi")
         ranked = ranked.withColumn("_rank", rank.cast("bigint"))
-        found = ranked.join(F.broadcast(crossing), ["stratum", "_piece", "_rank"])
+        found = ranked.join(crossing, ["stratum", "_piece", "_rank"])
     at = small_side(found.select("stratum", "quota", F.col("key").alias("threshold")))
     return quotas.join(at, ["stratum", "quota"], "left").withColumn(
         "threshold", F.coalesce("threshold", F.lit(""))
