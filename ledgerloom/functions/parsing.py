@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import clean_reasoning
-from ledgerloom.schema import RESPONSE_DDL
 
 LABELS = ("nominal", "department", "tax_code")
 CONFIDENCES = tuple(f"{name}_confidence" for name in LABELS)
@@ -24,28 +23,34 @@ def parse_json_response(df: DataFrame, response: str = "response") -> DataFrame:
     an invalid answer are null.  The text is parsed once, in a step of its own:
     one big expression would parse it for every member and every check.
     """
-    read = df.withColumns(
-        {
-            "_json": F.from_json(response, RESPONSE_DDL),
-            "_object": F.schema_of_variant(F.try_parse_json(response)).startswith("OBJECT"),
-        }
-    )
-    member = F.col("_json")
-    reason = F.when(~F.coalesce("_object", F.lit(False)), "not_json")
+    read = df.withColumn("_answer", F.try_parse_json(response))
+    answer = F.col("_answer")
+
+    def text(name: str) -> Column:
+        """A member that is text; numbers are not taken for labels."""
+        value = F.try_variant_get(answer, f"$.{name}", "variant")
+        is_text = F.schema_of_variant(value) == "STRING"
+        return F.when(is_text, F.try_variant_get(answer, f"$.{name}", "string"))
+
+    members = {f"_{n}": text(n) for n in (*LABELS, "reasoning")}
+    members |= {f"_{n}": F.try_variant_get(answer, f"$.{n}", "double") for n in CONFIDENCES}
+    is_object = F.coalesce(F.schema_of_variant(answer).startswith("OBJECT"), F.lit(False))
+    read = read.withColumns({**members, "_object": is_object})
+    reason = F.when(~F.col("_object"), "not_json")
     for name in (*LABELS, *CONFIDENCES, "reasoning"):
-        reason = reason.when(member[name].isNull(), f"missing:{name}")
+        reason = reason.when(F.col(f"_{name}").isNull(), f"missing:{name}")
     for name in CONFIDENCES:
-        inside = member[name].between(0.0, 1.0) & ~F.isnan(member[name])
-        reason = reason.when(~inside, f"range:{name}")
+        value = F.col(f"_{name}")
+        reason = reason.when(~value.between(0.0, 1.0) | F.isnan(value), f"range:{name}")
     judged = read.withColumn("reason", reason.otherwise("ok"))
     valid = F.col("reason") == "ok"
     return judged.withColumns(
         {
-            **{n: F.when(valid, member[n]) for n in (*LABELS, *CONFIDENCES)},
-            "reasoning": F.when(valid, clean_reasoning(member["reasoning"])).otherwise(""),
+            **{n: F.when(valid, F.col(f"_{n}")) for n in (*LABELS, *CONFIDENCES)},
+            "reasoning": F.when(valid, clean_reasoning("_reasoning")).otherwise(""),
             "valid": valid,
         }
-    ).drop("_json", "_object")
+    ).drop("_answer", "_object", *members)
 
 
 def parse_line_response(response: Column | str) -> Column:

@@ -26,10 +26,3 @@ LINE_TYPES = {
     "NOMINAL": "string",
     "DEPARTMENT": "string",
 }
-
-# Structured model response: all seven members are required.
-RESPONSE_DDL = (
-    "nominal STRING, department STRING, tax_code STRING, "
-    "nominal_confidence DOUBLE, department_confidence DOUBLE, "
-    "tax_code_confidence DOUBLE, reasoning STRING"
-)

@@ -19,10 +19,13 @@ def test_json(spark):
 
     rows = read(spark, [json.dumps(GOOD), changed(extra=1), changed(tax_code="drop"), changed(nominal_confidence=1.2),
                         changed(department_confidence=-0.1), changed(reasoning=None), "not json", None, "[1]", '"text"',
-                        changed(nominal_confidence="high"), json.dumps(GOOD)[:-3]])
+                        changed(nominal_confidence="high"), json.dumps(GOOD)[:-3],
+                        changed(nominal=12), changed(nominal_confidence="0.9")])
     assert [r.reason for r in rows] == [
         "ok", "ok", "missing:tax_code", "range:nominal_confidence", "range:department_confidence",
-        "missing:reasoning", "not_json", "not_json", "not_json", "not_json", "missing:nominal_confidence", "not_json"]
+        "missing:reasoning", "not_json", "not_json", "not_json", "not_json", "missing:nominal_confidence", "not_json",
+        "missing:nominal", "ok"]
+    assert rows[-1].nominal_confidence == 0.9
     assert rows[0].valid and rows[0].nominal == "N" and rows[0].reasoning == "because" and rows[0].department_confidence == 0
     assert not rows[3].valid and rows[3].nominal is None and rows[3].reasoning == ""
 
