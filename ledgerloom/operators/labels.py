@@ -69,15 +69,23 @@ def encode_labels(df: DataFrame, fields: Sequence[str] = FIELDS) -> tuple[DataFr
     """Add ``<field>_idx`` columns; returns the coded table and the vocabulary.
 
     The vocabulary serves as encoder and decoder.  Missing labels get -1 and a
-    warning; a field without any label is an error.
+    warning; a field without any label is an error.  One count of labels answers
+    all of that.
     """
-    vocabulary = small_side(label_vocabulary(df, fields))
-    filled = {r["field"] for r in vocabulary.select("field").distinct().collect()}
+    counts = small_side(unpivot_labels(df, fields).groupBy("field", "label").agg(F.count("*").alias("n")))
+    position = F.row_number().over(W.partitionBy("field").orderBy("label")) - 1
+    known = counts.where(F.col("label").isNotNull())
+    vocabulary = small_side(known.select("field", "label", position.alias("idx")))
+    per_field = counts.groupBy("field").agg(
+        F.count("label").alias("n_labels"),
+        F.coalesce(F.sum(F.when(F.col("label").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
+    )
+    seen = {r["field"]: r for r in per_field.collect()}
     for field in fields:
-        if field not in filled:
+        if field not in seen or seen[field]["n_labels"] == 0:
             raise ValueError(f"field {field} holds no labels")
-    for row in null_label_counts(df, fields).where("n_null > 0").collect():
-        warnings.warn(f"{row['n_null']} missing labels in {row['field']} are coded as -1")
+        if seen[field]["n_null"]:
+            warnings.warn(f"{seen[field]['n_null']} missing labels in {field} are coded as -1")
     return attach_codes(df, vocabulary, fields), vocabulary
 
 

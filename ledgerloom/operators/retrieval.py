@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerloom.config import LABEL_COLUMNS, TOP_K
-from ledgerloom.scale import settle, small_side
+from ledgerloom.scale import BROADCAST_ROWS, settle, small_side
 
 PAYLOAD = ("text", *LABEL_COLUMNS)
 BROADCAST_QUERY_BYTES = 64 * 1024 * 1024
@@ -403,7 +403,7 @@ def knn(
             candidates = _scan_with_queries(
                 index, ids, _matrix(table.column("embedding")), k, schema
             )
-            few = True
+            few = table.num_rows * k <= BROADCAST_ROWS
         elif method == "broadcast":
             raise ValueError(f"more than {cap} queries; use method='blocks'")
     if candidates is None:
