@@ -203,11 +203,6 @@ VOTE_PREDICTIONS = """vote_pred AS (
 _VOTE_LONG = f"(WITH {VOTED}, {VOTE_PREDICTIONS} SELECT * FROM vote_pred)"
 
 
-def _method(experiment: str, method: str, pred: str, baseline: str, order: int) -> str:
-    return f"""SELECT '{experiment}' AS experiment, '{method}' AS method, {baseline} AS is_baseline,
-  CAST({order} AS BIGINT) AS run_order, * FROM {pred}"""
-
-
 _SIDES = "line_id, true_nominal, pred_nominal, true_department, pred_department, true_tc, pred_tc"
 RESULTS = f"""{PREDICTIONS}, {MAJORITY}, vote_pred AS {_VOTE_LONG},
 runs AS (
@@ -307,7 +302,6 @@ def _last(prefix: str) -> str:
 
 def hashed(source: str, key: str, text_column: str, dim: int) -> str:
     """``key, pos, value``: unit-length counts of hashed uni- and bigrams."""
-    bigrams = "list_transform(range(1, greatest(len(w), 1)), lambda i: array_to_string(w[i:i + 1], ' '))"
     return f"""SELECT {key}, pos, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS value FROM (
     SELECT {key}, CAST(('0x' || substr(md5(term), 1, 8))::BIGINT % {dim} AS BIGINT) AS pos, count(*)::DOUBLE AS n
     FROM (SELECT {key}, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: array_to_string([w[i], w[i + 1]], ' ')))) AS term

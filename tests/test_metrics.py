@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from ledgerloom.config import REPORT_FIELDS
 from ledgerloom.operators import errors, metrics, results

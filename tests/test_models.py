@@ -2,7 +2,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.ml.linalg import VectorUDT  # noqa: F401
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import add_model_text_column

@@ -1,6 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
 
 from ledgerloom.functions.parsing import parse_json_response, parse_line_response
 
