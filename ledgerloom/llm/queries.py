@@ -8,9 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.content_sort import exact_duplicates
+from ledgerloom.llm.cotraining import quality
 from ledgerloom.llm.hypergeometric import shuffle_into_shards
 from ledgerloom.llm.mixing import mixed
 from ledgerloom.llm.shared import documents, text_crc32, text_or_empty
+from ledgerloom.llm.token_lengths import length_histogram, with_token_count
+from ledgerloom.llm.toxicity import toxicity
+from ledgerloom.llm.vector_search import exact_topk
+from ledgerloom.session import ship_package
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return toxicity(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +37,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return length_histogram(with_token_count(documents(spark, sf_dir).select("text")).select("n_tokens"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixed(documents(spark, sf_dir))
     return rows.select(
@@ -38,10 +53,24 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir), keep="largest")
 
 
+def op8_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return exact_topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
+    "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_exact_search": op8_exact_search,
+    "op9_quality": op9_quality,
 }
 
 ORACLE: dict[str, str] = {
@@ -94,4 +123,16 @@ ORACLE: dict[str, str] = {
         FROM keyed d JOIN limits l ON d.source IS NOT DISTINCT FROM l.source
         LEFT JOIN ends e ON d.source IS NOT DISTINCT FROM e.source
     """,
+    "op8_exact_search": """
+        WITH codes AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS codes FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.codes::DOUBLE[], c.codes::DOUBLE[])::BIGINT AS score
+            FROM codes q JOIN codes c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
 }
