@@ -11,6 +11,7 @@ from ledgerloom.llm.content_sort import exact_duplicates
 from ledgerloom.llm.cotraining import quality
 from ledgerloom.llm.hypergeometric import shuffle_into_shards
 from ledgerloom.llm.mixing import mixed
+from ledgerloom.llm.ppm import language_model_scores
 from ledgerloom.llm.shared import documents, text_crc32, text_or_empty
 from ledgerloom.llm.token_lengths import length_histogram, with_token_count
 from ledgerloom.llm.toxicity import toxicity
@@ -37,6 +38,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return language_model_scores(documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return length_histogram(with_token_count(documents(spark, sf_dir).select("text")).select("n_tokens"))
@@ -66,6 +72,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
+    "op3_lm_scoring": op3_lm_scoring,
     "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
