@@ -11,6 +11,7 @@ from ledgerloom.llm.content_sort import exact_duplicates
 from ledgerloom.llm.cotraining import quality
 from ledgerloom.llm.hypergeometric import shuffle_into_shards
 from ledgerloom.llm.mixing import mixed
+from ledgerloom.llm.near_copies import near_duplicates
 from ledgerloom.llm.ppm import language_model_scores
 from ledgerloom.llm.shared import documents, text_crc32, text_or_empty
 from ledgerloom.llm.token_lengths import length_histogram, with_token_count
@@ -43,6 +44,11 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(documents(spark, sf_dir))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return length_histogram(with_token_count(documents(spark, sf_dir).select("text")).select("n_tokens"))
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_near_dedup": op4_near_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
