@@ -12,6 +12,7 @@ from ledgerloom.llm.cotraining import quality
 from ledgerloom.llm.hypergeometric import shuffle_into_shards
 from ledgerloom.llm.mixing import mixed
 from ledgerloom.llm.near_copies import near_duplicates
+from ledgerloom.llm.pieces import encode
 from ledgerloom.llm.ppm import language_model_scores
 from ledgerloom.llm.shared import documents, text_crc32, text_or_empty
 from ledgerloom.llm.token_lengths import length_histogram, with_token_count
@@ -20,6 +21,12 @@ from ledgerloom.llm.vector_search import exact_topk
 from ledgerloom.session import ship_package
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the top of the repository, beside the entry file
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return toxicity(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -75,7 +82,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return encode(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": pipeline,
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
     "op3_lm_scoring": op3_lm_scoring,
@@ -85,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_exact_search": op8_exact_search,
     "op9_quality": op9_quality,
+    "op10_piece_encoding": op10_piece_encoding,
 }
 
 ORACLE: dict[str, str] = {
