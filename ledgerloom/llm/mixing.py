@@ -60,7 +60,10 @@ def source_targets(
         ranked.withColumn("_capped", F.coalesce(F.sum("_cap").over(by_ratio.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("_open", F.sum("_weight").over(by_ratio.rowsBetween(0, W.unboundedFollowing)))
         .withColumn("_level", (F.sum("source_size").over(everything) * F.lit(float(share)) - F.col("_capped")) / F.col("_open"))
-        .withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything))
+        # The first source, by ratio, that the level does not lift above its cap.
+        .withColumn("_order", F.row_number().over(by_ratio))
+        .withColumn("_fits", F.when(F.col("_level") <= F.col("_ratio"), F.struct("_order", "_level")))
+        .withColumn("_level", F.min("_fits").over(everything)["_level"])
     )
     return levelled.select(
         "_s", "source_size",

@@ -128,10 +128,11 @@ ORACLE: dict[str, str] = {
             SELECT *, 2.0::DOUBLE * source_size AS cap,
                    (1.5::DOUBLE * sum(source_size) OVER ()
                     - coalesce(sum(2.0::DOUBLE * source_size) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-                   / sum(weight) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+                   / sum(weight) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+                   row_number() OVER r AS place
             FROM sources WINDOW r AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST)
         ), found AS (
-            SELECT min(level) AS level FROM levels WHERE level <= cap / weight
+            SELECT arg_min(level, place) AS level FROM levels WHERE level <= cap / weight
         ), targets AS (
             SELECT l.source, source_size, least(cap, coalesce(weight * f.level, cap)) AS target FROM levels l, found f
         ), limits AS (
