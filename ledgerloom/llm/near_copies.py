@@ -155,7 +155,8 @@ def band_keys(owner: np.ndarray, hashes: np.ndarray, log_weight: np.ndarray, n_t
         starts, texts = bounds[group:last_group] - first, owner[bounds[group:last_group]]
         low = h.astype(np.uint32)
         for j in range(BANDS * BAND_ROWS):
-            pick = ((h * (_ODD * np.uint64(2 * j + 1) | np.uint64(1)) + np.uint64(j)) * _MORE) >> np.uint64(48)
+            factor = np.uint64((int(_ODD) * (2 * j + 1)) % (1 << 64))
+            pick = ((h * factor + np.uint64(j)) * _MORE) >> np.uint64(48)
             pick = pick.astype(np.int64)
             r, beta = r_all[pick], beta_all[pick]
             t = np.floor(ln_w / r + beta)

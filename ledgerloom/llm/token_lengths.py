@@ -18,7 +18,7 @@ from ledgerloom.llm.shared import text_or_empty
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Lengths that one window of the suffix sums spans.
-SPAN = 1024
+SPAN = 128
 
 
 @functools.lru_cache(maxsize=2)
