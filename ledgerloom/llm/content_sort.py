@@ -13,6 +13,8 @@ from ledgerloom.llm.shared import cut, partitions_for, text_or_empty
 #: A group of copies with more than this share of all rows is sorted in pieces.
 HOT_SHARE = 1 / 4096
 PIECES = 64
+#: Characters of a text that lead its sort key.
+HEAD = 32
 
 
 def _prepared(
@@ -44,14 +46,18 @@ def _hot_and_cold(rows: DataFrame, hot_share: float) -> tuple[DataFrame, DataFra
 def _sorted_groups(rows: DataFrame, parts: int, keys: list[str], smallest: bool) -> DataFrame:
     """Range-partition by sampled splitters, sort, and give each row its place in its run of equals.
 
-    The range exchange already places equal keys together, so the window adds no second exchange;
-    it sorts externally and compares neighbouring rows on the whole text.
+    Texts are ordered by their first characters, then by a hash, then as a whole: so the splitters,
+    which the driver samples, are short, and texts with a common beginning still spread.  The range
+    exchange places equal keys together and the window adds no second exchange; it sorts externally
+    and compares neighbouring rows on the whole text.
     """
-    run = W.partitionBy(*keys)
+    short = ["_head", "_hash", *[k for k in keys if k != "_text"]]
+    rows = rows.withColumn("_head", F.substring("_text", 1, HEAD)).withColumn("_hash", F.xxhash64("_text"))
+    run = W.partitionBy(*short, "_text")
     best = F.col("_id").asc_nulls_last() if smallest else F.col("_id").desc_nulls_last()
     pick = F.min("_id") if smallest else F.max("_id")
     return (
-        rows.repartitionByRange(parts, *keys)
+        rows.repartitionByRange(parts, *short)
         .withColumn("_place", F.row_number().over(run.orderBy(best)))
         .withColumn("_keep", pick.over(run))
         .withColumn("_size", F.count(F.lit(1)).over(run))
@@ -105,7 +111,7 @@ def exact_duplicates(
     )
     merged = (
         _sorted_groups(heads, parts, ["_text"], smallest)
-        .withColumn("_size", F.sum("_part").over(W.partitionBy("_text")))
+        .withColumn("_size", F.sum("_part").over(W.partitionBy("_head", "_hash", "_text")))
         .select("text_sha256", "_piece", (F.col("_place") == 1).alias("_first"), "_keep", "_size")
     )
     together = (
