@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 #: Bits that a partition's row number takes in monotonically_increasing_id().
 ROW_BITS = 33
 #: Rows that one task permutes after the exchange.
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 1024
 #: Rows of one partition of the exchange, where the session does not ask for more partitions.
 PARTITION_ROWS = 65536
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.shared import text_or_empty, written
@@ -22,10 +22,14 @@ KNOWN_WORDS = 1 << 20
 MASK_BITS = 62
 #: Stands for a blank in pieces (fixed value of the format).
 BLANK = "▁"
-#: A word with the blanks before it; no piece crosses from a word into the blanks after it.
-WORD = re.compile(" *[^ ]+| +")
+#: Ways to cut a text into words, finest first: runs of letters and of other characters, or all between
+#: blanks; each with the blanks before it.  One that cuts no piece in two cuts no encoding either.
+NUMERALS = "²³¹¼-¾⁰-₟"  # word characters that are no letters
+CUTS = (rf" *[^\W\d_{NUMERALS}]+| *(?:[^\w ]|[\d_{NUMERALS}])+| +", r" *[^ ]+| +")
 #: Characters of text whose words are held at once.
 TEXT_SLICE = 1 << 20
+#: Texts whose ids are put together at once.
+ROW_SLICE = 512
 
 
 @dataclass(frozen=True)
@@ -36,6 +40,7 @@ class Pieces:
     texts: tuple[bytes, ...]
     first_byte: int
     merging: bool
+    cut: str
 
     @property
     def longest(self) -> int:
@@ -52,25 +57,40 @@ def load_pieces(model: str | bytes = MODEL, merging: bool = True) -> Pieces:
     names = [reader.id_to_piece(i) for i in ids]
     single = [i for i in ids if reader.is_byte(i)]
     whole = [i for i in ids if not (reader.is_byte(i) or reader.is_control(i) or reader.is_unknown(i) or reader.is_unused(i))]
-    if any(re.search(f"[^{BLANK}]{BLANK}", names[i]) for i in whole):
+    plain = [names[i].replace(BLANK, " ") for i in whole]
+    cut = next((c for c in CUTS if all(len(re.findall(c, p)) == 1 for p in plain)), None)
+    if cut is None:
         raise ValueError("a piece goes on after a word's end: words cannot be encoded one by one")
     texts = [b"" if reader.is_control(i) else bytes([single.index(i)]) if i in set(single) else names[i].replace(BLANK, " ").encode() for i in ids]
     table = tuple((names[i].replace(BLANK, " "), i, reader.get_score(i)) for i in whole)
-    return Pieces(table, tuple(texts), single[0], merging)
+    return Pieces(table, tuple(texts), single[0], merging, cut)
 
 
-def _words(text: str) -> list[str]:
-    """The words of a text, each with the blanks before it; a text begins with one more blank."""
-    return WORD.findall(" " + text.replace(BLANK, " ")) if text else []
+def _cutter(cut: str) -> Callable[[str], list[str]]:
+    """Gives the words of a text, which begins with one more blank."""
+    find = re.compile(cut).findall
+    return lambda text: find(" " + text.replace(BLANK, " ")) if text else []
 
 
-def distinct_words(texts: DataFrame) -> DataFrame:
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session while a table is written."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def distinct_words(texts: DataFrame, cut: str) -> DataFrame:
     """``(word, n)`` over ``texts (text)``: counted by slice, then summed by Spark."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _cutter(cut)
         for batch in batches:
             for part in _text_slices(batch.column(0).to_pylist()):
-                both = pa.array([w for t in part for w in _words(t)], pa.string()).value_counts()
+                both = pa.array([w for t in part for w in words(t)], pa.string()).value_counts()
                 yield pa.RecordBatch.from_arrays([both.field(0), both.field(1)], ["word", "n"])
 
     return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -81,7 +101,7 @@ def _text_slices(texts: list[str]) -> Iterator[list[str]]:
     for text in texts:
         part.append(text)
         size += len(text)
-        if size >= 4 * TEXT_SLICE:
+        if size >= TEXT_SLICE:
             yield part
             part, size = [], 0
     if part:
@@ -176,7 +196,9 @@ def _encode_long(word: str, ranks: dict[str, tuple[float, int]], pieces: Pieces)
 
 
 def _word_codes(words: list[str]) -> np.ndarray:
-    return np.fromiter((int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little") for w in words), np.uint64, len(words))
+    from xxhash import xxh3_64_intdigest
+
+    return np.fromiter((xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
 
 
 def _common_words(ids: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,37 +253,38 @@ def encode(
             batch["ids"] = [_encode_long(w, ranks, shared.value) for w in batch["word"]]
             yield batch[["word", "ids"]]
 
-    words = written(distinct_words(rows.select("text")))
+    words = written(distinct_words(rows.select("text"), pieces.cut))
     fits = F.length("word") <= MASK_BITS
     short = encode_words(words.where(fits).select("word"), pieces)
     far = words.where(~fits).select("word").mapInPandas(long_words, "word string, ids array<int>")
-    table = written(short.unionByName(far).join(words, "word"))
+    # A partition's words are grouped in memory, a few numbers each, and not sorted with all their edges.
+    with _setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000"):
+        table = written(short.unionByName(far).join(words, "word"))
     common = spark.sparkContext.broadcast(_common_words(table, known_words))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = common.value[0]
+        codes, words_of = common.value[0], _cutter(shared.value.cut)
         for batch in batches:
-            first, texts = 0, batch.column(2).to_pylist()
-            for part in _text_slices(texts):
-                lists = [_words(t) for t in part]
+            first = 0
+            for part in _text_slices(batch.column(2).to_pylist()):
+                lists = [words_of(t) for t in part]
+                ends = np.cumsum([0] + [len(words) for words in lists])
                 known = pa.array([w for words in lists for w in words], pa.string()).dictionary_encode()
-                names = known.dictionary.to_pylist()
-                hashed = _word_codes(names)
+                hashed = _word_codes(known.dictionary.to_pylist())
                 at = np.minimum(np.searchsorted(codes, hashed), max(0, len(codes) - 1))
-                number = np.where(codes[at] == hashed, at, -1) if len(codes) else np.full(len(names), -1)
-                index = known.indices.to_numpy(zero_copy_only=False)
-                refs, start, packed, others = number[index].astype(np.int32), 0, [], []
-                for words in lists:
-                    own = refs[start : start + len(words)]
-                    odd, back = np.unique(index[start : start + len(words)][own < 0], return_inverse=True)
-                    own[own < 0] = -1 - back
-                    packed.append(own.tobytes())
-                    others.append([names[i] for i in odd])
-                    start += len(words)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(part)), batch.column(1).slice(first, len(part)), pa.array(packed, pa.binary()), pa.array(others, pa.list_(pa.string()))],
-                    ["_id", "_uid", "refs", "others"],
-                )
+                number = np.where(codes[at] == hashed, at, -1) if len(codes) else np.full(len(hashed), -1)
+                index = known.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                refs = number[index].astype(np.int32)
+                # Other words get numbers below 0, by text.
+                rare = refs < 0
+                text = np.repeat(np.arange(len(lists)), np.diff(ends))[rare]
+                own, back = np.unique(text * len(number) + index[rare], return_inverse=True)
+                begins = np.searchsorted(own, np.arange(len(lists) + 1) * len(number))
+                refs[rare] = -1 - (back - begins[text])
+                others = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), known.dictionary.take(pa.array(own % max(1, len(number)))))
+                packed = pa.array([refs[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+                ids = [batch.column(i).slice(first, len(part)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, packed, others], ["_id", "_uid", "refs", "others"])
                 first += len(part)
 
     kind = dict(rows.dtypes)["_id"]
@@ -269,29 +292,34 @@ def encode(
         numbered, f"_id {kind}, _uid long, refs binary, others array<string>"
     )
     asked = sent.select("_uid", F.posexplode("others").alias("place", "word"))
-    found = asked.join(table.select("word", "ids"), "word").groupBy("_uid").agg(F.collect_list(F.struct("place", "ids")).alias("found"))
+    found = asked.join(table.select("word", "ids"), "word").groupBy("_uid").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("found"))
 
     def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, ends, flat = common.value
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else np.zeros(0, int)
-        for batch in batches:
-            out = []
-            for refs, other in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                refs = np.frombuffer(refs, dtype=np.int32)
-                extra = [x["ids"] for x in sorted(other or (), key=lambda x: x["place"])]
-                own, own_ends = np.array([i for x in extra for i in x], dtype=np.int32), np.cumsum([len(x) for x in extra], dtype=np.int64)
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROW_SLICE):
+                batch = whole.slice(first, ROW_SLICE)
+                parts = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in batch.column(1)]
+                words = np.array([len(x) for x in parts], dtype=np.int64)
+                refs = np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int64)
+                # A text's own words: lists of ids, in the order of their places.
+                own = batch.column(2)
+                own_first = own.offsets.to_numpy()[:-1].astype(np.int64)
+                lists = own.values.field("ids")
+                own_ends, own_ids = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
                 rare = refs < 0
-                first, last = np.zeros(len(refs), np.int64), np.zeros(len(refs), np.int64)
-                first[~rare], last[~rare] = starts[refs[~rare]], ends[refs[~rare]]
-                last[rare] = own_ends[-1 - refs[rare]] if len(extra) else 0
-                first[rare] = last[rare] - np.array([len(x) for x in extra], dtype=np.int64)[-1 - refs[rare]] if len(extra) else 0
-                size = last - first
-                at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                place = np.repeat(own_first, words)[rare] - 1 - refs[rare]
+                begin, size = np.zeros(len(refs), np.int64), np.zeros(len(refs), np.int64)
+                begin[~rare], size[~rare] = starts[refs[~rare]], ends[refs[~rare]] - starts[refs[~rare]]
+                begin[rare], size[rare] = own_ends[place], own_ends[place + 1] - own_ends[place]
+                at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
                 by_rare = np.repeat(rare, size)
                 ids = np.empty(len(at), dtype=np.int32)
-                ids[~by_rare], ids[by_rare] = flat[at[~by_rare]], own[at[by_rare]]
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["_id", "ids"])
+                ids[~by_rare], ids[by_rare] = flat[at[~by_rare]], own_ids[at[by_rare]]
+                total = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(words)])]
+                out = pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0), out], ["_id", "ids"])
 
     ids = sent.drop("others").join(found, "_uid", "left").select("_id", "refs", "found").mapInArrow(resolved, f"_id {kind}, ids array<int>")
     return ids.select(F.col("_id").alias(id_column), "ids", F.size("ids").alias("n_ids"))
