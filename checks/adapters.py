@@ -54,8 +54,11 @@ def ap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as lines: whole texts, language / quality / toxicity as labels."""
-    docs = spread(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id")
+    """All documents as lines: whole texts, language / quality / toxicity as labels.
+
+    Quality and toxicity are missing where ``labels`` does not cover a document.
+    """
+    docs = spread(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return docs.select(
         F.col("doc_id").cast("string").alias("line_id"),
         F.col("text").alias("DETAIL"),

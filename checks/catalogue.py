@@ -29,10 +29,10 @@ from ledgerloom.functions.text import (
     tokens,
 )
 from ledgerloom.functions.vectors import hashed_embedding, similarity_text, zero_vector
-from ledgerloom.operators import errors, inference, labels, metrics, prompts, results, retrieval, split, tfidf
+from ledgerloom.operators import errors, inference, labels, metrics, prompts, results, retrieval, review, split, tfidf
 from ledgerloom.operators.vote import vote
 from ledgerloom.plans import experiments, tuning
-from ledgerloom.plans.models import ForestSettings, LogisticSettings, MlClassifier
+from ledgerloom.plans.models import ForestSettings, LogisticSettings, MlClassifier, fit_text_models
 from ledgerloom.scale import small_side
 from ledgerloom.session import ship_package
 
@@ -175,11 +175,11 @@ def encoded_labels(spark, sf_dir):
 @query
 def decoded_labels(spark, sf_dir):
     """Codes shifted by one and read back: the last class is out of range."""
-    lines = ap_lines(spark, sf_dir)
-    coded, vocabulary = labels.encode_labels(lines.select("line_id", "NOMINAL", "TC"), ["NOMINAL", "TC"])
-    shifted = coded.withColumns({"n": F.col("NOMINAL_idx") + 1, "t": F.col("TC_idx") + 1})
-    read = labels.decode_labels(shifted, vocabulary, {"n": "NOMINAL", "t": "TC"})
-    return read.groupBy("NOMINAL", "TC", "n_label", "t_label").agg(F.count("*").alias("n_lines"))
+    coded, vocabulary = labels.encode_labels(ap_lines(spark, sf_dir).select("line_id", *FIELDS), FIELDS)
+    codes = {"n": "NOMINAL", "d": "DEPARTMENT", "t": "TC"}
+    shifted = coded.withColumns({short: F.col(f"{field}_idx") + 1 for short, field in codes.items()})
+    read = labels.decode_labels(shifted, vocabulary, codes)
+    return read.groupBy(*FIELDS, *[f"{short}_label" for short in codes]).agg(F.count("*").alias("n_lines"))
 
 
 @query
@@ -230,6 +230,13 @@ def stratified_split_fallback(spark, sf_dir):
     return made.data.select("line_id", "split", F.lit(made.level).alias("level"))
 
 
+@query
+def stratified_split_random(spark, sf_dir):
+    """Every line a class of its own: no level is possible but the last."""
+    made = split.stratified_random_split(ap_lines(spark, sf_dir).withColumn("NOMINAL", F.col("line_id")))
+    return made.data.select("line_id", "split", F.lit(made.level).alias("level"))
+
+
 @query
 def random_split(spark, sf_dir):
     return split.random_split(ap_lines(spark, sf_dir)).data.select("line_id", "split")
@@ -261,6 +268,15 @@ def group_split(spark, sf_dir):
     return split.group_split(events, "user_id").data
 
 
+@query
+def group_split_with_gaps(spark, sf_dir):
+    """A missing group is a group like any other."""
+    events = table(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("user_id") % 10 != 3, F.col("user_id").cast("string")).alias("user_id")
+    )
+    return split.group_split(events, "user_id").data
+
+
 @query
 def cluster_holdout(spark, sf_dir):
     made = split.semantic_holdout_split(vec_items(spark, sf_dir))
@@ -337,6 +353,39 @@ def knn_zero_vector(spark, sf_dir):
     return found.select("query_id", "idx", "rank", "distance", "similarity")
 
 
+@query
+def knn_empty_index(spark, sf_dir):
+    """No index rows: no answers, by either plan; each query is counted."""
+    asked, index = _queries_and_index(spark, sf_dir)
+    found = [
+        retrieval.knn(asked, index.where("idx < 0"), method=m).groupBy("query_id").agg(F.count("*").alias(m))
+        for m in ("broadcast", "blocks")
+    ]
+    out = asked.select("query_id")
+    for f in found:
+        out = out.join(f, "query_id", "left")
+    return out.select("query_id", *[F.coalesce(m, F.lit(0)).alias(m) for m in ("broadcast", "blocks")])
+
+
+@query
+def knn_empty_queries(spark, sf_dir):
+    """No queries: no answers, by either plan; each index row is counted."""
+    asked, index = _queries_and_index(spark, sf_dir)
+    out = index.select("idx")
+    for m in ("broadcast", "blocks"):
+        found = retrieval.knn(asked.where("query_id < 0"), index, method=m)
+        out = out.join(found.groupBy("idx").agg(F.count("*").alias(m)), "idx", "left")
+    return out.select("idx", *[F.coalesce(m, F.lit(0)).alias(m) for m in ("broadcast", "blocks")])
+
+
+@query
+def knn_tenant(spark, sf_dir):
+    """Neighbours within the same tenant only: one index and one query set for each department."""
+    asked, index = _queries_and_index(spark, sf_dir)
+    asked = asked.withColumn("tenant", F.concat(F.lit("D"), F.col("query_id") % 4))
+    return retrieval.knn_by_tenant(asked, index.withColumn("tenant", F.concat(F.lit("D"), F.col("idx") % 4)), k=3)
+
+
 @query
 def knn_accepted(spark, sf_dir):
     """Neighbours at or above the acceptance floor."""
@@ -357,14 +406,14 @@ def few_shot_block(spark, sf_dir):
 
 
 def _prompt_items(spark, sf_dir) -> DataFrame:
-    """Test vectors as lines: text, supplier and whole-number amounts for show."""
+    """Test vectors as lines: text, supplier, and amounts from very small to large."""
     nested = retrieval.nested_examples(_neighbours(spark, sf_dir))
     return nested.withColumns(
         {
             "DETAIL": F.concat(F.lit("item "), "query_id"),
             "SUPPLIER": F.concat(F.lit("S"), F.col("query_id") % 7),
-            "NET": F.col("query_id"),
-            "VAT": F.col("query_id") % 5,
+            "NET": F.col("query_id") * 12345.125,
+            "VAT": F.col("query_id") * 0.0005,
             "model_text": F.concat(F.lit("detail: item "), "query_id"),
         }
     )
@@ -409,6 +458,118 @@ def retrieval_metrics(spark, sf_dir):
     return metrics.field_metrics(_vote_predictions(spark, sf_dir))
 
 
+def _floor_split(spark, sf_dir):
+    made = vec_split(spark, sf_dir)
+    data = made.data.withColumns({"DETAIL": F.col("text"), "SUPPLIER": F.lit("none"), "model_text": F.col("text")})
+    return split.Split(data, made.level)
+
+
+@query
+def retrieval_with_floor(spark, sf_dir):
+    """A floor that leaves few neighbours: every test line is scored, most of them as failed."""
+    run = experiments.retrieval_experiment(_floor_split(spark, sf_dir), min_similarity=0.6)
+    return run.predictions.select("line_id", *[f"{s}_{f}" for f in REPORT_FIELDS for s in ("true", "pred")], "failed")
+
+
+def _echo_json(asked: list[str]) -> list[str]:
+    """Stands for a language model: answers with the labels of the first example in the prompt."""
+    import json
+    import re
+
+    out = []
+    for prompt in asked:
+        found = {f: re.search(rf"^  {f}: (.*)$", prompt, re.M).group(1) for f in LABEL_COLUMNS}
+        out.append(json.dumps({**found, **{f"{f}_confidence": 0.5 for f in LABEL_COLUMNS}, "reasoning": "first"}))
+    return out
+
+
+@query
+def retrieval_with_scorer(spark, sf_dir):
+    """Retrieve, show examples, ask a batch model, parse its JSON."""
+    made = _floor_split(spark, sf_dir)
+    lines = made.test.withColumns({"NET": F.col("idx") * 0.5, "VAT": F.lit(0.0)})
+    scorer = experiments.prompt_scorer(lines, _vec_vocab(spark, sf_dir), _echo_json)
+    run = experiments.retrieval_experiment(made, scorer=scorer, method="first example")
+    return run.predictions.select(
+        "line_id", *[f"pred_{f}" for f in REPORT_FIELDS], "reasoning", "failed", "error",
+        F.col("confidence")["nominal"].alias("nominal_confidence"),
+    )
+
+
+def _echo_lines(asked: list[str]) -> list[str]:
+    """Answers in lines with the first example's nominal; leaves the department out."""
+    import re
+
+    found = [re.search(r"  NOMINAL: (.*), DEPARTMENT: (.*), TC: (.*)$", p, re.M).groups() for p in asked]
+    return [f"NOMINAL: {n}\nTC: {t}" for n, _, t in found]
+
+
+@query
+def plain_batch(spark, sf_dir):
+    """The plain form: answers in lines; what is missing becomes the first label."""
+    made = _floor_split(spark, sf_dir)
+    scorer = experiments.prompt_scorer(made.test, _vec_vocab(spark, sf_dir), _echo_lines, plain=True)
+    run = experiments.retrieval_experiment(made, scorer=scorer, method="plain")
+    return run.predictions.select("line_id", *[f"pred_{f}" for f in REPORT_FIELDS], "failed")
+
+
+@query
+def error_report_extended(spark, sf_dir):
+    """The long report, with confidence and reasoning."""
+    return errors.error_report(_vote_predictions(spark, sf_dir)).select(
+        *errors.REPORT_COLUMNS, F.get_json_object("confidence", "$.nominal").cast("double").alias("nominal_confidence"),
+        "reasoning",
+    )
+
+
+@query
+def review_routing(spark, sf_dir):
+    """Votes of which one label is unsure go to review."""
+    routed = review.route_for_review(_voted(spark, sf_dir))
+    return routed.select("query_id", "least_confidence", "review")
+
+
+@query
+def review_cascade(spark, sf_dir):
+    """Unsure votes get a second look with fifteen neighbours."""
+    made = _floor_split(spark, sf_dir)
+    index = retrieval.build_index(made.train)
+    first = _voted(spark, sf_dir).withColumn("line_id", F.col("query_id").cast("string"))
+
+    def second(keys: DataFrame) -> DataFrame:
+        asked = made.test.join(keys, "line_id").select("line_id", "embedding")
+        return experiments.retrieval_predictions(asked, index, 15)
+
+    return review.cascade(first, second).select("line_id", *LABEL_COLUMNS, "stage")
+
+
+@query
+def corrected_index(spark, sf_dir):
+    """Every seventh vector was corrected twice, the later time in one field only."""
+    _, index = _queries_and_index(spark, sf_dir)
+    fixes = index.where(F.col("idx") % 7 == 0)
+    one = fixes.select("idx", F.lit(1).alias("corrected_at"), F.lit("NX").alias("nominal"), F.lit("DX").alias("department"), F.lit("TX").alias("tax_code"))
+    two = fixes.where(F.col("idx") % 2 == 0).select("idx", F.lit(2).alias("corrected_at"), F.lit("NY").alias("nominal"), F.lit(None).cast("string").alias("department"), F.lit(None).cast("string").alias("tax_code"))
+    return review.merge_corrections(index, one.unionByName(two)).select("idx", *LABEL_COLUMNS)
+
+
+@query
+def confidence_drift(spark, sf_dir):
+    """Event values as confidences, by month."""
+    events = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("e"), "event_id").alias("line_id"), F.col("ts"),
+        F.create_map(*[x for f in LABEL_COLUMNS for x in (F.lit(f), F.pmod(F.col("event_id"), F.lit(11)) / 10.0)]).alias("confidence"),
+    )
+    drift = review.confidence_drift(events, "ts", "7 days")
+    return drift.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+
+
+@query
+def prediction_versions(spark, sf_dir):
+    out = review.with_versions(_voted(spark, sf_dir), "vote-1", "few-shot-1")
+    return out.select("query_id", "nominal", "model_version", "prompt_version")
+
+
 @query
 def parse_json(spark, sf_dir):
     answers = responses(spark, sf_dir).select("line_id", "response")
@@ -468,7 +629,7 @@ def batch_embed(spark, sf_dir):
 def hashed_vectors(spark, sf_dir):
     """Non-zero members of the built-in text vectors of whole documents."""
     docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
-    vectors = hashed_embedding(docs, "text", dim=64)
+    vectors = hashed_embedding(docs, "text", dim=384)
     return vectors.select("doc_id", F.posexplode_outer("embedding").alias("pos", "value")).where("value <> 0")
 
 
@@ -478,7 +639,7 @@ def novel_items(spark, sf_dir):
     items = table(spark, sf_dir, "part").select(
         F.col("p_name").alias("line_id"), F.col("p_name").alias("DETAIL")
     ).distinct()
-    labelled = experiments.classify_novel_items(items, ap_lines(spark, sf_dir), dim=64)
+    labelled = experiments.classify_novel_items(items, ap_lines(spark, sf_dir), dim=384)
     return labelled.select(
         "line_id", *LABEL_COLUMNS, *[F.col("confidence")[f].alias(f"{f}_confidence") for f in LABEL_COLUMNS],
         F.array_join(F.transform("examples", lambda e: e["idx"]), ",").alias("neighbours"),
@@ -548,7 +709,10 @@ def wrong_field_histogram(spark, sf_dir):
 
 @query
 def supplier_errors(spark, sf_dir):
-    return errors.supplier_errors(predictions(spark, sf_dir))
+    """Counts per supplier, and the confused pairs of labels as text."""
+    shown = F.transform("confusions", lambda x: F.concat_ws(":", x["field"], x["true"], x["pred"], x["n"]))
+    found = errors.supplier_errors(predictions(spark, sf_dir))
+    return found.withColumn("confusions", F.array_join(shown, ";"))
 
 
 @query
@@ -638,8 +802,8 @@ def union_results(spark, sf_dir):
 
 def _documents(spark, sf_dir):
     def make():
-        lines = add_model_text_column(doc_items(spark, sf_dir))
-        return split.stratified_random_split(lines)
+        known = doc_items(spark, sf_dir).where(F.col("TC").isNotNull())
+        return split.stratified_random_split(add_model_text_column(known))
 
     return shared("documents", spark, sf_dir, make)
 
@@ -647,27 +811,64 @@ def _documents(spark, sf_dir):
 @query
 def tfidf_lr(spark, sf_dir):
     """TF-IDF and logistic regression on whole documents, one model per field."""
-    run = experiments.tfidf_experiment(_documents(spark, sf_dir))
-    return run.predictions.drop("confidence", "detail")
+    made = _documents(spark, sf_dir)
+    return _judged(experiments.tfidf_experiment(made).predictions, made.train)
 
 
 @query
 def predict_proba(spark, sf_dir):
+    """Probabilities of all fields: one for each label, and they add up."""
     made = _documents(spark, sf_dir)
-    model = MlClassifier("tfidf", ["NOMINAL"]).fit(made.train)
-    return model.predict_proba(made.test).select("line_id", F.explode("NOMINAL_proba").alias("label", "p"))
+    scored = made.test
+    for model in fit_text_models(made.train, FIELDS):
+        scored = model.predict_proba(scored)
+    rows = [
+        F.struct(
+            F.lit(f).alias("field"), F.size(f"{f}_proba").alias("n_labels"),
+            F.aggregate(F.map_values(f"{f}_proba"), F.lit(0.0), lambda a, x: a + x).alias("total"),
+        )
+        for f in FIELDS
+    ]
+    return scored.select("line_id", F.explode(F.array(*rows)).alias("r")).select("line_id", "r.*")
 
 
 @query
 def embed_lr_multi(spark, sf_dir):
     made = split.Split(_as_lines(vec_split(spark, sf_dir).data), "random")
-    return experiments.vector_experiment(made).predictions.drop("confidence")
+    return _judged(experiments.vector_experiment(made).predictions, made.train)
 
 
 @query
 def embed_rf_multi(spark, sf_dir):
     made = split.Split(_as_lines(vec_split(spark, sf_dir).data), "random")
-    return experiments.vector_experiment(made, "random_forest").predictions.drop("confidence")
+    return _judged(experiments.vector_experiment(made, "random_forest").predictions, made.train)
+
+
+@query
+def integer_labels(spark, sf_dir):
+    """Label codes as integers, 1, 2 and 10 among them, keep their type and are found again.
+
+    The vectors get members that tell the label, so that a right model cannot miss it.
+    """
+    codes = F.element_at(F.array(*[F.lit(c) for c in (1, 2, 10, 20, 3, 11, 100, 12, 4, 30)]), F.col("label") % 10 + 1)
+    vectors = table(spark, sf_dir, "embeddings").withColumns({"code": codes, "side": F.col("vec_id") % 5})
+    told = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == F.col("label") % 10, 5.0).otherwise(0.0))
+    vectors = vectors.withColumn("embedding", F.concat(told, F.col("embedding").cast("array<double>")))
+    model = MlClassifier("embeddings", ["code"], settings=LogisticSettings(max_iter=50)).fit(vectors.where("side > 0"))
+    scored = model.predict(vectors.where("side = 0"))
+    right = F.count_if(F.col("code") == F.col("code_pred")) >= 0.9 * F.count("*")
+    return scored.groupBy("code").agg(F.count("*").alias("n"), right.alias("mostly_right"))
+
+
+def _judged(predictions: DataFrame, train: DataFrame) -> DataFrame:
+    """Truth beside what must hold of any model: it predicts a label it was taught, with a confidence."""
+    known = {f: [r[0] for r in train.where(F.col(c).isNotNull()).select(c).distinct().collect()] for f, c in zip(REPORT_FIELDS, FIELDS)}
+    taught = [F.col(f"pred_{f}").isin(known[f]).alias(f"{f}_known") for f in REPORT_FIELDS]
+    sure = [
+        ((F.col("confidence")[n] >= 1.0 / len(known[f]) - 1e-9) & (F.col("confidence")[n] <= 1 + 1e-9)).alias(f"{f}_sure")
+        for f, n in zip(REPORT_FIELDS, LABEL_COLUMNS)
+    ]
+    return predictions.select("line_id", *[f"true_{f}" for f in REPORT_FIELDS], *taught, *sure)
 
 
 def _as_lines(df: DataFrame) -> DataFrame:
@@ -684,8 +885,9 @@ def grid_search_small(spark, sf_dir):
     found = tuning.grid_search_tfidf(
         _documents(spark, sf_dir).train, "NOMINAL", grid=grid, n_folds=3
     )
-    rows = [(p["max_features"], p["C"], s, p == found.best_params) for p, s in found.scores]
-    return spark.createDataFrame(rows, "max_features int, c double, f1_macro double, best boolean")
+    top = max(s for _, s in found.scores)
+    rows = [(p["max_features"], p["C"], 0 <= s <= 1, p != found.best_params or s == top) for p, s in found.scores]
+    return spark.createDataFrame(rows, "max_features int, c double, scored boolean, best_is_top boolean")
 
 
 @query
@@ -699,5 +901,6 @@ def random_search_small(spark, sf_dir):
     rows = []
     for classifier, settings in choices.items():
         found = tuning.random_search_embeddings(train, FIELDS, classifier, n_folds=3, settings=settings)
-        rows += [(classifier, i, s, p == found.best_params) for i, (p, s) in enumerate(found.scores)]
-    return spark.createDataFrame(rows, "classifier string, draw int, f1_macro double, best boolean")
+        top = max(s for _, s in found.scores)
+        rows += [(classifier, i, 0 <= s <= 1, p != found.best_params or s == top) for i, (p, s) in enumerate(found.scores)]
+    return spark.createDataFrame(rows, "classifier string, draw int, scored boolean, best_is_top boolean")

@@ -20,7 +20,7 @@ AP = """ap AS (
 DOCS = """docs AS (
   SELECT CAST(doc_id AS VARCHAR) AS line_id, text AS "DETAIL", source AS "SUPPLIER", lang AS "NOMINAL",
          'Q' || quality AS "DEPARTMENT", 'X' || toxic AS "TC"
-  FROM documents JOIN labels USING (doc_id))"""
+  FROM documents LEFT JOIN labels USING (doc_id))"""
 
 VECS = """vecs AS (
   SELECT vec_id AS idx, 'item ' || vec_id AS text, CAST(embedding AS DOUBLE[]) AS embedding,
@@ -195,7 +195,7 @@ VOTED = f"{KNN}, {_BALLOT}"
 VOTE_PREDICTIONS = """vote_pred AS (
   SELECT s.line_id, s.nominal AS true_nominal, v.nominal AS pred_nominal, s.department AS true_department,
          v.department AS pred_department, s.tax_code AS true_tc, v.tax_code AS pred_tc
-  FROM sp s JOIN voted v ON v.query_id = s.idx)"""
+  FROM sp s LEFT JOIN voted v ON v.query_id = s.idx WHERE s.split = 'test')"""
 
 # ---- comparing runs ----
 
@@ -312,8 +312,8 @@ _NOVEL = f"""{AP},
 past AS (SELECT line_id, {MODEL_TEXT} AS model_text, "NOMINAL" AS nominal, "DEPARTMENT" AS department, "TC" AS tax_code FROM ap),
 fresh AS (SELECT DISTINCT p_name AS query_id, 'detail: ' || {norm('p_name')} AS model_text FROM part),
 past_texts AS (SELECT DISTINCT model_text FROM past),
-past_vec AS ({hashed('past_texts', 'model_text', 'model_text', 64)}),
-fresh_vec AS ({hashed('fresh', 'query_id', 'model_text', 64)}),
+past_vec AS ({hashed('past_texts', 'model_text', 'model_text', 384)}),
+fresh_vec AS ({hashed('fresh', 'query_id', 'model_text', 384)}),
 by_text AS (
   SELECT query_id, p.model_text, round(1 - sum(p.value * f.value), 9) AS distance
   FROM past_vec p JOIN fresh_vec f USING (pos) GROUP BY query_id, p.model_text),
@@ -330,6 +330,10 @@ _PER_FIELD = """ballot AS (
     UNION ALL SELECT query_id, similarity, 'tax_code', tax_code FROM knn) GROUP BY ALL)"""
 _CHOSEN = _BALLOT[_BALLOT.index("chosen AS"):]
 
+_HOLDS = ", ".join(f"true AS {f}_{x}" for f in ("nominal", "department", "tc") for x in ("known", "sure"))
+# Only labelled documents are fitted; the split is made of them.
+_KNOWN_SPLIT = FALLBACK.replace("LEFT JOIN labels", "JOIN labels")
+
 ORACLE: dict[str, str] = {
     # text
     "text_normalized": f"SELECT doc_id, {norm('text')} AS text_norm FROM documents",
@@ -355,14 +359,17 @@ ORACLE: dict[str, str] = {
       LEFT JOIN vocab d ON d.field = 'DEPARTMENT' AND d.label = gaps."DEPARTMENT"
       LEFT JOIN vocab t ON t.field = 'TC' AND t.label = gaps."TC" """,
     "decoded_labels": f"""WITH {AP}, {vocabulary('ap')}
-      SELECT ap."NOMINAL", ap."TC", coalesce(n2.label, 'UNKNOWN') AS n_label, coalesce(t2.label, 'UNKNOWN') AS t_label, count(*) AS n_lines
-      FROM ap JOIN vocab n ON n.field = 'NOMINAL' AND n.label = ap."NOMINAL" JOIN vocab t ON t.field = 'TC' AND t.label = ap."TC"
-      LEFT JOIN vocab n2 ON n2.field = 'NOMINAL' AND n2.idx = n.idx + 1 LEFT JOIN vocab t2 ON t2.field = 'TC' AND t2.idx = t.idx + 1
+      SELECT ap."NOMINAL", ap."DEPARTMENT", ap."TC", coalesce(n2.label, 'UNKNOWN') AS n_label, coalesce(d2.label, 'UNKNOWN') AS d_label,
+        coalesce(t2.label, 'UNKNOWN') AS t_label, count(*) AS n_lines
+      FROM ap JOIN vocab n ON n.field = 'NOMINAL' AND n.label = ap."NOMINAL" JOIN vocab d ON d.field = 'DEPARTMENT' AND d.label = ap."DEPARTMENT"
+      JOIN vocab t ON t.field = 'TC' AND t.label = ap."TC"
+      LEFT JOIN vocab n2 ON n2.field = 'NOMINAL' AND n2.idx = n.idx + 1 LEFT JOIN vocab d2 ON d2.field = 'DEPARTMENT' AND d2.idx = d.idx + 1
+      LEFT JOIN vocab t2 ON t2.field = 'TC' AND t2.idx = t.idx + 1
       GROUP BY ALL""",
     "class_weights": f"""WITH {DOCS} SELECT "NOMINAL" AS label, count(*) AS n,
       round((SELECT count(*) FROM docs) / ((SELECT count(DISTINCT "NOMINAL") FROM docs) * count(*)), 6) AS weight
       FROM docs GROUP BY "NOMINAL" """,
-    "rare_classes": f"""WITH {DOCS} SELECT field, label, count(*) AS n FROM ({fields('docs')}) GROUP BY ALL HAVING count(*) < 100""",
+    "rare_classes": f"""WITH {DOCS} SELECT field, label, count(*) AS n FROM ({fields('docs')}) WHERE label IS NOT NULL GROUP BY ALL HAVING count(*) < 100""",
     # TF-IDF
     "tfidf_vocab": f"""WITH {AP}, lines AS (SELECT line_id, {MODEL_TEXT} AS model_text FROM ap),
       {tfidf('lines', 'model_text', 2, 500, 2, '0.9', 'tf')} SELECT term, df, cf, idx, round(idf, 6) AS idf FROM terms""",
@@ -419,7 +426,7 @@ ORACLE: dict[str, str] = {
     "batch_embed": "SELECT conv_id || '-' || turn AS line_id, " + ", ".join(
         f"CAST(len(lower(text)) - len(replace(lower(text), '{c}', '')) AS DOUBLE) AS {c}" for c in "aeiou"
     ) + ", NULL::VARCHAR AS embed_error FROM conversations",
-    "hashed_vectors": f"SELECT doc_id, pos, round(value, 6) AS value FROM ({hashed('documents', 'doc_id', 'text', 64)})",
+    "hashed_vectors": f"SELECT doc_id, pos, round(value, 6) AS value FROM ({hashed('documents', 'doc_id', 'text', 384)})",
     "novel_items": f"""WITH {_NOVEL}, {_PER_FIELD}, {_CHOSEN}
       SELECT query_id AS line_id, nominal, department, tax_code, round(nominal_confidence, 6) AS nominal_confidence,
         round(department_confidence, 6) AS department_confidence, round(tax_code_confidence, 6) AS tax_code_confidence,
@@ -446,17 +453,20 @@ ORACLE: dict[str, str] = {
       SELECT field, count(*) FILTER (WHERE t <> p) AS n_wrong, any_value(total) AS n_error_rows, round(count(*) FILTER (WHERE t <> p) / any_value(total), 6) AS share
       FROM long, e GROUP BY field""",
     "wrong_field_histogram": f"WITH {PREDICTIONS} SELECT CAST({N_WRONG} AS BIGINT) AS n_wrong, count(*) AS n_rows FROM pred WHERE ({N_WRONG}) > 0 GROUP BY 1",
-    "supplier_errors": f"""WITH {PREDICTIONS}, wrong AS (
-        SELECT supplier, line_id, 'nominal' AS field, true_nominal AS t, pred_nominal AS p FROM pred WHERE true_nominal <> pred_nominal
-        UNION ALL SELECT supplier, line_id, 'department', true_department, pred_department FROM pred WHERE true_department <> pred_department
-        UNION ALL SELECT supplier, line_id, 'tc', true_tc, pred_tc FROM pred WHERE true_tc <> pred_tc)
-      SELECT supplier, count(DISTINCT line_id) AS n_error_rows, count(*) AS n_wrong_labels, count(DISTINCT (field, t, p)) AS n_confusions,
-        count(DISTINCT (field, t, p)) FILTER (field = 'department') AS n_department_confusions FROM wrong GROUP BY supplier""",
+    "supplier_errors": f"""WITH {PREDICTIONS}, {long().replace('SELECT', 'SELECT supplier, line_id,')},
+      wrong AS (SELECT * FROM long WHERE NOT coalesce(t = p, false)),
+      pairs AS (SELECT supplier, field, t, p, count(*) AS n FROM wrong GROUP BY ALL)
+      SELECT supplier, any_value(rows) AS n_error_rows, CAST(sum(n) AS BIGINT) AS n_wrong_labels, count(*) AS n_confusions,
+        string_agg(concat_ws(':', field, t, p, n), ';' ORDER BY field, t, p) AS confusions
+      FROM pairs JOIN (SELECT supplier, count(DISTINCT line_id) AS rows FROM wrong GROUP BY supplier) USING (supplier) GROUP BY supplier""",
     "majority_collapse": f"""WITH {SCORED}, m AS (SELECT CASE field WHEN 'NOMINAL' THEN 'nominal' WHEN 'DEPARTMENT' THEN 'department' ELSE 'tc' END AS field,
-        label AS majority_label FROM overall), e AS (SELECT field, majority_label, count(*) AS n_errors, count(*) FILTER (WHERE p = majority_label) AS n_to_majority
-        FROM long JOIN m USING (field) WHERE t <> p GROUP BY ALL)
-      SELECT field, majority_label, n_errors, n_to_majority, round(n_to_majority / n_errors, 6) AS share_to_majority, n_classes, n_zero_f1
-      FROM e JOIN (SELECT field, count(*) AS n_classes, count(*) FILTER (WHERE f1 = 0) AS n_zero_f1 FROM report GROUP BY field) USING (field)""",
+        label AS majority_label FROM overall),
+      e AS (SELECT m.field, majority_label, count(t) + count(*) FILTER (WHERE t IS NULL AND w.field IS NOT NULL) AS n_errors,
+                   count(*) FILTER (WHERE p = majority_label) AS n_to_majority
+        FROM m LEFT JOIN (SELECT * FROM long WHERE NOT coalesce(t = p, false)) w ON w.field = m.field GROUP BY ALL)
+      SELECT e.field, majority_label, n_errors, n_to_majority, round(CASE WHEN n_errors = 0 THEN 0.0 ELSE n_to_majority / n_errors END, 6) AS share_to_majority,
+        coalesce(n_classes, 0) AS n_classes, coalesce(n_zero_f1, 0) AS n_zero_f1
+      FROM e LEFT JOIN (SELECT field, count(*) AS n_classes, count(*) FILTER (WHERE f1 = 0) AS n_zero_f1 FROM report GROUP BY field) r ON r.field = e.field""",
     # comparing runs
     "leaderboard": f"""WITH {RESULTS} SELECT experiment, method, is_baseline, run_order, round(f1_macro, 6) AS f1_macro, round(accuracy, 6) AS accuracy,
       round(sample_wise_f1, 6) AS sample_wise_f1, row_number() OVER (ORDER BY f1_macro DESC, run_order) AS rank, f1_macro >= 0.7 AS passed,
@@ -471,4 +481,73 @@ ORACLE: dict[str, str] = {
     "winner_fields": f"""WITH {RESULTS}, w AS (SELECT method FROM methods ORDER BY f1_macro DESC, run_order LIMIT 1)
       SELECT experiment, method, field, round(f1_macro, 6) AS f1_macro, round(accuracy, 6) AS accuracy FROM results WHERE method IN (SELECT method FROM w)""",
     "union_results": f"WITH {RESULTS} SELECT method, round(f1_macro, 6) AS f1_macro FROM methods",
+    # later additions
+    "stratified_split_random": f"WITH {AP}, {split('ap', chr(39) + 'all' + chr(39))} SELECT line_id, split, 'random' AS level FROM sp",
+    "group_split_with_gaps": """WITH ev AS (SELECT event_id, CASE WHEN user_id % 10 <> 3 THEN user_id::VARCHAR END AS user_id FROM events),
+      g AS (SELECT u, row_number() OVER (ORDER BY md5('42|' || u) || '|' || u) AS r FROM (SELECT DISTINCT coalesce(user_id, 'nan') AS u FROM ev)),
+      c AS (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) AS t FROM g)
+      SELECT event_id, user_id, CASE WHEN r <= t THEN 'train' ELSE 'test' END AS split FROM ev JOIN g ON u = coalesce(user_id, 'nan'), c""",
+    "cluster_holdout": f"""WITH {VECS}, size AS (
+        SELECT CAST(ceil(log2(greatest(5, floor(sqrt(count(*)))))) AS INT) AS bits, max(len(embedding)) AS dim FROM vecs),
+      planes AS (SELECT j, list(CASE WHEN md5('42|' || j || '|' || i) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY i) AS plane
+        FROM size, (SELECT unnest(range(0, bits)) AS j FROM size), (SELECT unnest(range(0, dim)) AS i FROM size) GROUP BY j),
+      mean AS (SELECT list(m ORDER BY i) AS centre FROM (
+        SELECT i, round(avg(embedding[i + 1]), 6) AS m FROM vecs, (SELECT unnest(range(0, dim)) AS i FROM size) GROUP BY i)),
+      cells AS (SELECT idx, CAST(sum(CASE WHEN list_inner_product(list_transform(list_zip(embedding, centre), lambda p: p[1] - p[2]), plane) >= 0 THEN (1::BIGINT << j::BIGINT) ELSE 0 END) AS BIGINT) AS cluster
+        FROM vecs, planes, mean GROUP BY idx),
+      g AS (SELECT cluster, row_number() OVER (ORDER BY md5('42|' || cluster) || '|' || cluster) AS r FROM (SELECT DISTINCT cluster FROM cells)),
+      c AS (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) AS t FROM g)
+      SELECT idx, cluster, CASE WHEN r <= t THEN 'train' ELSE 'test' END AS split FROM cells JOIN g USING (cluster), c""",
+    "knn_empty_index": f"WITH {VEC_SPLIT} SELECT idx AS query_id, 0::BIGINT AS broadcast, 0::BIGINT AS blocks FROM {TEST}",
+    "knn_empty_queries": f"WITH {VEC_SPLIT} SELECT idx, 0::BIGINT AS broadcast, 0::BIGINT AS blocks FROM {TRAIN}",
+    "knn_tenant": f"""WITH {VEC_SPLIT}, q AS (SELECT *, sqrt(list_inner_product(embedding, embedding)) AS norm FROM {TEST}),
+      i AS (SELECT *, sqrt(list_inner_product(embedding, embedding)) AS norm FROM {TRAIN}),
+      d AS (SELECT q.idx AS query_id, i.idx AS idx, round(1 - list_inner_product(q.embedding, i.embedding) / (q.norm * i.norm), 9) AS distance
+            FROM q JOIN i ON q.idx % 4 = i.idx % 4)
+      SELECT query_id, idx, round(distance, 6) AS distance, round(1 - distance, 6) AS similarity, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, idx) AS rank FROM d) WHERE rank <= 3""",
+    "retrieval_with_floor": f"""WITH {VEC_SPLIT}, {neighbours(TEST, TRAIN, 5, 'every_knn')}, knn AS (SELECT * FROM every_knn WHERE similarity >= 0.6), {_BALLOT}
+      SELECT s.line_id, s.nominal AS true_nominal, coalesce(v.nominal, '') AS pred_nominal, s.department AS true_department,
+        coalesce(v.department, '') AS pred_department, s.tax_code AS true_tc, coalesce(v.tax_code, '') AS pred_tc, v.query_id IS NULL AS failed
+      FROM {TEST} s LEFT JOIN voted v ON v.query_id = s.idx""",
+    "retrieval_with_scorer": f"""WITH {KNN} SELECT s.line_id, n.nominal AS pred_nominal, n.department AS pred_department, n.tax_code AS pred_tc,
+        'first' AS reasoning, false AS failed, NULL::VARCHAR AS error, 0.5::DOUBLE AS nominal_confidence
+      FROM knn JOIN vecs n USING (idx) JOIN sp s ON s.idx = query_id WHERE rank = 1""",
+    "plain_batch": f"""WITH {KNN} SELECT s.line_id, n.nominal AS pred_nominal, (SELECT min(department) FROM vecs) AS pred_department, n.tax_code AS pred_tc,
+        false AS failed FROM knn JOIN vecs n USING (idx) JOIN sp s ON s.idx = query_id WHERE rank = 1""",
+    "error_report_extended": f"""WITH {VOTED} SELECT s.text AS detail, 'none' AS supplier, s.nominal AS true_nominal, v.nominal AS pred_nominal,
+        s.department AS true_department, v.department AS pred_department, s.tax_code AS true_tc, v.tax_code AS pred_tc,
+        round(v.nominal_confidence, 6) AS nominal_confidence,
+        (SELECT count(*) FROM knn k WHERE k.query_id = v.query_id) || ' similar lines, nearest: ' ||
+        (SELECT text FROM knn k JOIN vecs USING (idx) WHERE k.query_id = v.query_id AND rank = 1) AS reasoning
+      FROM sp s JOIN voted v ON v.query_id = s.idx WHERE s.nominal <> v.nominal OR s.department <> v.department OR s.tax_code <> v.tax_code""",
+    "review_routing": f"""WITH {VOTED} SELECT query_id, round(least(nominal_confidence, department_confidence, tax_code_confidence), 6) AS least_confidence,
+        least(nominal_confidence, department_confidence, tax_code_confidence) < 0.7 AS review FROM voted""",
+    "review_cascade": f"""WITH {VOTED}, v1 AS (SELECT *, least(nominal_confidence, department_confidence, tax_code_confidence) AS low FROM voted),
+      again AS (SELECT * FROM (WITH {VEC_SPLIT}, {neighbours(TEST, TRAIN, 15)}, {_BALLOT} SELECT * FROM voted)),
+      v2 AS (SELECT *, least(nominal_confidence, department_confidence, tax_code_confidence) AS low FROM again)
+      SELECT CAST(v1.query_id AS VARCHAR) AS line_id, CASE WHEN v1.low >= 0.7 THEN v1.nominal ELSE v2.nominal END AS nominal,
+        CASE WHEN v1.low >= 0.7 THEN v1.department ELSE v2.department END AS department,
+        CASE WHEN v1.low >= 0.7 THEN v1.tax_code ELSE v2.tax_code END AS tax_code,
+        CASE WHEN v1.low >= 0.7 THEN 'first' WHEN v2.low < 0.7 THEN 'review' ELSE 'second' END AS stage
+      FROM v1 JOIN v2 USING (query_id)""",
+    "corrected_index": f"""WITH {VEC_SPLIT} SELECT idx, CASE WHEN idx % 14 = 0 THEN 'NY' WHEN idx % 7 = 0 THEN 'NX' ELSE nominal END AS nominal,
+        CASE WHEN idx % 7 = 0 AND idx % 2 <> 0 THEN 'DX' ELSE department END AS department,
+        CASE WHEN idx % 7 = 0 AND idx % 2 <> 0 THEN 'TX' ELSE tax_code END AS tax_code FROM {TRAIN}""",
+    "confidence_drift": """WITH e AS (SELECT epoch_ms(CAST(floor(epoch(ts) / 604800) AS BIGINT) * 604800000) AS w, (event_id % 11) / 10.0 AS c FROM events),
+      d AS (SELECT w, count(*) AS n, avg(c) AS mean_confidence, avg((c < 0.7)::INT) AS unsure_share FROM e GROUP BY w)
+      SELECT strftime(w, '%Y-%m-%d') AS window_start, n, round(mean_confidence, 6) AS mean_confidence, round(unsure_share, 6) AS unsure_share,
+        coalesce(unsure_share - lag(unsure_share) OVER (ORDER BY w) > 0.1, false) AS alert FROM d""",
+    "prediction_versions": f"WITH {VOTED} SELECT query_id, nominal, 'vote-1' AS model_version, 'few-shot-1' AS prompt_version FROM voted",
+    "integer_labels": """SELECT ([1, 2, 10, 20, 3, 11, 100, 12, 4, 30])[label % 10 + 1]::BIGINT AS code, count(*) AS n, true AS mostly_right
+      FROM embeddings WHERE vec_id % 5 = 0 GROUP BY ALL""",
+    "tfidf_lr": f"""WITH {_KNOWN_SPLIT} SELECT line_id, "NOMINAL" AS true_nominal, "DEPARTMENT" AS true_department, "TC" AS true_tc, {_HOLDS}
+      FROM sp WHERE split = 'test'""",
+    "predict_proba": f"""WITH {_KNOWN_SPLIT}, k AS (SELECT field, count(DISTINCT label) AS n_labels FROM ({fields("(SELECT * FROM sp WHERE split = 'train')")}) GROUP BY field)
+      SELECT line_id, field, n_labels, 1.0::DOUBLE AS total FROM sp, k WHERE split = 'test'""",
+    "embed_lr_multi": f"WITH {VEC_SPLIT} SELECT line_id, nominal AS true_nominal, department AS true_department, tax_code AS true_tc, {_HOLDS} FROM {TEST}",
+    "embed_rf_multi": f"WITH {VEC_SPLIT} SELECT line_id, nominal AS true_nominal, department AS true_department, tax_code AS true_tc, {_HOLDS} FROM {TEST}",
+    "grid_search_small": "SELECT x::BIGINT AS max_features, 1.0::DOUBLE AS c, true AS scored, true AS best_is_top FROM (SELECT unnest([300, 600]) AS x)",
+    "random_search_small": """SELECT c AS classifier, d::BIGINT AS draw, true AS scored, true AS best_is_top
+      FROM (SELECT unnest(['logistic_regression', 'random_forest']) AS c), (SELECT unnest([0, 1]) AS d)""",
 }

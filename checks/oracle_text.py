@@ -21,11 +21,15 @@ def _python_list(column: str, table: str) -> str:
     return f"(SELECT '[''' || string_agg(x, ''', ''' ORDER BY x) || ''']' FROM (SELECT DISTINCT {column} AS x FROM {table}))"
 
 
+def _amount(value: str) -> str:
+    return rf"regexp_replace(CAST(CAST({value} AS DECIMAL(38,6)) AS VARCHAR), '\.?0+$', '')"
+
+
 def chat(table: str) -> str:
     """Chat messages; every label is plain text without quotes."""
     return f"""SELECT query_id, {quoted(SYSTEM_TEXT)} AS system_prompt,
   'Code this invoice line.' || chr(10) || chr(10) || 'DETAIL: item ' || query_id || chr(10) || 'SUPPLIER: S' || (query_id % 7)
-  || chr(10) || 'NET: ' || query_id || chr(10) || 'VAT: ' || (query_id % 5) || chr(10) || chr(10) || 'Most similar past lines:' || chr(10)
+  || chr(10) || 'NET: ' || {_amount('query_id * 12345.125')} || chr(10) || 'VAT: ' || {_amount('query_id * 0.0005')} || chr(10) || chr(10) || 'Most similar past lines:' || chr(10)
   || {FEW_SHOT} || chr(10) || chr(10) || 'NOMINAL may be one of: ' || {_python_list('nominal', table)}
   || chr(10) || 'DEPARTMENT may be one of: ' || {_python_list('department', table)}
   || chr(10) || 'TAX CODE may be one of: ' || {_python_list('tax_code', table)}

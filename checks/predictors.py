@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.adapters import ap_lines
 from ledgerloom.config import LABEL_COLUMNS, REPORT_FIELDS
-from ledgerloom.operators.split import Split, stratified_random_split
+from ledgerloom.operators.split import Split
 from ledgerloom.scale import small_side
 
 COLUMNS = dict(zip(REPORT_FIELDS, LABEL_COLUMNS.values()))
@@ -71,7 +70,3 @@ def supplier_predictions(split: Split) -> DataFrame:
             for f in COLUMNS
         ],
     )
-
-
-def line_split(spark: SparkSession, sf_dir: str) -> Split:
-    return stratified_random_split(ap_lines(spark, sf_dir))

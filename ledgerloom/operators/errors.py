@@ -87,11 +87,13 @@ def supplier_errors(predictions: DataFrame) -> DataFrame:
     distinct = wrong.groupBy("supplier", "pair").agg(
         F.count("*").alias("n"), F.count_if(F.col("at") == 0).alias("rows")
     )
+    pair = F.struct("pair.field", "pair.true", "pair.pred", "n")
     return distinct.groupBy("supplier").agg(
         F.sum("rows").alias("n_error_rows"),
         F.sum("n").alias("n_wrong_labels"),
         F.count("*").alias("n_confusions"),
-        F.count_if(F.col("pair.field") == "department").alias("n_department_confusions"),
+        # At most one entry for each field and pair of labels.
+        F.array_sort(F.collect_list(pair)).alias("confusions"),
     )
 
 
@@ -116,10 +118,11 @@ def majority_collapse(train: DataFrame, predictions: DataFrame) -> DataFrame:
     )
     wrong = confusion_counts(predictions).where(~labels_match("true", "pred"))
     falls = (
-        wrong.join(F.broadcast(majority), "field")  # one row per field
+        F.broadcast(majority)  # one row per field; a field without errors stays
+        .join(wrong, "field", "left")
         .groupBy("field", "majority_label")
         .agg(
-            F.sum("n").alias("n_errors"),
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n_errors"),
             F.coalesce(
                 F.sum(F.when(F.col("pred") == F.col("majority_label"), F.col("n"))), F.lit(0)
             ).alias("n_to_majority"),
@@ -128,12 +131,12 @@ def majority_collapse(train: DataFrame, predictions: DataFrame) -> DataFrame:
     zero = class_report(predictions).groupBy("field").agg(
         F.count("*").alias("n_classes"), F.count_if(F.col("f1") == 0).alias("n_zero_f1")
     )
-    return falls.join(zero, "field").select(
+    return falls.join(zero, "field", "left").select(
         "field",
         "majority_label",
         "n_errors",
         "n_to_majority",
-        (F.col("n_to_majority") / F.col("n_errors")).alias("share_to_majority"),
-        "n_classes",
-        "n_zero_f1",
+        F.coalesce(F.try_divide("n_to_majority", "n_errors"), F.lit(0.0)).alias("share_to_majority"),
+        F.coalesce("n_classes", F.lit(0)).alias("n_classes"),
+        F.coalesce("n_zero_f1", F.lit(0)).alias("n_zero_f1"),
     )

@@ -20,6 +20,7 @@ PREDICTION = T.StructType(
         T.StructField("confidence", T.MapType(T.StringType(), T.DoubleType())),
         T.StructField("reasoning", T.StringType()),
         T.StructField("failed", T.BooleanType()),
+        T.StructField("error", T.StringType()),
     ]
 )
 
@@ -74,19 +75,25 @@ def batch_embed(
 
 def batch_infer(
     df: DataFrame,
-    predict_one: Callable[[dict[str, Any]], dict[str, Any]],
+    predict_one: Callable[[dict[str, Any]], dict[str, Any]] | None,
     inputs: Sequence[str],
     key: str = "line_id",
     on_error: str = "empty",
     first_labels: dict[str, str] | None = None,
+    predict_batch: Callable[[list[dict[str, Any]]], list[dict[str, Any]]] | None = None,
+    batch_size: int = EMBEDDING_BATCH,
 ) -> DataFrame:
     """Score every row with a Python callable; one bad row never stops the others.
 
     ``predict_one`` gets the ``inputs`` of a row as a dict and returns the labels
-    and, optionally, ``confidence`` and ``reasoning``.  For a failed row
+    and, optionally, ``confidence`` and ``reasoning``.  ``predict_batch`` does so
+    for a list of rows; a batch that fails is scored row by row (with
+    ``predict_one`` if given, else in batches of one).  For a failed row
     ``on_error='empty'`` gives empty labels, ``'first_label'`` the labels in
-    ``first_labels``.
+    ``first_labels``, and ``error`` says why.
     """
+    if predict_one is None and predict_batch is None:
+        raise ValueError("give predict_one or predict_batch")
     if on_error not in ("empty", "first_label"):
         raise ValueError("on_error is 'empty' or 'first_label'")
     if on_error == "first_label" and not first_labels:
@@ -94,19 +101,33 @@ def batch_infer(
     fallback = {f: (first_labels[f] if on_error == "first_label" else "") for f in FIELDS}
     schema = T.StructType([df.schema[key], *PREDICTION.fields])
 
+    def shaped(out: dict[str, Any]) -> tuple:
+        confidence = {k: float(v) for k, v in (out.get("confidence") or {}).items()}
+        reasoning = str(out.get("reasoning") or "").strip()
+        return (*[str(out[f]) for f in FIELDS], confidence, reasoning, False, None)
+
     def score(row: dict[str, Any]) -> tuple:
         try:
-            out = predict_one(row)
-            confidence = {k: float(v) for k, v in (out.get("confidence") or {}).items()}
-            reasoning = str(out.get("reasoning") or "").strip()
-            return (*[str(out[f]) for f in FIELDS], confidence, reasoning, False)
+            return shaped(predict_one(row) if predict_one else predict_batch([row])[0])
+        except Exception as problem:
+            return (*fallback.values(), {}, "", True, f"{type(problem).__name__}: {problem}")
+
+    def score_all(rows: list[dict[str, Any]]) -> list[tuple]:
+        if predict_batch is None:
+            return [score(r) for r in rows]
+        try:
+            found = predict_batch(rows)
+            if len(found) != len(rows):
+                raise ValueError("the batch scorer returned another number of rows")
+            return [shaped(out) for out in found]
         except Exception:
-            return (*fallback.values(), {}, "", True)
+            return [score(r) for r in rows]
 
     def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk in chunks:
             rows = chunk[list(inputs)].to_dict("records")
-            out = pd.DataFrame([score(r) for r in rows], columns=[f.name for f in PREDICTION.fields])
+            scored = [x for a in range(0, len(rows), batch_size) for x in score_all(rows[a : a + batch_size])]
+            out = pd.DataFrame(scored, columns=[f.name for f in PREDICTION.fields])
             out.insert(0, key, chunk[key].to_numpy())
             yield out
 
@@ -124,8 +145,15 @@ def fallback_labels(
     ).withColumn("failed", ~F.col("valid"))
 
 
-def with_truth(predictions: DataFrame, lines: DataFrame, key: str = "line_id") -> DataFrame:
-    """Put predictions beside the true labels, in prediction-table layout."""
+def with_truth(
+    predictions: DataFrame, lines: DataFrame, key: str = "line_id",
+    first_labels: dict[str, str] | None = None,
+) -> DataFrame:
+    """Put predictions beside the true labels, in prediction-table layout.
+
+    Every line stays.  One without a prediction is ``failed`` and gets empty
+    labels, or those in ``first_labels``.
+    """
     names = dict(zip(("nominal", "department", "tc"), LABEL_COLUMNS.items()))
     truth = lines.select(
         key,
@@ -133,8 +161,20 @@ def with_truth(predictions: DataFrame, lines: DataFrame, key: str = "line_id") -
         F.col("SUPPLIER").alias("supplier"),
         *[F.col(column).alias(f"true_{n}") for n, (_, column) in names.items()],
     )
-    extra = [c for c in ("confidence", "reasoning", "failed") if c in predictions.columns]
+    extra = [c for c in ("confidence", "reasoning", "failed", "error") if c in predictions.columns]
     guesses = predictions.select(
-        key, *[F.col(short).alias(f"pred_{n}") for n, (short, _) in names.items()], *extra
+        key, *[F.col(short).alias(f"pred_{n}") for n, (short, _) in names.items()], *extra,
+        F.lit(True).alias("_scored"),
+    )
+    fill = {n: F.lit((first_labels or {}).get(short, "")) for n, (short, _) in names.items()}
+    failed = F.coalesce(F.col("failed"), F.lit(False)) if "failed" in extra else F.lit(False)
+    return (
+        truth.join(guesses, key, "left")
+        .withColumns(
+            {
+                **{f"pred_{n}": F.when(F.col("_scored").isNull(), fill[n]).otherwise(F.col(f"pred_{n}")) for n in names},
+                "failed": F.col("_scored").isNull() | failed,
+            }
+        )
+        .drop("_scored")
     )
-    return truth.join(guesses, key)

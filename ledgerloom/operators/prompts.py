@@ -55,11 +55,16 @@ def chat_prompt(items: DataFrame, vocabulary: dict[str, list[str]]) -> DataFrame
     def shown(column: str) -> Column:
         return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
+    def amount(column: str) -> Column:
+        """Plain decimals without an exponent; up to six places, trailing zeros cut."""
+        plain = F.col(column).cast("decimal(38,6)").cast("string")
+        return F.coalesce(F.regexp_replace(plain, r"\.?0+$", ""), F.lit(""))
+
     user = F.concat(
         F.lit("Code this invoice line.\n\nDETAIL: "), shown("DETAIL"),
         F.lit("\nSUPPLIER: "), shown("SUPPLIER"),
-        F.lit("\nNET: "), shown("NET"),
-        F.lit("\nVAT: "), shown("VAT"),
+        F.lit("\nNET: "), amount("NET"),
+        F.lit("\nVAT: "), amount("VAT"),
         F.lit("\n\nMost similar past lines:\n"), few_shot_block(),
         *[
             F.lit(f"{lead}{title} may be one of: {vocabulary[name]}")

@@ -23,12 +23,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil
+from math import ceil, isqrt
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,8 +164,16 @@ def _angle(cosine: np.ndarray) -> np.ndarray:
 
 
 def _to_cells(index: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add nearest pivot and angle to it; zero vectors form cell -1."""
-    shared = index.sparkSession.sparkContext.broadcast(pivots)
+    """Add a near pivot and the angle to it; zero vectors form cell -1.
+
+    The first pivots lead groups of pivots; a row looks only into the group whose leader is nearest.
+    Any cell would do, as only the range of angles in a cell is used; so the cost per row is about
+    twice the root of the number of pivots.
+    """
+    leaders = max(1, isqrt(len(pivots)))
+    group = (pivots @ pivots[:leaders].T).argmax(axis=1)
+    group[:leaders] = np.arange(leaders)
+    shared = index.sparkSession.sparkContext.broadcast((pivots, leaders, group))
     schema = T.StructType(
         [
             index.schema["idx"],
@@ -181,9 +189,14 @@ def _to_cells(index: DataFrame, pivots: np.ndarray) -> DataFrame:
             if batch.num_rows == 0:
                 continue
             rows = _matrix(batch.column("embedding"))
-            angles = _angle(rows @ shared.value.T)
-            cell = angles.argmin(axis=1)
-            angle = angles[np.arange(len(rows)), cell]
+            points, first, member = shared.value
+            lead = (rows @ points[:first].T).argmax(axis=1)
+            cell, angle = np.zeros(len(rows), dtype=int), np.zeros(len(rows))
+            for one in np.unique(lead):
+                at, own = np.flatnonzero(lead == one), np.flatnonzero(member == one)
+                cosine = rows[at] @ points[own].T
+                best = cosine.argmax(axis=1)
+                cell[at], angle[at] = own[best], _angle(cosine[np.arange(len(at)), best])
             cell = np.where(np.any(rows != 0, axis=1), cell, -1)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -251,9 +264,10 @@ def _visits(
     return queries.select(*columns).mapInArrow(visit, schema)
 
 
-def _per_cell(numbers: dict[int, int]) -> Column:
-    pairs = [F.lit(v) for item in numbers.items() for v in item]
-    return F.element_at(F.create_map(*pairs), F.col("cell"))
+def _with_number(df: DataFrame, numbers: dict[int, int], name: str) -> DataFrame:
+    """Add a number per cell.  There is one cell per pivot, about the root of the index's rows at most."""
+    rows = [(int(c), int(v)) for c, v in numbers.items()]
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, f"cell int, {name} int")), "cell")
 
 
 def _meet(
@@ -270,17 +284,28 @@ def _meet(
     splits = {c: cell.blocks for c, cell in cells.items()}
     spread = F.xxhash64("query_id")
     if one_block:
-        block = F.array(F.pmod(spread, _per_cell(splits)).cast("int"))
+        block = F.array(F.pmod(spread, F.col("_splits")).cast("int"))
     else:
-        block = F.sequence(F.lit(0), _per_cell(splits) - 1)
-    sheet = F.pmod(F.xxhash64("query_id", F.lit(1)), _per_cell(sheets)).cast("int")
-    asking = visits.withColumn("sheet", sheet).withColumn("block", F.explode(block))
-    visited = [c for c in cells if c in counts]
-    answering = blocks.where(F.col("cell").isin(visited)).withColumn(
-        "sheet", F.explode(F.sequence(F.lit(0), _per_cell(sheets) - 1))
+        block = F.sequence(F.lit(0), F.col("_splits") - 1)
+    sheet = F.pmod(F.xxhash64("query_id", F.lit(1)), F.col("_sheets")).cast("int")
+    asking = _with_number(_with_number(visits, splits, "_splits"), sheets, "_sheets")
+    asking = asking.withColumn("sheet", sheet).withColumn("block", F.explode(block))
+    asking = asking.select("query_id", "embedding", "cell", "block", "sheet")
+    visited = {c: n for c, n in sheets.items() if c in counts}
+    answering = _with_number(blocks, visited, "_sheets").withColumn(
+        "sheet", F.explode(F.sequence(F.lit(0), F.col("_sheets") - 1))
     )
-    arrow_schema = to_arrow_schema(schema)
     keys = ["cell", "block", "sheet"]
+    return (
+        asking.groupBy(*keys)
+        .cogroup(answering.select("idx", "embedding", *keys).groupBy(*keys))
+        .applyInArrow(_comparer(k, schema), schema)
+    )
+
+
+def _comparer(k: int, schema: T.StructType):
+    """The ``k`` best rows of an index block for every query of a sheet."""
+    arrow_schema = to_arrow_schema(schema)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
@@ -298,11 +323,7 @@ def _meet(
             schema=arrow_schema,
         )
 
-    return (
-        asking.groupBy(*keys)
-        .cogroup(answering.select("idx", "embedding", *keys).groupBy(*keys))
-        .applyInArrow(compare, schema)
-    )
+    return compare
 
 
 def _best_overall(candidates: DataFrame, k: int) -> DataFrame:
@@ -316,9 +337,11 @@ def _without_surplus_copies(index: DataFrame, k: int) -> DataFrame:
     Spark applies the limit before the shuffle too, so a vector that fills a third
     of the index leaves ``k`` rows per task, not a hot partition.
     """
-    copies = W.partitionBy("embedding").orderBy("idx")
-    ranked = index.select("idx", "embedding").withColumn("_copy", F.row_number().over(copies))
-    return ranked.where(F.col("_copy") <= k).drop("_copy")
+    # Sorted by a short hash first; vectors are compared only where hashes agree.
+    copies = W.partitionBy("_hash", "embedding").orderBy("idx")
+    hashed = index.select("idx", "embedding", F.xxhash64("embedding").alias("_hash"))
+    ranked = hashed.withColumn("_copy", F.row_number().over(copies))
+    return ranked.where(F.col("_copy") <= k).drop("_copy", "_hash")
 
 
 def _pruned_blocks(
@@ -326,7 +349,7 @@ def _pruned_blocks(
 ) -> DataFrame:
     index = settle(_without_surplus_copies(index, k))
     n = index.count()
-    wanted = min(256, max(2, ceil(n / block_rows)))
+    wanted = max(2, min(ceil(n / block_rows), isqrt(n)))
     is_zero = F.forall("embedding", lambda x: x == 0)
     chosen = (
         index.where(~is_zero).orderBy(F.xxhash64("idx")).select("embedding").limit(wanted).toArrow()
@@ -345,8 +368,9 @@ def _pruned_blocks(
             cells[-1] = _Cell(row["n"], np.pi / 2, np.pi / 2, blocks)
         else:
             cells[row["cell"]] = _Cell(row["n"], row["low"], row["high"], blocks)
-    split = F.pmod(F.xxhash64("idx"), _per_cell({c: v.blocks for c, v in cells.items()}))
-    blocks = placed.withColumn("block", split.cast("int")).drop("angle")
+    numbered = _with_number(placed, {c: v.blocks for c, v in cells.items()}, "_blocks")
+    split = F.pmod(F.xxhash64("idx"), F.col("_blocks")).cast("int")
+    blocks = numbered.select("idx", "embedding", "cell", split.alias("block"))
 
     # All rows are equally far from a zero query: its answer is the same k rows.
     zero = queries.where(is_zero)
@@ -376,6 +400,12 @@ def _pruned_blocks(
 # ---- public operators ----
 
 
+def _no_answers(schema: T.StructType, queries: DataFrame) -> DataFrame:
+    """The result where there are no queries or no index rows."""
+    empty = queries.sparkSession.createDataFrame([], schema)
+    return empty.select("*", F.lit(0).alias("rank"), (1 - F.col("distance")).alias("similarity"))
+
+
 def knn(
     queries: DataFrame,
     index: DataFrame,
@@ -395,7 +425,9 @@ def knn(
     candidates, few = None, False
     if method in ("auto", "broadcast"):
         head = asked.select("embedding").first()
-        dim = len(head[0]) if head else 1
+        if head is None:
+            return _no_answers(schema, queries)
+        dim = len(head[0])
         cap = max(1, broadcast_bytes // (8 * dim))
         table = asked.limit(cap + 1).toArrow()
         if table.num_rows <= cap:
@@ -407,6 +439,8 @@ def knn(
         elif method == "broadcast":
             raise ValueError(f"more than {cap} queries; use method='blocks'")
     if candidates is None:
+        if asked.isEmpty() or index.isEmpty():
+            return _no_answers(schema, queries)
         candidates = _pruned_blocks(asked, index, k, schema, block_rows)
     best = _best_overall(candidates, k).withColumn("similarity", 1 - F.col("distance"))
     # Few queries have few answers: kept, they can be broadcast to the index.
@@ -430,6 +464,41 @@ def retrieve(
     )
 
 
+def knn_by_tenant(
+    queries: DataFrame, index: DataFrame, k: int = TOP_K, query_id: str = "query_id", tenant: str = "tenant",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Like :func:`knn`, but a query sees only index rows of its own tenant.
+
+    Blocks of a tenant's rows meet blocks of its queries by an equi-join on tenant
+    and block numbers, so a large tenant merely has more blocks.  A tenant or vector
+    that is null has no neighbours.
+    """
+    schema = _candidate_schema(queries, query_id, index)
+    good = F.col(tenant).isNotNull() & F.col("embedding").isNotNull()
+    asked = queries.where(good).select(
+        F.col(query_id).alias("query_id"), F.col("embedding").alias("embedding"), F.col(tenant).alias("_tenant")
+    )
+    known = index.where(good).select("idx", F.col("embedding").alias("embedding"), F.col(tenant).alias("_tenant"))
+
+    def blocked(df: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
+        counts = df.groupBy("_tenant").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(f"{name}s"))
+        own = F.pmod(F.xxhash64(key), F.col(f"{name}s")).cast("int")
+        return df.join(counts, "_tenant").withColumn(name, own).drop(f"{name}s"), counts
+
+    sheets, n_sheets = blocked(asked, "query_id", "sheet")
+    blocks, n_blocks = blocked(known, "idx", "block")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(f"{name}s") - 1)).alias(name)
+    left = sheets.join(n_blocks, "_tenant").select("query_id", "embedding", "_tenant", every("block"), "sheet")
+    right = blocks.join(n_sheets, "_tenant").select("idx", "embedding", "_tenant", "block", every("sheet"))
+    # Other names on the left: both sides may come from one table.
+    left = left.toDF("query_id", "embedding", "_at_tenant", "_at_block", "_at_sheet")
+    right = right.toDF("idx", "embedding", "_tenant", "_block", "_sheet")
+    asking = left.groupBy("_at_tenant", "_at_block", "_at_sheet")
+    found = asking.cogroup(right.groupBy("_tenant", "_block", "_sheet")).applyInArrow(_comparer(k, schema), schema)
+    return _best_overall(found, k).withColumn("similarity", 1 - F.col("distance"))
+
+
 def search(
     queries: DataFrame, index: DataFrame, k: int = TOP_K, query_id: str = "query_id", **plan
 ) -> DataFrame:

@@ -7,12 +7,13 @@ own hash with that threshold: the wide table is never shuffled.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import warnings
 from typing import NamedTuple
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,21 +45,28 @@ def _ordered_key(id_col: str, seed: int) -> Column:
     return F.concat(hash_key(id_col, seed), F.lit("|"), F.col(id_col).cast("string"))
 
 
-def _quotas(strata: DataFrame, n: int, n_train: int) -> DataFrame:
+def _quotas(strata: DataFrame, n: int, n_train: int, max_rank_rows: int = RANK_ROWS) -> DataFrame:
     """Largest-remainder share of ``n_train`` for every ``(stratum, c)`` row.
 
-    Integer arithmetic in 38 digits: row count times quota exceeds 64 bits.
+    Integer arithmetic in 38 digits: row count times quota exceeds 64 bits.  The
+    cut between remainders is found like the other thresholds, so that no task
+    orders all strata.
     """
     wide = f"CAST(c AS DECIMAL(19,0)) * {n_train}BD"
     shares = strata.withColumns(
         {"base": F.expr(f"({wide}) div {n}BD"), "rest": F.expr(f"({wide}) % {n}BD")}
     )
-    everything = W.partitionBy()
-    order = F.row_number().over(W.partitionBy().orderBy(F.desc("rest"), "stratum"))
-    missing = F.lit(n_train) - F.sum("base").over(everything)
-    return shares.select(
-        "stratum", (F.col("base") + (order <= missing).cast("bigint")).alias("quota")
-    )
+    given, kinds = shares.agg(F.coalesce(F.sum("base"), F.lit(0)), F.count("*")).first()
+    # Larger remainders first, then by name: the key ascends.
+    place = F.concat(F.lpad((F.lit(n) - F.col("rest")).cast("string"), 20, "0"), F.lit("|"), "stratum")
+    keys = shares.select(F.lit("all").alias("stratum"), place.alias("key"))
+    missing = df_of(strata, [("all", int(n_train - given))], "stratum string, quota bigint")
+    last = quota_thresholds(keys, missing, kinds, max_rank_rows).first()["threshold"]
+    return shares.select("stratum", (F.col("base") + (place <= F.lit(last)).cast("bigint")).alias("quota"))
+
+
+def df_of(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, schema)
 
 
 def _threshold_split(
@@ -66,7 +74,7 @@ def _threshold_split(
     id_col: str, seed: int, max_rank_rows: int,
 ) -> DataFrame:
     keys = df.select(stratum.alias("stratum"), _ordered_key(id_col, seed).alias("key"))
-    quotas = small_side(_quotas(strata, n, n - n_test))
+    quotas = small_side(_quotas(strata, n, n - n_test, max_rank_rows))
     thresholds = small_side(
         quota_thresholds(keys, quotas, largest, max_rank_rows).drop("quota")
     )
@@ -125,7 +133,7 @@ def random_split(
     if n_test == 0 or n_test == n:
         raise ValueError(f"cannot split {n} rows into two non-empty sides")
     everything = F.lit("all")
-    strata = df.sparkSession.createDataFrame([("all", n)], "stratum string, c bigint")
+    strata = df_of(df, [("all", n)], "stratum string, c bigint")
     data = _threshold_split(df, strata, everything, n, n_test, n, id_col, seed, max_rank_rows)
     return Split(data, "random")
 
@@ -140,37 +148,65 @@ def group_split(
     """Whole groups go to one side; the share counts groups, not rows.
 
     Membership follows from the group's own hash, so a hot group costs nothing
-    and no join with the group list is needed.
+    and no join with the group list is needed.  Rows without a group form one.
     """
-    groups = df.select(group).distinct()
+    name = _as_text(group)
+    groups = df.select(name.alias("_group")).distinct()
     n_groups = groups.count()
     n_train = math.floor((1 - test_size) * n_groups)
     if n_train == 0 or n_train == n_groups:
         raise ValueError(f"cannot split {n_groups} groups into two non-empty sides")
-    keys = groups.select(F.lit("all").alias("stratum"), _ordered_key(group, seed).alias("key"))
-    quota = df.sparkSession.createDataFrame([("all", n_train)], "stratum string, quota bigint")
+    keys = groups.select(F.lit("all").alias("stratum"), _ordered_key("_group", seed).alias("key"))
+    quota = df_of(df, [("all", n_train)], "stratum string, quota bigint")
     threshold = quota_thresholds(keys, quota, n_groups, max_rank_rows).first()["threshold"]
-    side = F.when(_ordered_key(group, seed) <= F.lit(threshold), "train").otherwise("test")
+    own = F.concat(hash_key(name, seed), F.lit("|"), name)
+    side = F.when(own <= F.lit(threshold), "train").otherwise("test")
     return Split(df.withColumn("split", side), "group")
 
 
+def similarity_cells(vector: str, centre: list[float], bits: int, seed: int = SEED) -> Column:
+    """Number of the cell that ``bits`` seeded planes through ``centre`` cut out for a vector.
+
+    Plane ``j`` has members 1 and -1, by a digest of seed, plane and place.  Vectors that
+    differ little share most sides.
+    """
+    dim = len(centre)
+    middle = F.array(*[F.lit(float(x)) for x in centre])
+    value = F.zip_with(F.col(vector).cast("array<double>"), middle, lambda x, c: x - c)
+
+    def side(j: int) -> Column:
+        digests = [hashlib.md5(f"{seed}|{j}|{i}".encode()).hexdigest() for i in range(dim)]
+        plane = F.array(*[F.lit(1.0 if d < "8" else -1.0) for d in digests])
+        product = F.aggregate(F.zip_with(value, plane, lambda x, p: x * p), F.lit(0.0), lambda a, x: a + x)
+        return F.when(product >= 0, 1 << j).otherwise(0)
+
+    cell = F.lit(0)
+    for j in range(bits):
+        cell = cell + side(j)
+    return F.when(F.col(vector).isNotNull(), cell)
+
+
 def semantic_holdout_split(
     df: DataFrame,
     vector: str = "embedding",
     test_size: float = TEST_SIZE,
     seed: int = SEED,
-    max_clusters: int = 1000,
 ) -> Split:
-    """Hold out whole clusters of similar rows, so that the test side looks new.
+    """Hold out whole cells of similar rows, so that the test side looks new.
 
-    Vectors are clustered by k-means with k = max(5, floor(sqrt(n))), at most
-    ``max_clusters`` so that the centres stay small enough to send to every task.
+    There are about ``max(5, sqrt(n))`` cells (the next power of two), cut by
+    seeded planes through the mean, which is rounded so that the order of adding
+    does not matter.  A row's cell depends on its vector only: no iteration, no
+    shuffle, and the same split under any partitioning.  Rows without a vector
+    form a cell of their own.
     """
     n = df.count()
-    k = min(max(5, math.isqrt(n)), max_clusters)
-    rows = df.withColumn("_features", array_to_vector(F.col(vector).cast("array<double>")))
-    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(rows)
-    return group_split(model.transform(rows).drop("_features"), "cluster", test_size, seed)
+    known = df.where(F.col(vector).isNotNull())
+    mean = known.agg(Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))).first()[0]
+    centre = [] if mean is None else [round(float(x), 6) for x in mean]
+    bits = (max(5, math.isqrt(n)) - 1).bit_length()
+    cells = df.withColumn("cluster", similarity_cells(vector, centre, bits, seed))
+    return group_split(cells, "cluster", test_size, seed)
 
 
 def stratified_folds(

@@ -9,15 +9,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions.text import add_terms
 from ledgerloom.scale import small_side
@@ -78,31 +80,44 @@ def choose_vocabulary(
 def tfidf_vocabulary(
     df: DataFrame, id_col: str, text: str, settings: TfidfSettings = TfidfSettings()
 ) -> DataFrame:
-    frequencies = term_frequencies(df, id_col, text, settings.ngram_range)
-    return choose_vocabulary(term_statistics(frequencies), df.count(), settings)
+    """The vocabulary; only sums by term are shuffled, never texts."""
+    return choose_vocabulary(text_statistics(df, text, settings.ngram_range), df.count(), settings)
+
+
+_ENTRY = T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("weight", T.DoubleType())])
+
+
+@F.pandas_udf(T.ArrayType(_ENTRY))
+def _entries(vectors: pd.DataFrame) -> pd.Series:
+    """A vector column arrives as its parts, one column each."""
+    pairs = zip(vectors["indices"], vectors["values"])
+    return pd.Series([[{"idx": int(i), "weight": float(w)} for i, w in zip(*p)] for p in pairs])
 
 
 def tfidf_weights(
     df: DataFrame, id_col: str, text: str, settings: TfidfSettings = TfidfSettings()
 ) -> DataFrame:
-    """``(id, term, idx, weight)``, one row per kept term of a row."""
-    frequencies = term_frequencies(df, id_col, text, settings.ngram_range)
-    vocabulary = choose_vocabulary(term_statistics(frequencies), df.count(), settings)
-    terms = small_side(vocabulary.select("term", "idx", "idf"))
-    tf = F.col("tf").cast("double")
-    if settings.sublinear_tf:
-        tf = 1 + F.log(tf)
-    raw = frequencies.join(terms, "term").withColumn("raw", tf * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(id_col)))
-    return raw.withColumn("weight", F.col("raw") / norm).select(id_col, "term", "idx", "weight")
+    """``(id, term, idx, weight)``, one row per kept term of a row.
 
-
-def _log_counts(counts: SparseVector) -> SparseVector:
-    return Vectors.sparse(counts.size, counts.indices, 1.0 + np.log(counts.values))
+    A row holds its whole text, so its counts and its length come from the row
+    alone: no text and no term is shuffled.
+    """
+    low, high = settings.ngram_range
+    estimator = Tfidf(
+        inputCol=text, outputCol="_weights", maxFeatures=settings.max_features, minN=low, maxN=high,
+        minDF=settings.min_df, maxDF=settings.max_df, sublinear=settings.sublinear_tf,
+    )
+    model = estimator.fit(df.select(text))
+    names = [(i, term) for i, term in enumerate(model.terms)]
+    # At most max_features rows.
+    terms = F.broadcast(df.sparkSession.createDataFrame(names, "idx int, term string"))
+    found = model.transform(df.select(id_col, text)).select(id_col, F.explode(_entries("_weights")).alias("e"))
+    return found.select(id_col, "e.idx", "e.weight").join(terms, "idx").select(id_col, "term", "idx", "weight")
 
 
-# Vector columns do not travel through Arrow.
-_sublinear = F.udf(_log_counts, VectorUDT(), useArrow=False)
+@F.pandas_udf(VectorUDT())
+def _sublinear(counts: pd.DataFrame) -> pd.DataFrame:
+    return counts.assign(values=counts["values"].map(lambda x: 1.0 + np.log(x)))
 
 
 class TfidfModel(Model, HasInputCol, HasOutputCol):

@@ -40,7 +40,7 @@ def vote(nested: DataFrame) -> DataFrame:
     fields = list(LABEL_COLUMNS)
     picked = nested.withColumns({f"_{f}": _vote(f) for f in fields})
     reason = F.format_string(
-        "%d similar lines, nearest: %s", F.size("examples"), F.element_at("examples", 1)["text"]
+        "%d similar lines, nearest: %s", F.size("examples"), F.try_element_at("examples", F.lit(1))["text"]
     )
     confidence = F.create_map(
         *[x for f in fields for x in (F.lit(f), F.col(f"_{f}")["confidence"])]

@@ -5,19 +5,25 @@ The solvers are MLlib's; what is set here is the mapping of hyper-parameters.
 
 from __future__ import annotations
 
+import warnings
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from math import ceil
 from typing import Any
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.config import SEED
 from ledgerloom.operators.tfidf import Tfidf, TfidfModel
-from ledgerloom.scale import BROADCAST_ROWS
+
+# Bytes of features in one partition while a model is fitted, and memory of one pass over tree nodes.
+FIT_BYTES = 64 * 1024 * 1024
+TREE_MEMORY_MB = 1024
 
 # Spark's random forests stop at this depth; "no limit" maps to it.
 DEEPEST = 30
@@ -51,6 +57,9 @@ class FieldModel:
     labels: list[str]
     model: Any
     constant: str | None = None
+    kind: T.DataType = T.StringType()
+    iterations: int | None = None
+    converged: bool = True
 
     def probabilities(self, features: DataFrame) -> DataFrame:
         """Add ``prob_<field>``, an array in label order."""
@@ -63,10 +72,10 @@ class FieldModel:
         )
 
 
-def _over_cores(df: DataFrame) -> DataFrame:
-    """Growing trees is bound by computing, not by bytes: use every core on small tables."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def packed(features: DataFrame, n_bytes: int | None) -> DataFrame:
+    """A solver starts a job for every step: as few partitions as the size of the features allows."""
+    parts = max(1, ceil((n_bytes or 0) / FIT_BYTES))
+    return features.repartition(parts) if features.rdd.getNumPartitions() > parts else features
 
 
 def _name_of(labels: list[str], position: Column) -> Column:
@@ -76,27 +85,27 @@ def _name_of(labels: list[str], position: Column) -> Column:
 def fit_field(
     train: DataFrame, label: str, settings: Settings, features: str = "features", seed: int = SEED
 ) -> FieldModel:
-    """Fit one field.  Rows without a label are left out.
+    """Fit one field.  Rows without a label are left out; labels of other types are coded as text.
+
+    MLlib keeps the list of classes, and logistic regression a coefficient per class and feature, on
+    the driver; that alone bounds the number of classes.
 
     With balanced weights the weights sum to the number of rows, so a penalty of
     ``1/(C * rows)`` on unscaled features equals an objective of C times the summed
     loss plus half the squared coefficients.
     """
-    known = train.where(F.col(label).isNotNull()).select(features, label)
-    counts = known.groupBy(label).agg(F.count("*").alias("n")).limit(BROADCAST_ROWS + 1).collect()
+    kind = train.schema[label].dataType
+    known = train.where(F.col(label).isNotNull()).select(features, F.col(label).cast("string").alias(label))
+    counts = known.groupBy(label).agg(F.count("*").alias("n")).collect()
     if not counts:
         raise ValueError(f"field {label} holds no labels")
-    if len(counts) > BROADCAST_ROWS:
-        raise ValueError(f"field {label} has more than {BROADCAST_ROWS} classes")
     sizes = {r[label]: r["n"] for r in counts}
     labels = sorted(sizes)
     if len(labels) == 1:
-        return FieldModel(label, labels, None, labels[0])
+        return FieldModel(label, labels, None, labels[0], kind)
     n = sum(sizes.values())
-    indexer = StringIndexer(
-        inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="error"
-    )
-    coded = indexer.fit(known).setHandleInvalid("error").transform(known)
+    indexer = StringIndexerModel.from_labels(labels, inputCol=label, outputCol="_label", handleInvalid="error")
+    coded = indexer.transform(known)
     weights = [n / (len(labels) * sizes[x]) if settings.balanced else 1.0 for x in labels]
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), F.col("_label").cast("int") + 1)
     coded = coded.withColumn("_weight", weight)
@@ -114,9 +123,16 @@ def fit_field(
             numTrees=settings.n_estimators,
             maxDepth=DEEPEST if settings.max_depth is None else min(settings.max_depth, DEEPEST),
             minInstancesPerNode=settings.min_samples_leaf,
-            featureSubsetStrategy=settings.max_features, seed=seed, **common,
+            featureSubsetStrategy=settings.max_features, seed=seed, maxMemoryInMB=TREE_MEMORY_MB,
+            **common,
         )
-    return FieldModel(label, labels, estimator.fit(coded))
+    model = estimator.fit(coded)
+    if not isinstance(settings, LogisticSettings):
+        return FieldModel(label, labels, model, None, kind)
+    steps = model.summary.totalIterations
+    if steps >= settings.max_iter:
+        warnings.warn(f"{label}: no convergence within {steps} iterations")
+    return FieldModel(label, labels, model, None, kind, steps, steps < settings.max_iter)
 
 
 @dataclass
@@ -165,13 +181,17 @@ class MlClassifier:
             return self.text_model.transform(df)
         return df.withColumn("features", array_to_vector(F.col(self.input_col).cast("array<double>")))
 
+    def feature_bytes(self, df: DataFrame) -> int:
+        """About the bytes that the features take: the vectors', or a few times the texts'."""
+        column = F.col(self.input_col)
+        size = F.octet_length(column) * 4 if self.feature_type == "tfidf" else F.size(column) * 8
+        return df.agg(F.sum(size)).first()[0] or 0
+
     def fit(self, train: DataFrame) -> MlClassifier:
         """Fit all fields on features computed once; the fits run side by side."""
         if self.feature_type == "tfidf":
             self.text_model = self.tfidf.fit(train)
-        ready = self.features(train).select("features", *self.targets)
-        if isinstance(self.settings, ForestSettings):
-            ready = _over_cores(ready)
+        ready = packed(self.features(train).select("features", *self.targets), self.feature_bytes(train))
         ready = ready.persist()
         try:
             with ThreadPoolExecutor(len(self.targets)) as pool:
@@ -198,7 +218,7 @@ class MlClassifier:
             best = F.array_max(probs)
             scored = scored.withColumns(
                 {
-                    f"{m.field}_pred": _name_of(m.labels, F.array_position(probs, best)),
+                    f"{m.field}_pred": _name_of(m.labels, F.array_position(probs, best)).cast(m.kind),
                     f"{m.field}_confidence": best,
                 }
             )
@@ -208,7 +228,7 @@ class MlClassifier:
         """Add ``<field>_proba``, a map from label to probability, for every target."""
         scored = self._scored(df)
         for m in self.fitted:
-            names = F.array(*[F.lit(x) for x in m.labels])
+            names = F.array(*[F.lit(x) for x in m.labels]).cast(T.ArrayType(m.kind))
             scored = scored.withColumn(
                 f"{m.field}_proba", F.map_from_arrays(names, F.col(f"prob_{m.field}"))
             )
@@ -222,7 +242,8 @@ def fit_text_models(
     it is built once, the features are kept, and the fits run side by side."""
     models = [MlClassifier("tfidf", [t], settings=settings, tfidf=tfidf) for t in targets]
     text_model = models[0].tfidf.fit(train)
-    ready = text_model.transform(train).select("features", *targets).persist()
+    ready = text_model.transform(train).select("features", *targets)
+    ready = packed(ready, models[0].feature_bytes(train)).persist()
     try:
         with ThreadPoolExecutor(len(targets)) as pool:
             fitted = list(pool.map(lambda m: fit_field(ready, m.targets[0], m.settings), models))

@@ -22,6 +22,7 @@ from ledgerloom.operators.metrics import field_metrics_of
 from ledgerloom.operators.split import stratified_folds
 from ledgerloom.operators.tfidf import Tfidf, text_statistics
 from ledgerloom.plans.models import (
+    packed,
     ForestSettings,
     LogisticSettings,
     MlClassifier,
@@ -127,6 +128,7 @@ def grid_search_tfidf(
     folded = stratified_folds(known, target, n_folds, seed, id_col).persist()
     sizes = {r["fold"]: r["n"] for r in folded.groupBy("fold").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
+    n_bytes = folded.agg(F.sum(F.octet_length(text) * 4)).first()[0]
     statistics = {
         span: text_statistics(folded, text, span, by=["fold"]).persist()
         for span in grid["ngram_range"]
@@ -140,8 +142,8 @@ def grid_search_tfidf(
                 minN=setting["ngram_range"][0], maxN=setting["ngram_range"][1],
                 minDF=setting["min_df"], maxDF=setting["max_df"], sublinear=setting["sublinear_tf"],
             )
-            ready = {}
-            for fold in sizes:
+            sums = dict.fromkeys(grid["C"], 0.0)
+            for fold in sorted(sizes):  # one fold's features at a time
                 others = (
                     statistics[setting["ngram_range"]]
                     .where(F.col("fold") != fold)
@@ -149,24 +151,21 @@ def grid_search_tfidf(
                     .agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
                 )
                 model = tfidf.model_for(others, total - sizes[fold])
-                ready[fold] = model.transform(folded).select("features", target, "fold").persist()
-
-            def score(case: tuple[int, float]) -> float:
-                fold, c = case
-                fitted = fit_field(
-                    ready[fold].where(F.col("fold") != fold), target,
-                    LogisticSettings(C=c, max_iter=200),
-                )
-                return _held_out_score([fitted], ready[fold].where(F.col("fold") == fold))
-
-            cases = [(fold, c) for c in grid["C"] for fold in sorted(sizes)]
-            with ThreadPoolExecutor(parallelism) as pool:
-                found = list(pool.map(score, cases))
-            for table in ready.values():
-                table.unpersist()
-            for at, c in enumerate(grid["C"]):
-                own = found[at * len(sizes) : (at + 1) * len(sizes)]
-                scores.append(({**setting, "C": c}, sum(own) / len(sizes)))
+                ready = packed(model.transform(folded).select("features", target, "fold"), n_bytes).persist()
+
+                def score(c: float) -> float:
+                    fitted = fit_field(
+                        ready.where(F.col("fold") != fold), target, LogisticSettings(C=c, max_iter=200)
+                    )
+                    return _held_out_score([fitted], ready.where(F.col("fold") == fold))
+
+                try:
+                    with ThreadPoolExecutor(parallelism) as pool:
+                        for c, found in zip(grid["C"], pool.map(score, grid["C"])):
+                            sums[c] += found
+                finally:
+                    ready.unpersist()
+            scores += [({**setting, "C": c}, sums[c] / len(sizes)) for c in grid["C"]]
     finally:
         folded.unpersist()
         for table in statistics.values():
@@ -236,7 +235,8 @@ def random_search_embeddings(
         together = train.withColumn("_all", F.lit("all"))
         folded = stratified_folds(together, "_all", n_folds, seed, id_col).drop("_all")
     shape = MlClassifier("embeddings", targets, classifier, input_col=vector, seed=seed)
-    ready = shape.features(folded).select("features", *targets, "fold").persist()
+    ready = shape.features(folded).select("features", *targets, "fold")
+    ready = packed(ready, shape.feature_bytes(train)).persist()
     scores = []
     try:
         chosen = settings or draw_settings(classifier, n_iter, seed)

@@ -61,7 +61,9 @@ def with_line_id(df: DataFrame, columns: list[str] | None = None, chunk: int = 1
     alone: a second evaluation, or one after a lost executor, gives the same ids.
     Rows with more than ``chunk`` copies are written out by several tasks.
     """
-    columns = columns or REQUIRED_COLUMNS
+    columns = columns or df.columns
+    if set(columns) != set(df.columns):
+        raise ValueError("copies are counted over all columns, so the digest covers all of them")
     content = F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).cast("binary"))
     counted = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
     few = counted.where(F.col("_copies") <= chunk).withColumn("_from", F.lit(0).cast("bigint"))
@@ -90,15 +92,15 @@ def report_name(run: str) -> str:
 
 
 def write_error_report(
-    report: DataFrame, folder: str, run: str, single_file: bool = True, max_single: int = 1_000_000
+    report: DataFrame, folder: str, run: str, single_file: bool = True
 ) -> str:
     """Write error rows as CSV with a header under ``folder``; returns the path.
 
-    A report of up to ``max_single`` rows becomes a single file, a larger one as
-    many as there are partitions.
+    ``single_file`` writes one file by one task; without it, each partition
+    writes its own, which is what a very large report needs.
     """
     path = f"{folder.rstrip('/')}/{report_name(run)}"
-    if single_file and report.limit(max_single + 1).count() <= max_single:
+    if single_file:
         report = report.coalesce(1)
     report.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
