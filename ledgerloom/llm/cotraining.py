@@ -163,6 +163,8 @@ def fit_quality(
     x = [np.array(rows[view].tolist()) for view in ("content", "metadata")]
     y, fold = rows["label"].to_numpy(dtype=float), rows["fold"].to_numpy()
     teach, check, pool = (fold >= 0) & (fold < FOLDS - 1), fold == FOLDS - 1, fold == -1
+    if any(len(np.unique(y[part])) < 2 for part in (teach, check)):  # labels of documents that are not there
+        return QualityModel(prior)
     lessons = [(x[v][teach], y[teach]) for v in (0, 1)]
     for turn in range(rounds + 1):
         views = [fitted(*lesson) for lesson in lessons]

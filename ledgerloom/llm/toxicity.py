@@ -209,6 +209,9 @@ def fit_toxicity(
     # Few partitions of a fixed order: the fit is small and reruns agree.
     train = dense_features(rows, variants, F.col("fold")).select(id_column, "features", F.col("label").cast("double").alias("label"), "fold")
     train = cut(train.repartition(4, id_column).sortWithinPartitions(id_column, "label", "features"))
+    there = {(r["label"], r["last"]) for r in train.select("label", (F.col("fold") == FOLDS - 1).alias("last")).distinct().collect()}
+    if len(there) < 4:  # labels of documents that are not there
+        return ToxicityModel(prior, {})
     vectors = train.withColumn("_vector", array_to_vector("features"))
     trees = GBTClassifier(
         featuresCol="_vector", labelCol="label", maxIter=20, maxDepth=4, stepSize=0.25, minInstancesPerNode=3, seed=13,
