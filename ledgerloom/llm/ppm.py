@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,15 +22,13 @@ SHARE = 2.0**-20
 KNOWN_WORDS = 1 << 18
 #: Stands before and after a text; it is no byte of UTF-8.
 END = 0xFF
-#: Positions whose windows are held at once.
-SLICE = 1 << 21
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BLANKS = r"[\x20\x09-\x0D]+"
+#: Positions whose windows are counted, and scored, at once; the latter fit into a processor's cache.
+COUNT_SLICE, SCORE_SLICE = 1 << 21, 1 << 16
 
 
-def lowered(column: Column) -> Column:
-    """A to Z in lower case, everything else as it is."""
-    return F.translate(column, UPPER, LOWER)
+def _lowered(texts: pa.Array) -> list[bytes]:
+    """UTF-8 bytes with A to Z in lower case, everything else as it is."""
+    return [t.lower() for t in texts.cast(pa.binary()).to_pylist()]
 
 
 def _joined(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,13 +38,13 @@ def _joined(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(x for t in texts for x in (before, t, after)), dtype=np.uint8), starts
 
 
-def _windows(joined: np.ndarray, starts: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _windows(joined: np.ndarray, starts: np.ndarray, order: int, step: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Slices of ``(first position, window codes, is scored)``; a code holds ``order`` bytes and the next one."""
     scored = np.ones(len(joined), dtype=bool)
     if len(starts) > 1 and order:
         scored[(starts[:-1, None] + np.arange(order)).ravel()] = False
-    for first in range(0, len(joined), SLICE):
-        last = min(len(joined), first + SLICE)
+    for first in range(0, len(joined), step):
+        last = min(len(joined), first + step)
         piece = np.concatenate([np.zeros(max(0, order - first), np.uint8), joined[max(0, first - order) : last]])
         codes = np.zeros(last - first, dtype=np.uint64)
         for back in range(order + 1):
@@ -60,8 +57,8 @@ def window_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            joined, starts = _joined([t.encode("utf-8", "replace") for t in batch.column(0).to_pylist()], order)
-            for _, codes, scored in _windows(joined, starts, order):
+            joined, starts = _joined(_lowered(batch.column(0)), order)
+            for _, codes, scored in _windows(joined, starts, order, COUNT_SLICE):
                 codes = np.sort(codes[scored])
                 at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.array([], int)
                 n = np.diff(np.append(at, len(codes)))
@@ -207,11 +204,11 @@ def build_trie(windows: DataFrame, order: int = ORDER, share: float = SHARE) ->
     return tries
 
 
-def code_lengths(trie: Trie, texts: list[str]) -> np.ndarray:
+def code_lengths(trie: Trie, texts: list[bytes]) -> np.ndarray:
     """log10 probability of each whole text and its end."""
-    joined, starts = _joined([t.encode("utf-8", "replace") for t in texts], trie.order)
+    joined, starts = _joined(texts, trie.order)
     sums = np.zeros(len(texts))
-    for first, codes, scored in _windows(joined, starts, trie.order):
+    for first, codes, scored in _windows(joined, starts, trie.order, SCORE_SLICE):
         value = np.zeros(len(codes))
         value[scored] = trie.log10(codes[scored])
         a, b = np.searchsorted(starts, first, "right") - 1, np.searchsorted(starts, first + len(codes), "left")
@@ -220,12 +217,29 @@ def code_lengths(trie: Trie, texts: list[str]) -> np.ndarray:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """``(word, n)`` over ``texts (text)``."""
-    words = F.filter(F.split("text", BLANKS), lambda w: w != "")
-    return texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """``(word, n)`` over ``texts (text)``; words are bytes between ASCII blanks, lower-cased."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, size = [], 0
+            for text in _lowered(batch.column(0)):
+                words += text.split()
+                size += len(text)
+                if size >= COUNT_SLICE:
+                    yield _counted(words)
+                    words, size = [], 0
+            if words:
+                yield _counted(words)
+
+    return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _often(counts: DataFrame, most: int) -> dict[str, int]:
+def _counted(words: list[bytes]) -> pa.RecordBatch:
+    both = pa.array(words, pa.binary()).value_counts()
+    return pa.RecordBatch.from_arrays([both.field(0), both.field(1)], ["word", "n"])
+
+
+def _often(counts: DataFrame, most: int) -> dict[bytes, int]:
     """The counts of the commonest words: all with a count that at most ``most`` words reach."""
     tally = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(most)
     least, room = math.inf, most
@@ -256,7 +270,7 @@ def score_texts(
     to ``known_words`` common words are broadcast; all other words are joined by shuffle.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(f"`{id_column}`").alias("_id"), is_training.alias("_train"), lowered(text_or_empty(text_column)).alias("text"))
+    rows = df.select(F.col(f"`{id_column}`").alias("_id"), is_training.alias("_train"), text_or_empty(text_column).alias("text"))
     train = rows.where("_train").select("text")
     trie = spark.sparkContext.broadcast(build_trie(window_counts(train, order), order, share))
     counts = written(word_counts(train))
@@ -267,32 +281,29 @@ def score_texts(
     often = spark.sparkContext.broadcast(_often(counts, known_words))
     end = math.log10(n_texts + 0.5) - below
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        logs = {word: math.log10(n + 0.5) - below for word, n in often.value.items()}
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_of = {word: math.log10(n + 0.5) - below for word, n in often.value.items()}.get
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                n, known, base, other = 1, int(n_texts > 0), end, []
-                for word in text.translate(_TO_BLANK).split(" "):
-                    if word:
-                        n += 1
-                        found = logs.get(word)
-                        if found is None:
-                            other.append(word)
-                        else:
-                            known += 1
-                            base += found
-                out.append((n, known, base, other))
-            sums = pd.DataFrame(out, columns=["n_tokens", "_known", "_base", "_rare"])
-            sums.insert(0, "_id", batch["_id"].array)
-            sums.insert(1, "_uid", batch["_uid"].array)
-            sums.insert(5, "score", code_lengths(trie.value, list(batch["text"])))
-            yield sums
+            tokens, known, base, others = [], [], [], []
+            texts = _lowered(batch.column(2))
+            for text in texts:
+                words = text.split()
+                found = list(map(log_of, words))
+                missing = [w for w, x in zip(words, found, strict=True) if x is None] if None in found else []
+                tokens.append(len(words) + 1)
+                known.append(len(words) - len(missing) + int(n_texts > 0))
+                base.append(sum(filter(None, found)) + end)
+                others.append(missing)
+            columns = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(code_lengths(trie.value, texts))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *columns, pa.array(others, pa.list_(pa.binary()))],
+                ["_id", "_uid", "n_tokens", "_known", "_base", "score", "_rare"],
+            )
 
     kind = dict(rows.dtypes)["_id"]
     scored = written(
-        rows.select("_id", F.monotonically_increasing_id().alias("_uid"), "text").mapInPandas(
-            score, f"_id {kind}, _uid long, n_tokens long, _known long, _base double, score double, _rare array<string>"
+        rows.select("_id", F.monotonically_increasing_id().alias("_uid"), "text").mapInArrow(
+            score, f"_id {kind}, _uid long, n_tokens long, _known long, _base double, score double, _rare array<binary>"
         )
     )
     rare = scored.select("_uid", F.explode("_rare").alias("word")).groupBy("_uid", "word").agg(F.count(F.lit(1)).alias("_tf"))
@@ -315,9 +326,6 @@ def score_texts(
     )
 
 
-_TO_BLANK = {i: " " for i in range(0x09, 0x0E)}
-
-
 def language_model_scores(docs: DataFrame) -> DataFrame:
     """:func:`score_texts` with rows held out whose id's crc32 as text leaves remainder 1 modulo 5.
 
