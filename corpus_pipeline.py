@@ -10,8 +10,7 @@ from ledgerloom.llm.cotraining import fit_quality
 from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.near_copies import without_near_duplicates
 from ledgerloom.llm.pieces import encode
-from ledgerloom.llm.shared import documents, written
-from ledgerloom.session import ship_package
+from ledgerloom.llm.shared import documents, prepared, written
 
 #: A document is rejected if good quality is less likely than this.
 ACCEPTED = 0.5
@@ -19,7 +18,7 @@ ACCEPTED = 0.5
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that both views together hold to be of good quality."""
-    ship_package(spark)
+    prepared(spark)
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     kept = model.score(docs, [row]).where(F.col("score") >= ACCEPTED)
@@ -33,7 +32,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
-    ship_package(spark)
+    prepared(spark)
     return without_near_duplicates(docs)
 
 
@@ -44,7 +43,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document of the mix."""
-    ship_package(spark)
+    prepared(spark)
     return encode(docs)
 
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.shared import text_or_empty, written
@@ -72,17 +71,6 @@ def _cutter(cut: str) -> Callable[[str], list[str]]:
     return lambda text: find(" " + text.replace(BLANK, " ")) if text else []
 
 
-@contextmanager
-def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
-    """A setting of the session while a table is written."""
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def distinct_words(texts: DataFrame, cut: str) -> DataFrame:
     """``(word, n)`` over ``texts (text)``: counted by slice, then summed by Spark."""
 
@@ -135,35 +123,39 @@ def _ids(first_byte: int) -> str:
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``(word, ids)`` for ``words (word)``, distinct words of up to MASK_BITS characters.
+    """``(word, n, ids)`` for distinct ``words (word, n)``; ids are null beyond MASK_BITS characters.
 
     Substrings up to the longest piece are joined with the piece table (its size is fixed); the edges
     of a word meet in one row, where a fold finds the path.  A table with merge scores folds the edges
-    in merge order over a bit mask of borders; one with log probabilities folds the best sums.
+    in merge order over a bit mask of borders; one with log probabilities folds the best sums.  Where
+    ``words`` is placed by word already, as a count leaves it, nothing is shuffled.
     """
     spark = words.sparkSession
     scores = sorted({score for _, _, score in pieces.table}, reverse=True)
     rank = {score: i for i, score in enumerate(scores)}
     rows = [(piece, i, min(rank[score], 65534), score) for piece, i, score in pieces.table]
     table = F.broadcast(spark.createDataFrame(rows, "piece string, id int, rank int, score double"))
+    # A longer word stays, without edges.
+    starts = F.explode_outer(F.expr(f"IF(length(word) <= {MASK_BITS}, sequence(0, length(word) - 1), array())"))
     spans = (
-        words.select("word", F.explode(F.expr("sequence(0, length(word) - 1)")).alias("s"))
-        .select("word", "s", F.explode(F.expr(f"sequence(1, least({pieces.longest}, length(word) - s))")).alias("len"))
-        .select("word", "s", "len", F.expr("substring(word, s + 1, len)").alias("piece"))
+        words.select("word", "n", starts.alias("s"))
+        .select("word", "n", "s", F.explode_outer(F.expr(f"sequence(1, least({pieces.longest}, length(word) - s))")).alias("len"))
+        .select("word", "n", "s", "len", F.expr("substring(word, s + 1, len)").alias("piece"))
     )
     lost = min(score for _, _, score in pieces.table) - 10
-    edges = spans.join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
+    edges = spans.join(table, "piece", "left").where("id IS NOT NULL OR len = 1 OR len IS NULL")
     if pieces.merging:
         # Single characters come last and change nothing.
-        edges = edges.select("word", F.expr(_EDGE.replace("rank AS", "IF(len = 1, 65535, rank) AS")).alias("edge"))
-        met = edges.groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges")).withColumn("m", F.expr(_MERGED))
+        edges = edges.select("word", "n", F.expr(_EDGE.replace("rank AS", "IF(len = 1, 65535, rank) AS")).alias("edge"))
+        met = edges.groupBy("word", "n").agg(F.sort_array(F.collect_list("edge")).alias("edges")).withColumn("m", F.expr(_MERGED))
         on_path = f"filter(edges, x -> (m & {_BOTH}) = {_BOTH} AND (m & {_INSIDE}) = 0)"
-        path = met.select("word", F.expr(f"array_sort(transform({on_path}, x -> x & shiftleft(1L, 47) - 1))").alias("path"))
+        path = met.select("word", "n", F.expr(f"array_sort(transform({on_path}, x -> x & shiftleft(1L, 47) - 1))").alias("path"))
     else:
-        edge = F.struct("s", "len", F.coalesce("score", F.lit(lost)).alias("score"), "id")
-        met = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("best", F.expr(_BEST))
-        path = met.select("word", F.expr(_PATH).alias("path"))
-    return path.select("word", F.expr(_ids(pieces.first_byte)).alias("ids"))
+        edge = F.when(F.col("len").isNotNull(), F.struct("s", "len", F.coalesce("score", F.lit(lost)).alias("score"), "id"))
+        met = edges.groupBy("word", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("best", F.expr(_BEST))
+        path = met.select("word", "n", F.when(F.size("edges") > 0, F.expr(_PATH)).alias("path"))
+    ids = F.when(F.length("word") <= MASK_BITS, F.expr(_ids(pieces.first_byte)))
+    return path.select("word", "n", ids.alias("ids"))
 
 
 def _encode_long(word: str, ranks: dict[str, tuple[float, int]], pieces: Pieces) -> list[int]:
@@ -201,8 +193,11 @@ def _word_codes(words: list[str]) -> np.ndarray:
     return np.fromiter((xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
 
 
-def _common_words(ids: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The commonest words, up to ``most``, as ``(sorted hashes, where ids end, ids)``."""
+def _common_words(ids: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The commonest words, up to ``most``: ``(sorted hashes, their numbers, where ids end, ids)``.
+
+    Numbers go by frequency, so that most are small.
+    """
     tally = ids.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(most)
     least, room = None, most
     for row in tally.toLocalIterator():
@@ -215,14 +210,37 @@ def _common_words(ids: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = pa.array(_word_codes(batch.column(0).to_pylist()).view(np.int64))
-            yield pa.RecordBatch.from_arrays([codes, batch.column(1)], ["code", "ids"])
+            yield pa.RecordBatch.from_arrays([codes, batch.column(1), batch.column(2)], ["code", "n", "ids"])
 
-    table = chosen.select("word", "ids").mapInArrow(coded, "code long, ids array<int>").toArrow()
-    codes, lists = table.column(0).to_numpy().view(np.uint64), table.column(1).combine_chunks()
-    order = np.argsort(codes)
-    lists = lists.take(pa.array(order))
+    table = chosen.select("word", "n", "ids").mapInArrow(coded, "code long, n long, ids array<int>").toArrow()
+    codes, often = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
+    order = np.lexsort((codes, -often))
+    lists = table.column(2).combine_chunks().take(pa.array(order))
     ends = np.cumsum(np.diff(lists.offsets.to_numpy())) if len(order) else np.zeros(0, int)
-    return codes[order], ends.astype(np.int32), lists.flatten().to_numpy().astype(np.int32)
+    codes = codes[order]
+    numbers = np.argsort(codes)
+    return codes[numbers], numbers.astype(np.int32), ends.astype(np.int32), lists.flatten().to_numpy().astype(np.int32)
+
+
+def _packed(refs: np.ndarray) -> bytes:
+    """Numbers of words byte plane by byte plane, which compresses well; other words are odd."""
+    codes = np.where(refs >= 0, refs.astype(np.int64) * 2, -2 * refs.astype(np.int64) - 1).astype("<u4")
+    return codes.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(planes: pa.BinaryScalar) -> np.ndarray:
+    codes = np.frombuffer(planes.as_buffer(), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+    return np.where(codes % 2 == 0, codes // 2, -(codes + 1) // 2)
+
+
+def _other_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(_uid, place, word)`` of the words of each text that have no number."""
+    for batch in batches:
+        others = batch.column(3)
+        n = np.diff(others.offsets.to_numpy())
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        uid = np.repeat(batch.column(1).to_numpy(), n)
+        yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(place.astype(np.int32)), others.flatten()], ["_uid", "place", "word"])
 
 
 def encode(
@@ -251,19 +269,15 @@ def encode(
         ranks = {piece: (score, i) for piece, i, score in shared.value.table}
         for batch in batches:
             batch["ids"] = [_encode_long(w, ranks, shared.value) for w in batch["word"]]
-            yield batch[["word", "ids"]]
-
-    words = written(distinct_words(rows.select("text"), pieces.cut))
-    fits = F.length("word") <= MASK_BITS
-    short = encode_words(words.where(fits).select("word"), pieces)
-    far = words.where(~fits).select("word").mapInPandas(long_words, "word string, ids array<int>")
-    # A partition's words are grouped in memory, a few numbers each, and not sorted with all their edges.
-    with _setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000"):
-        table = written(short.unionByName(far).join(words, "word"))
+            yield batch[["word", "n", "ids"]]
+
+    short = written(encode_words(distinct_words(rows.select("text"), pieces.cut), pieces))
+    far = short.where("ids IS NULL").select("word", "n").mapInPandas(long_words, "word string, n long, ids array<int>")
+    table = short.where("ids IS NOT NULL").unionByName(far)
     common = spark.sparkContext.broadcast(_common_words(table, known_words))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, words_of = common.value[0], _cutter(shared.value.cut)
+        codes, numbers, words_of = common.value[0], common.value[1], _cutter(shared.value.cut)
         for batch in batches:
             first = 0
             for part in _text_slices(batch.column(2).to_pylist()):
@@ -272,7 +286,7 @@ def encode(
                 known = pa.array([w for words in lists for w in words], pa.string()).dictionary_encode()
                 hashed = _word_codes(known.dictionary.to_pylist())
                 at = np.minimum(np.searchsorted(codes, hashed), max(0, len(codes) - 1))
-                number = np.where(codes[at] == hashed, at, -1) if len(codes) else np.full(len(hashed), -1)
+                number = np.where(codes[at] == hashed, numbers[at], -1) if len(codes) else np.full(len(hashed), -1)
                 index = known.indices.to_numpy(zero_copy_only=False).astype(np.int64)
                 refs = number[index].astype(np.int32)
                 # Other words get numbers below 0, by text.
@@ -282,7 +296,7 @@ def encode(
                 begins = np.searchsorted(own, np.arange(len(lists) + 1) * len(number))
                 refs[rare] = -1 - (back - begins[text])
                 others = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), known.dictionary.take(pa.array(own % max(1, len(number)))))
-                packed = pa.array([refs[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+                packed = pa.array([_packed(refs[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
                 ids = [batch.column(i).slice(first, len(part)) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*ids, packed, others], ["_id", "_uid", "refs", "others"])
                 first += len(part)
@@ -291,20 +305,22 @@ def encode(
     sent = rows.select("_id", F.monotonically_increasing_id().alias("_uid"), "text").mapInArrow(
         numbered, f"_id {kind}, _uid long, refs binary, others array<string>"
     )
-    asked = sent.select("_uid", F.posexplode("others").alias("place", "word"))
+    # Both uses below read all columns of this exchange, so Spark makes it once.
+    sent = sent.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_uid")
+    asked = sent.mapInArrow(_other_words, "_uid long, place int, word string")
     found = asked.join(table.select("word", "ids"), "word").groupBy("_uid").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("found"))
 
     def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, ends, flat = common.value
+        _, _, ends, flat = common.value
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else np.zeros(0, int)
         for whole in batches:
             for first in range(0, whole.num_rows, ROW_SLICE):
                 batch = whole.slice(first, ROW_SLICE)
-                parts = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in batch.column(1)]
+                parts = [_unpacked(x) for x in batch.column(1)]
                 words = np.array([len(x) for x in parts], dtype=np.int64)
-                refs = np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int64)
+                refs = np.concatenate([*parts, np.zeros(0, np.int64)])
                 # A text's own words: lists of ids, in the order of their places.
-                own = batch.column(2)
+                own = batch.column(3)
                 own_first = own.offsets.to_numpy()[:-1].astype(np.int64)
                 lists = own.values.field("ids")
                 own_ends, own_ids = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
@@ -321,7 +337,7 @@ def encode(
                 out = pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0), out], ["_id", "ids"])
 
-    ids = sent.drop("others").join(found, "_uid", "left").select("_id", "refs", "found").mapInArrow(resolved, f"_id {kind}, ids array<int>")
+    ids = sent.join(found, "_uid", "left").select("_id", "refs", "others", "found").mapInArrow(resolved, f"_id {kind}, ids array<int>")
     return ids.select(F.col("_id").alias(id_column), "ids", F.size("ids").alias("n_ids"))
 
 

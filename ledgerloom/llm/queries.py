@@ -14,11 +14,10 @@ from ledgerloom.llm.mixing import mixed
 from ledgerloom.llm.near_copies import near_duplicates
 from ledgerloom.llm.pieces import encode
 from ledgerloom.llm.ppm import language_model_scores
-from ledgerloom.llm.shared import documents, text_crc32, text_or_empty
+from ledgerloom.llm.shared import documents, prepared, text_crc32, text_or_empty
 from ledgerloom.llm.token_lengths import length_histogram, with_token_count
 from ledgerloom.llm.toxicity import toxicity
 from ledgerloom.llm.vector_search import exact_topk
-from ledgerloom.session import ship_package
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +27,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepared(spark)
     return toxicity(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -47,17 +46,17 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepared(spark)
     return language_model_scores(documents(spark, sf_dir))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepared(spark)
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepared(spark)
     return length_histogram(with_token_count(documents(spark, sf_dir).select("text")).select("n_tokens"))
 
 
@@ -73,17 +72,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepared(spark)
     return exact_topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepared(spark)
     return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepared(spark)
     return encode(documents(spark, sf_dir))
 
 

@@ -9,6 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.scale import settle, shared_root
+from ledgerloom.session import ship_package
+
+#: Rows of one Arrow batch.  A row holds a whole text, so the usual number would make batches too large.
+ARROW_ROWS = 1000
+
+
+def prepared(spark: SparkSession) -> None:
+    """Send the package to the Python workers and keep Arrow batches of documents small."""
+    ship_package(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
 
 #: Bytes of text that one shuffled partition should hold.
 PARTITION_BYTES = 64 * 1024 * 1024
