@@ -176,7 +176,7 @@ def test_experiments_end_to_end(spark, lines):
         assert run.scores["test_size"] == split.test.count() == 12
         assert run.scores["nominal_f1"] == pytest.approx(1.0)
         assert run.errors().count() == run.scores["n_errors"]
-    assert runs[3].predictions.columns[-2:] == ["confidence", "reasoning"]
+    assert runs[3].predictions.columns[-3:] == ["confidence", "reasoning", "failed"]
 
 
 def test_novel_items(spark, lines):
