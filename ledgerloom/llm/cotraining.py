@@ -158,10 +158,9 @@ def fit_quality(
     # About fit_rows + pool_rows ids at most, whatever the size of the tables.
     chosen = docs.join(F.broadcast(marked), id_column)
     rows = chosen.select(F.col(id_column).alias("id"), "label", "fold", features(*_given(docs, text_column)).alias("v"))
-    rows = rows.select("id", "label", "fold", "v.content", "v.metadata").toPandas()
-    rows = rows.sort_values(["id", "fold"], kind="stable")
-    x = [np.array(rows[view].tolist()) for view in ("content", "metadata")]
-    y, fold = rows["label"].to_numpy(dtype=float), rows["fold"].to_numpy()
+    rows = rows.select("id", "label", "fold", "v.content", "v.metadata").toArrow().sort_by([("id", "ascending"), ("fold", "ascending")])
+    x = [rows.column(view).combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 1)) for view in ("content", "metadata")]
+    y, fold = rows.column("label").to_pandas().to_numpy(dtype=float), rows.column("fold").to_numpy()
     teach, check, pool = (fold >= 0) & (fold < FOLDS - 1), fold == FOLDS - 1, fold == -1
     if any(len(np.unique(y[part])) < 2 for part in (teach, check)):  # labels of documents that are not there
         return QualityModel(prior)

@@ -16,7 +16,7 @@ from ledgerloom.llm.shared import text_or_empty, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids are sent to the executors, at most; the ids of all others travel by shuffle.
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 19
 #: A position in a word up to here is one bit of a long integer.
 MASK_BITS = 62
 #: Stands for a blank in pieces (fixed value of the format).
