@@ -8,7 +8,7 @@ from ledgerloom.llm.near_copies import inverse_frequencies
 from ledgerloom.llm.shared import documents, written
 from test_near_copies import plain_classes
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 sentencepiece = pytest.importorskip("sentencepiece")
 
 
