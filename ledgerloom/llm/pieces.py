@@ -272,7 +272,8 @@ def encode(
             yield batch[["word", "n", "ids"]]
 
     short = written(encode_words(distinct_words(rows.select("text"), pieces.cut), pieces))
-    far = short.where("ids IS NULL").select("word", "n").mapInPandas(long_words, "word string, n long, ids array<int>")
+    # Written, so that no later task needs two Python workers at once.
+    far = written(short.where("ids IS NULL").select("word", "n").mapInPandas(long_words, "word string, n long, ids array<int>"))
     table = short.where("ids IS NOT NULL").unionByName(far)
     common = spark.sparkContext.broadcast(_common_words(table, known_words))
 
