@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,9 +53,10 @@ def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     words = lists.flatten()
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     known = words.dictionary_encode()
+    from xxhash import xxh3_64_intdigest
+
     table = np.fromiter(
-        (int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in known.dictionary.to_pylist()),
-        dtype=np.uint64, count=len(known.dictionary),
+        map(xxh3_64_intdigest, known.dictionary.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(known.dictionary)
     )
     hashes = table[known.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
     blank = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, bool)
