@@ -122,16 +122,23 @@ class Trie:
     stats: list[np.ndarray]
     top: np.ndarray
 
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each window's last byte after its context."""
+    def known(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each window's last byte if the longest context has seen it, else 0; which have not."""
         place = self.nodes[self.order].find(codes)
         out = np.where(place >= 0, self.top[place], 0.0) if len(self.top) else np.zeros(len(codes))
-        missing = np.flatnonzero(place < 0)
-        if len(missing):
-            rare, back = np.unique(codes[missing], return_inverse=True)
-            out[missing] = self._escaping(rare)[back]
+        return out, np.flatnonzero(place < 0)
+
+    def log10(self, codes: np.ndarray) -> np.ndarray:
+        """log10 probability of each window's last byte after its context."""
+        out, missing = self.known(codes)
+        out[missing] = self.escaping(codes[missing])
         return out
 
+    def escaping(self, codes: np.ndarray) -> np.ndarray:
+        """The same for windows that the longest context has not seen; equal windows are worked out once."""
+        rare, back = np.unique(codes, return_inverse=True)
+        return self._escaping(rare)[back]
+
     def _escaping(self, codes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(codes))
         open_ = np.arange(len(codes))
@@ -208,11 +215,28 @@ def code_lengths(trie: Trie, texts: list[bytes]) -> np.ndarray:
     """log10 probability of each whole text and its end."""
     joined, starts = _joined(texts, trie.order)
     sums = np.zeros(len(texts))
+    rare, owners, held = [], [], 0
+
+    def settle_rare() -> None:
+        if rare:
+            sums[:] += np.bincount(np.concatenate(owners), trie.escaping(np.concatenate(rare)), len(texts))
+            rare.clear()
+            owners.clear()
+
     for first, codes, scored in _windows(joined, starts, trie.order, SCORE_SLICE):
+        at = np.flatnonzero(scored)
         value = np.zeros(len(codes))
-        value[scored] = trie.log10(codes[scored])
+        value[at], missing = trie.known(codes[at])
         a, b = np.searchsorted(starts, first, "right") - 1, np.searchsorted(starts, first + len(codes), "left")
         sums[a:b] += np.add.reduceat(value, np.maximum(starts[a:b] - first, 0))
+        # Windows that need shorter contexts repeat across slices: they wait for one another.
+        rare.append(codes[at[missing]])
+        owners.append(np.searchsorted(starts, first + at[missing], "right") - 1)
+        held += len(missing)
+        if held >= COUNT_SLICE:
+            settle_rare()
+            held = 0
+    settle_rare()
     return sums
 
 
