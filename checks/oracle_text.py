@@ -22,7 +22,7 @@ def _python_list(column: str, table: str) -> str:
 
 
 def _amount(value: str) -> str:
-    return rf"regexp_replace(CAST(CAST({value} AS DECIMAL(38,6)) AS VARCHAR), '\.?0+$', '')"
+    return rf"regexp_replace(CAST(CAST({value} AS DECIMAL(38,6)) AS VARCHAR), '(\.\d+?)0+$', '\1')"
 
 
 def chat(table: str) -> str:

@@ -56,9 +56,9 @@ def chat_prompt(items: DataFrame, vocabulary: dict[str, list[str]]) -> DataFrame
         return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
     def amount(column: str) -> Column:
-        """Plain decimals without an exponent; up to six places, trailing zeros cut."""
+        """Plain decimals without an exponent; up to six places, trailing zeros cut but for one."""
         plain = F.col(column).cast("decimal(38,6)").cast("string")
-        return F.coalesce(F.regexp_replace(plain, r"\.?0+$", ""), F.lit(""))
+        return F.coalesce(F.regexp_replace(plain, r"(\.\d+?)0+$", "$1"), F.lit(""))
 
     user = F.concat(
         F.lit("Code this invoice line.\n\nDETAIL: "), shown("DETAIL"),
