@@ -328,8 +328,13 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
         return pd.DataFrame(_tile_links(rows, shared.value, least), columns=["a", "b"], dtype=object)
 
     more = tiled.groupBy("band", "key", "s", "t").applyInPandas(compare, "a string, b string")
-    classes = connected(stars.unionByName(linked(pairs)).unionByName(more))
-    of_group = groups.join(classes, "v", "left").select("v", "row", "copies", F.coalesce("c", "v").alias("c"))
+    # The classes of the first round are the vertices of the second, so its graph is small.
+    first_a, first_b = classes.select(F.col("v").alias("a"), F.col("c").alias("_a")), classes.select(F.col("v").alias("b"), F.col("c").alias("_b"))
+    between = linked(pairs).unionByName(more).join(first_a, "a", "left").join(first_b, "b", "left")
+    between = between.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    merged = connected(between).select(F.col("v").alias("_first"), F.col("c").alias("_merged"))
+    of_group = groups.join(classes, "v", "left").withColumn("_first", F.coalesce("c", "v")).join(merged, "_first", "left")
+    of_group = of_group.select("v", "row", "copies", F.coalesce("_merged", "_first").alias("c"))
     best = of_group.groupBy("c").agg(F.min("row").alias("best"), F.sum("copies").alias("class_size"))
     named = of_group.join(best, "c").select("v", "best", "class_size")
     # Of rows that repeat id and text the first one stands for all.
