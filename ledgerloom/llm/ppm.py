@@ -15,9 +15,9 @@ from ledgerloom.llm.shared import cut, id_remainder, text_or_empty, written
 
 #: Bytes of context.  A context and its next byte fit into 64 bits.
 ORDER = 5
-#: A node of the trie stays if it has at least this share of all training bytes, and so at most
-#: ``1 / SHARE`` nodes of each order stay: that bounds the model that is sent to the executors.
-SHARE = 2.0**-20
+#: A window with at least this share of all training bytes is sent to the executors with its score, so
+#: at most ``1 / SHARE`` are; all other windows are joined by shuffle.
+SHARE = 2.0**-22
 #: Words whose counts are sent to the executors, at most; the others are joined by shuffle.
 KNOWN_WORDS = 1 << 18
 #: Stands before and after a text; it is no byte of UTF-8.
@@ -106,6 +106,21 @@ class Table:
             slot = (slot + 1) & ((1 << self.bits) - 1)
 
 
+@dataclass
+class Common:
+    """Common windows with the log10 probability of their last bytes."""
+
+    order: int
+    windows: Table
+    top: np.ndarray
+
+    def known(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each window's last byte if the window is common, else 0; which are not."""
+        place = self.windows.find(codes)
+        out = np.where(place >= 0, self.top[place], 0.0) if len(self.top) else np.zeros(len(codes))
+        return out, np.flatnonzero(place < 0)
+
+
 @dataclass
 class Trie:
     """For each order: nodes (context and byte) with counts, and contexts.
@@ -124,9 +139,7 @@ class Trie:
 
     def known(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each window's last byte if the longest context has seen it, else 0; which have not."""
-        place = self.nodes[self.order].find(codes)
-        out = np.where(place >= 0, self.top[place], 0.0) if len(self.top) else np.zeros(len(codes))
-        return out, np.flatnonzero(place < 0)
+        return Common(self.order, self.nodes[self.order], self.top).known(codes)
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of each window's last byte after its context."""
@@ -164,10 +177,10 @@ class Trie:
 
 
 def build_trie(windows: DataFrame, order: int = ORDER, share: float = SHARE) -> Trie:
-    """The trie of all orders from the counts of the longest windows.
+    """The trie of all orders from the counts of the longest windows, on the driver; for small corpora.
 
-    Spark sums the counts of shorter contexts and cuts rare nodes; what comes to the driver is bounded
-    by ``1 / share`` nodes of each order.
+    Nodes with less than ``share`` of all bytes are cut.  :func:`score_texts` cuts nothing: it uses
+    :func:`context_table`.
     """
     windows = cut(windows)
     total = windows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -211,32 +224,93 @@ def build_trie(windows: DataFrame, order: int = ORDER, share: float = SHARE) ->
     return tries
 
 
-def code_lengths(trie: Trie, texts: list[bytes]) -> np.ndarray:
-    """log10 probability of each whole text and its end."""
-    joined, starts = _joined(texts, trie.order)
-    sums = np.zeros(len(texts))
-    rare, owners, held = [], [], 0
+def context_table(windows: DataFrame, order: int = ORDER) -> DataFrame:
+    """``(k, context, total, symbols, excluded, seen)``: every context of every order, nothing cut.
+
+    ``seen`` maps next bytes to their counts; ``excluded`` is how much of the count of the context that
+    is one byte shorter belongs to these bytes.
+    """
+    orders = F.explode(F.sequence(F.lit(0), F.lit(order))).alias("k")
+    mask = F.expr("shiftrightunsigned(-1L, 56 - 8 * k)")
+    nodes = windows.select("window", "n", orders).select("k", F.col("window").bitwiseAND(mask).alias("node"), "n")
+    nodes = cut(nodes.groupBy("k", "node").agg(F.sum("n").alias("n")))
+    shorter = nodes.select(F.col("k").alias("_k"), F.col("node").alias("_node"), F.col("n").alias("_n"))
+    suffix = F.when(F.col("k") > 0, F.col("node").bitwiseAND(F.expr("shiftrightunsigned(-1L, 64 - 8 * k)")))
+    both = nodes.withColumn("_suffix", F.coalesce(suffix, F.col("node"))).join(
+        shorter, (F.col("_k") == F.col("k") - 1) & (F.col("_node") == F.col("_suffix")), "left"
+    )
+    return both.groupBy("k", F.shiftrightunsigned("node", 8).alias("context")).agg(
+        F.sum("n").alias("total"),
+        F.count(F.lit(1)).alias("symbols"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("excluded"),
+        F.map_from_entries(F.collect_list(F.struct(F.col("node").bitwiseAND(F.lit(255)).cast("int"), "n"))).alias("seen"),
+    )
+
+
+def window_scores(asked: DataFrame, contexts: DataFrame, order: int = ORDER) -> DataFrame:
+    """``(window, log10)`` for all of ``asked (window)``: one join per order, from the longest context down."""
+    symbol = F.col("window").bitwiseAND(F.lit(255)).cast("int")
+    before = F.shiftrightunsigned("window", 8)
+    rows = asked.select("window", F.lit(0.0).alias("log10"), F.lit(0).cast("long").alias("mass"), F.lit(0).cast("long").alias("out"), F.lit(False).alias("done"))
+    for k in range(order, -1, -1):
+        at = contexts.where(F.col("k") == k).drop("k")
+        # What is done meets no context, but stays spread over the tasks.
+        key = F.when(F.col("done"), -1 - before).otherwise(before.bitwiseAND(F.lit((1 << (8 * k)) - 1)))
+        # There are at most 257 contexts of the two shortest orders.
+        rows = rows.withColumn("_key", key).join(F.broadcast(at) if k <= 1 else at, F.col("_key") == F.col("context"), "left")
+        n, there = F.element_at("seen", symbol), F.col("context").isNotNull()
+        whole = F.col("total") + F.col("symbols") - F.col("mass") - F.col("out")
+        step = F.when(there & n.isNotNull(), F.log10(n / whole)).when(there & (whole > 0), F.log10((F.col("symbols") - F.col("out")) / whole))
+        rows = rows.select(
+            "window",
+            (F.col("log10") + F.coalesce(step, F.lit(0.0))).alias("log10"),
+            F.coalesce("excluded", F.lit(0)).alias("mass"),
+            F.coalesce("symbols", F.lit(0)).alias("out"),
+            (F.col("done") | (there & n.isNotNull())).alias("done"),
+        )
+    return rows.select("window", F.when(F.col("done"), F.col("log10")).otherwise(F.col("log10") - F.log10(256 - F.col("out"))).alias("log10"))
+
+
+def common_windows(windows: DataFrame, order: int = ORDER, share: float = SHARE) -> Common:
+    """The windows with at least ``share`` of all counts, scored by the uncut counts of their contexts."""
+    total = windows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = F.col("n") >= max(1.0, total * share)
+    # A context has at most 256 windows.
+    context = F.shiftrightunsigned("window", 8).alias("context")
+    found = windows.groupBy(context).agg(
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("symbols"), F.collect_list(F.when(often, F.struct("window", "n"))).alias("kept")
+    )
+    rows = found.select("total", "symbols", F.explode("kept").alias("x")).select("x.window", "x.n", "total", "symbols")
+    window, n, whole, symbols = (column.to_numpy() for column in rows.toArrow().columns)
+    return Common(order, Table(window.view(np.uint64)), np.log10(n / (whole + symbols)))
 
-    def settle_rare() -> None:
-        if rare:
-            sums[:] += np.bincount(np.concatenate(owners), trie.escaping(np.concatenate(rare)), len(texts))
-            rare.clear()
-            owners.clear()
 
-    for first, codes, scored in _windows(joined, starts, trie.order, SCORE_SLICE):
+def known_lengths(model: Common | Trie, texts: list[bytes], sums: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Add log10 probabilities of known windows to ``sums`` of texts; all other windows, with their text's number."""
+    joined, starts = _joined(texts, model.order)
+    rare, owners, held = [], [], 0
+    for first, codes, scored in _windows(joined, starts, model.order, SCORE_SLICE):
         at = np.flatnonzero(scored)
         value = np.zeros(len(codes))
-        value[at], missing = trie.known(codes[at])
+        value[at], missing = model.known(codes[at])
         a, b = np.searchsorted(starts, first, "right") - 1, np.searchsorted(starts, first + len(codes), "left")
         sums[a:b] += np.add.reduceat(value, np.maximum(starts[a:b] - first, 0))
-        # Windows that need shorter contexts repeat across slices: they wait for one another.
+        # Windows that are not known repeat across slices: they wait for one another.
         rare.append(codes[at[missing]])
         owners.append(np.searchsorted(starts, first + at[missing], "right") - 1)
         held += len(missing)
         if held >= COUNT_SLICE:
-            settle_rare()
-            held = 0
-    settle_rare()
+            yield np.concatenate(rare), np.concatenate(owners)
+            rare, owners, held = [], [], 0
+    if held:
+        yield np.concatenate(rare), np.concatenate(owners)
+
+
+def code_lengths(trie: Trie, texts: list[bytes]) -> np.ndarray:
+    """log10 probability of each whole text and its end."""
+    sums = np.zeros(len(texts))
+    for rare, owners in known_lengths(trie, texts, sums):
+        sums += np.bincount(owners, trie.escaping(rare), len(texts))
     return sums
 
 
@@ -290,13 +364,17 @@ def score_texts(
     empty; repeated rows score alike; no training rows leave the uniform model; an empty table gives an
     empty result.  Other columns are ignored.
 
-    Counts cover all training texts.  The trie is bounded by ``share`` and broadcast.  The counts of up
-    to ``known_words`` common words are broadcast; all other words are joined by shuffle.
+    Counts cover all training texts, and every context and next byte seen there is used.  The scores of
+    windows that have at least ``share`` of all training bytes are broadcast; all other windows are
+    joined by shuffle.  The counts of up to ``known_words`` common words are broadcast; all other words
+    are joined by shuffle.
     """
     spark = df.sparkSession
     rows = df.select(F.col(f"`{id_column}`").alias("_id"), is_training.alias("_train"), text_or_empty(text_column).alias("text"))
     train = rows.where("_train").select("text")
-    trie = spark.sparkContext.broadcast(build_trie(window_counts(train, order), order, share))
+    windows = cut(window_counts(train, order))
+    common = spark.sparkContext.broadcast(common_windows(windows, order, share))
+    contexts = written(context_table(windows, order))
     counts = written(word_counts(train))
     n_texts = train.count()
     n_words, n_kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -305,6 +383,8 @@ def score_texts(
     often = spark.sparkContext.broadcast(_often(counts, known_words))
     end = math.log10(n_texts + 0.5) - below
 
+    names = ["_id", "_uid", "n_tokens", "_known", "_base", "_score", "_rare", "_windows"]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_of = {word: math.log10(n + 0.5) - below for word, n in often.value.items()}.get
         for batch in batches:
@@ -318,18 +398,33 @@ def score_texts(
                 known.append(len(words) - len(missing) + int(n_texts > 0))
                 base.append(sum(filter(None, found)) + end)
                 others.append(missing)
-            columns = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(code_lengths(trie.value, texts))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *columns, pa.array(others, pa.list_(pa.binary()))],
-                ["_id", "_uid", "n_tokens", "_known", "_base", "score", "_rare"],
-            )
+            sums = np.zeros(len(texts))
+            for codes, owners in known_lengths(common.value, texts, sums):
+                # Rows of their own, so that no row holds all windows of a long text.
+                ends = np.flatnonzero(np.append(owners[1:] != owners[:-1], True))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends + 1), pa.int32()), pa.array(codes.view(np.int64)))
+                uids = batch.column(1).take(pa.array(owners[ends]))
+                blank = [pa.nulls(len(ends), kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(ends), batch.column(0).type), uids, *blank, lists], names)
+            columns = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(sums)]
+            lists = [pa.array(others, pa.list_(pa.binary())), pa.nulls(len(texts), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *lists], names)
 
     kind = dict(rows.dtypes)["_id"]
-    scored = written(
+    both = written(
         rows.select("_id", F.monotonically_increasing_id().alias("_uid"), "text").mapInArrow(
-            score, f"_id {kind}, _uid long, n_tokens long, _known long, _base double, score double, _rare array<binary>"
+            score, f"_id {kind}, _uid long, n_tokens long, _known long, _base double, _score double, _rare array<binary>, _windows array<long>"
         )
     )
+    scored = both.where(F.col("n_tokens").isNotNull()).drop("_windows")
+    pairs = both.where(F.col("n_tokens").isNull()).select("_uid", F.explode("_windows").alias("window"))
+    pairs = pairs.groupBy("_uid", "window").agg(F.count(F.lit(1)).alias("_tf"))
+    asked = both.select(F.explode("_windows").alias("window")).distinct()
+    lengths = (
+        pairs.join(window_scores(asked, contexts, order), "window")
+        .groupBy("_uid")
+        .agg(F.sum(F.col("_tf") * F.col("log10")).alias("_length"))
+    )
     rare = scored.select("_uid", F.explode("_rare").alias("word")).groupBy("_uid", "word").agg(F.count(F.lit(1)).alias("_tf"))
     n = F.coalesce("n", F.lit(0))
     rest = (
@@ -340,13 +435,13 @@ def score_texts(
             F.sum(F.when(n > 0, F.col("_tf")).otherwise(0)).alias("_also"),
         )
     )
-    return scored.drop("_rare").join(rest, "_uid", "left").select(
+    return scored.drop("_rare").join(rest, "_uid", "left").join(lengths, "_uid", "left").select(
         F.col("_id").alias(id_column),
         "n_tokens",
         (F.col("_known") + F.coalesce("_also", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("_base") + F.coalesce("_more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("_score") + F.coalesce("_length", F.lit(0.0))).alias("score"),
     )
 
 

@@ -74,6 +74,16 @@ def test_scores_and_base(spark):
         assert (got["score"] < 0).all()
 
 
+def test_nothing_is_cut_from_the_model(spark):
+    asked = TEXTS + ["q", "the the the", "ünknown ßtuff", "", "mat on the hat"]
+    docs = [(i, t) for i, t in enumerate(asked)] + [(4, "zzz the cat")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for share in (1e-9, 0.02, 2.0):
+        got = score_texts(df, F.col("doc_id") < 4, order=ORDER, share=share).select("doc_id", "score").collect()
+        expected = sorted((i, plain_ppm(TEXTS[:4], t)) for i, t in docs)
+        assert np.allclose(sorted(tuple(row) for row in got), expected)
+
+
 def test_nothing_to_learn_from_and_empty_table(spark):
     df = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     got = score_texts(df, F.lit(False)).first()
