@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.cotraining import fit_quality, fitted, quality
+from ledgerloom.llm.cotraining import View, _taught, fit_quality, fitted, quality
 
 
 def table(spark, n=700, seed=3):
@@ -62,3 +62,28 @@ def test_fit_recovers_a_known_line():
     y = (rng.random(4000) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1] + 0.5)))).astype(float)
     view = fitted(x, y)
     assert np.allclose([*view.weights, view.intercept], [2, -1, 0.5], atol=0.25)
+
+
+def test_all_unlabelled_documents_teach(spark):
+    """The same views as a plain fit to the labelled rows and every document of which the other view is sure."""
+    rng = np.random.default_rng(1)
+    side = rng.integers(0, 2, 9000)
+    x = [rng.normal(size=(9000, 2)) + side[:, None] * 2, rng.normal(size=(9000, 3)) - side[:, None]]
+    teachers = [fitted(v[:200], side[:200].astype(float)) for v in x]
+    pool = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x[0][200:], x[1][200:], strict=True)], "content array<double>, metadata array<double>")
+    got = _taught([(v[:200], side[:200].astype(float)) for v in x], pool.repartition(5), teachers, 2.0)
+    for v, other in ((0, 1), (1, 0)):
+        odds = teachers[other].odds(x[other][200:])
+        sure = np.abs(odds) >= 2.0
+        plain = fitted(np.vstack([x[v][:200], x[v][200:][sure]]), np.concatenate([side[:200], odds[sure] > 0]).astype(float))
+        assert isinstance(got[v], View) and np.allclose([*got[v].weights, got[v].intercept], [*plain.weights, plain.intercept], atol=1e-5)
+
+
+def test_every_language_of_the_labels_has_its_own_place(spark):
+    rows = [(i, f"text {i}", ("de", "fr", "es")[i % 3], f"s{i % 40}", 8) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, quality int")
+    model = fit_quality(docs, labels)
+    assert sorted(model.places[1]) == ["de", "es", "fr"] and len(model.places[0]) == 40
+    got = {r["lang"]: r["metadata_score"] for r in model.score(docs, [F.col("lang")]).collect()}
+    assert got["de"] > 0.9 > 0.1 > max(got["fr"], got["es"])
