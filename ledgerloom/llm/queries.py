@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.content_sort import exact_duplicates
 from ledgerloom.llm.cotraining import quality
 from ledgerloom.llm.hypergeometric import shuffle_into_shards
+from ledgerloom.llm.language_codes import languages
 from ledgerloom.llm.mixing import mixed
 from ledgerloom.llm.near_copies import near_duplicates
 from ledgerloom.llm.pieces import encode
 from ledgerloom.llm.ppm import language_model_scores
+from ledgerloom.llm.prefix_trie import prefix_trie
 from ledgerloom.llm.shared import documents, prepared, text_crc32, text_or_empty
 from ledgerloom.llm.token_lengths import length_histogram, with_token_count
 from ledgerloom.llm.toxicity import toxicity
+from ledgerloom.llm.treap_search import lexical_topk
 from ledgerloom.llm.vector_search import exact_topk
 
 
@@ -86,6 +89,21 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared(spark)
+    return languages(spark, documents(spark, sf_dir))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared(spark)
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared(spark)
+    return lexical_topk(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
     "op1_toxicity": op1_toxicity,
@@ -98,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_search": op8_exact_search,
     "op9_quality": op9_quality,
     "op10_piece_encoding": op10_piece_encoding,
+    "op11_language_id": op11_language_id,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE: dict[str, str] = {
@@ -163,4 +184,89 @@ ORACLE: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    "op12_prefix_trie": """
+        WITH told AS (
+            SELECT conv_id, coalesce(role, '') AS role, md5(coalesce(text, '')) AS digest,
+                   length(coalesce(text, ''))::BIGINT AS size,
+                   row_number() OVER (PARTITION BY conv_id
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), crc_step AS (
+            SELECT i, list_reduce([i, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, x: CASE WHEN c % 2 = 1
+                   THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS v FROM range(256) t(i)
+        ), crc_table AS (
+            SELECT list(v ORDER BY i) AS t FROM crc_step
+        ), conv AS (
+            SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base,
+                   xor(list_reduce(list_prepend(4294967295::BIGINT,
+                       list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                       lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295::BIGINT) % 6 AS h
+            FROM told, crc_table
+        ), lent AS (
+            SELECT c.conv_id, t.pos AS d, role, digest, size FROM conv c JOIN told t ON t.conv_id = c.base AND t.pos <= c.h
+        ), n_lent AS (
+            SELECT conv_id, count(*) AS n FROM lent GROUP BY conv_id
+        ), made AS (
+            SELECT * FROM lent UNION ALL
+            SELECT c.conv_id, coalesce(n.n, 0) + t.pos - c.h AS d, role, digest, size
+            FROM conv c JOIN told t ON t.conv_id = c.conv_id AND t.pos > c.h LEFT JOIN n_lent n ON n.conv_id = c.conv_id
+        ), path AS (
+            SELECT conv_id, d, size, md5(string_agg(md5(md5(role) || digest), '') OVER (PARTITION BY conv_id ORDER BY d)) AS node
+            FROM made UNION ALL SELECT conv_id, 0, 0, '' FROM conv
+        ), step AS (
+            SELECT *, lag(node) OVER w AS parent, lead(d) OVER w IS NULL AS is_last,
+                   min(conv_id) OVER (PARTITION BY node) AS least, count(*) OVER (PARTITION BY node) AS n
+            FROM path WINDOW w AS (PARTITION BY conv_id ORDER BY d)
+        ), child AS (
+            SELECT parent AS node, count(DISTINCT node) AS n_children FROM step WHERE parent IS NOT NULL GROUP BY parent
+        ), final AS (
+            SELECT s.conv_id, s.node, c.node IS NULL AS childless FROM step s LEFT JOIN child c USING (node) WHERE is_last
+        ), ends AS (
+            SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM final GROUP BY node
+        ), whole AS (
+            SELECT s.*, sum(CASE WHEN s.conv_id = least THEN (n - 1) * size ELSE 0 END) OVER (PARTITION BY s.conv_id ORDER BY d DESC) AS saved,
+                   CASE WHEN f.childless THEN f.node END AS leaf
+            FROM step s JOIN final f USING (conv_id)
+        ), node AS (
+            SELECT node, min(conv_id) AS conv_id, min(d) AS depth, min(parent) AS parent, count(*) AS n_convs,
+                   count(DISTINCT leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+            FROM whole GROUP BY node
+        )
+        SELECT a.conv_id, a.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, a.n_convs,
+               coalesce(c.n_children, 0)::BIGINT AS n_children, a.n_leaves, a.saved_tokens,
+               coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+        FROM node a LEFT JOIN node p ON p.node = a.parent LEFT JOIN child c ON c.node = a.node LEFT JOIN ends e ON e.node = a.node
+    """,
+    "op13_lexical_search": r"""
+        WITH split AS (
+            SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+        ), item AS (
+            SELECT row_number() OVER () AS i, item_id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark
+        ), words AS (
+            SELECT d, doc_id, unnest(terms) AS term FROM split
+        ), posting AS (
+            SELECT d, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM words GROUP BY d, term
+        ), doc AS (
+            SELECT d, sum(tf)::BIGINT AS n FROM posting GROUP BY d
+        ), total AS (
+            SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM doc
+        ), weight AS (
+            SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM posting, total GROUP BY term
+        ), asked AS (
+            SELECT i, any_value(item_id) AS item_id, term, count(*) AS n FROM (SELECT i, item_id, unnest(terms) AS term FROM item)
+            GROUP BY i, term
+        ), scored AS (
+            SELECT a.i, any_value(a.item_id) AS item_id, p.d, any_value(p.doc_id) AS doc_id,
+                   sum(a.n * w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * doc.n * n_docs) // n_terms))))::BIGINT AS score
+            FROM asked a JOIN posting p USING (term) JOIN weight USING (term) JOIN doc ON doc.d = p.d, total GROUP BY a.i, p.d
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scored WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+    """,
 }
