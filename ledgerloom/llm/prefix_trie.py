@@ -107,7 +107,7 @@ class _Queue:
     """
 
     def __init__(self, most: int):
-        self.most, self.heap, self.runs = most, [], []
+        self.most, self.heap, self.runs, self.made = most, [], [], 0
 
     def push(self, depth: int, node: str, leaves: int, saved: int) -> None:
         heapq.heappush(self.heap, (-depth, node, leaves, saved))
@@ -118,7 +118,8 @@ class _Queue:
             file.seek(0)
             self.heap = []
             run = self._read(file)
-            heapq.heappush(self.runs, (next(run), len(self.runs), run))
+            self.made += 1
+            heapq.heappush(self.runs, (next(run), self.made, run))
 
     @staticmethod
     def _read(file) -> Iterator[tuple]:
