@@ -279,7 +279,7 @@ def group_split_with_gaps(spark, sf_dir):
 
 @query
 def cluster_holdout(spark, sf_dir):
-    made = split.semantic_holdout_split(vec_items(spark, sf_dir))
+    made = split.semantic_holdout_split(vec_items(spark, sf_dir), id_col="idx")
     return made.data.select("idx", "cluster", "split")
 
 
@@ -904,3 +904,6 @@ def random_search_small(spark, sf_dir):
         top = max(s for _, s in found.scores)
         rows += [(classifier, i, 0 <= s <= 1, p != found.best_params or s == top) for i, (p, s) in enumerate(found.scores)]
     return spark.createDataFrame(rows, "classifier string, draw int, scored boolean, best_is_top boolean")
+
+
+from checks import catalogue_more  # noqa: E402, F401  registers its queries here

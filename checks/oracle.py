@@ -487,17 +487,6 @@ ORACLE: dict[str, str] = {
       g AS (SELECT u, row_number() OVER (ORDER BY md5('42|' || u) || '|' || u) AS r FROM (SELECT DISTINCT coalesce(user_id, 'nan') AS u FROM ev)),
       c AS (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) AS t FROM g)
       SELECT event_id, user_id, CASE WHEN r <= t THEN 'train' ELSE 'test' END AS split FROM ev JOIN g ON u = coalesce(user_id, 'nan'), c""",
-    "cluster_holdout": f"""WITH {VECS}, size AS (
-        SELECT CAST(ceil(log2(greatest(5, floor(sqrt(count(*)))))) AS INT) AS bits, max(len(embedding)) AS dim FROM vecs),
-      planes AS (SELECT j, list(CASE WHEN md5('42|' || j || '|' || i) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY i) AS plane
-        FROM size, (SELECT unnest(range(0, bits)) AS j FROM size), (SELECT unnest(range(0, dim)) AS i FROM size) GROUP BY j),
-      mean AS (SELECT list(m ORDER BY i) AS centre FROM (
-        SELECT i, round(avg(embedding[i + 1]), 6) AS m FROM vecs, (SELECT unnest(range(0, dim)) AS i FROM size) GROUP BY i)),
-      cells AS (SELECT idx, CAST(sum(CASE WHEN list_inner_product(list_transform(list_zip(embedding, centre), lambda p: p[1] - p[2]), plane) >= 0 THEN (1::BIGINT << j::BIGINT) ELSE 0 END) AS BIGINT) AS cluster
-        FROM vecs, planes, mean GROUP BY idx),
-      g AS (SELECT cluster, row_number() OVER (ORDER BY md5('42|' || cluster) || '|' || cluster) AS r FROM (SELECT DISTINCT cluster FROM cells)),
-      c AS (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) AS t FROM g)
-      SELECT idx, cluster, CASE WHEN r <= t THEN 'train' ELSE 'test' END AS split FROM cells JOIN g USING (cluster), c""",
     "knn_empty_index": f"WITH {VEC_SPLIT} SELECT idx AS query_id, 0::BIGINT AS broadcast, 0::BIGINT AS blocks FROM {TEST}",
     "knn_empty_queries": f"WITH {VEC_SPLIT} SELECT idx, 0::BIGINT AS broadcast, 0::BIGINT AS blocks FROM {TRAIN}",
     "knn_tenant": f"""WITH {VEC_SPLIT}, q AS (SELECT *, sqrt(list_inner_product(embedding, embedding)) AS norm FROM {TEST}),
@@ -551,3 +540,7 @@ ORACLE: dict[str, str] = {
     "random_search_small": """SELECT c AS classifier, d::BIGINT AS draw, true AS scored, true AS best_is_top
       FROM (SELECT unnest(['logistic_regression', 'random_forest']) AS c), (SELECT unnest([0, 1]) AS d)""",
 }
+
+from checks.oracle_more import MORE  # noqa: E402  made of the fragments above
+
+ORACLE |= MORE

@@ -8,7 +8,12 @@ from ledgerloom.functions.text import (
     normalize_text,
     tokens,
 )
-from ledgerloom.functions.vectors import hashed_embedding
+from ledgerloom.functions.vectors import TrainedVectors, hashed_embedding
+from ledgerloom.operators.approximate import approximate_knn
+from ledgerloom.operators.asof import as_of_join
+from ledgerloom.operators.boilerplate import boilerplate_terms, strip_terms, term_label_entropy
+from ledgerloom.operators.clusters import kmeans_centres, nearest_centre
+from ledgerloom.operators.components import connected_components
 from ledgerloom.operators.errors import (
     confusion_topk,
     error_field_shares,
@@ -19,6 +24,7 @@ from ledgerloom.operators.errors import (
     wrong_field_histogram,
 )
 from ledgerloom.operators.inference import batch_embed, batch_infer, fallback_labels, with_truth
+from ledgerloom.operators.kept_index import SemanticIndex
 from ledgerloom.operators.labels import (
     balanced_weights,
     build_label_vocab,
@@ -33,8 +39,16 @@ from ledgerloom.operators.metrics import (
     error_rate,
     evaluate_predictions,
     field_metrics,
+    metric_cube,
     sample_wise_f1,
 )
+from ledgerloom.operators.monitoring import (
+    confidence_counts,
+    distribution_distance,
+    kept_counts,
+    late_rows,
+    stream_confidence_counts,
+)
 from ledgerloom.operators.prompts import build_few_shot_block, chat_prompt, plain_prompt
 from ledgerloom.operators.results import (
     best_method,
@@ -55,6 +69,7 @@ from ledgerloom.operators.split import (
     stratified_folds,
     stratified_random_split,
 )
+from ledgerloom.operators.suppliers import canonical_suppliers, name_links
 from ledgerloom.operators.tfidf import Tfidf, TfidfSettings, tfidf_vocabulary, tfidf_weights
 from ledgerloom.operators.vote import vote
 from ledgerloom.plans.experiments import (

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
+from dataclasses import dataclass
+
+from pyspark.ml.feature import CountVectorizerModel, Normalizer, Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import EMBEDDING_DIM
-from ledgerloom.functions.text import add_terms
+from ledgerloom.functions.text import add_terms, tokens
 
 
 def zero_vector(dim: int) -> Column:
@@ -38,6 +40,44 @@ def hashed_embedding(
     return counted.withColumn(out, vector_to_array("_unit")).drop("_buckets", "_counts", "_unit")
 
 
+@dataclass(frozen=True)
+class TrainedVectors:
+    """Word vectors learned from texts; a text's vector is the mean of its words', of unit length.
+
+    The contract is that of :func:`hashed_embedding`: fixed length, zero for a text without known words, and
+    the same text always gets the same vector.
+    """
+
+    model: Word2VecModel
+
+    @classmethod
+    def fit(
+        cls, texts: DataFrame, text: str, dim: int = EMBEDDING_DIM, min_count: int = 2, window: int = 5, rounds: int = 1,
+        partitions: int = 1, fit_rows: int = 200_000, seed: int = 42,
+    ) -> TrainedVectors:
+        """Learn from about ``fit_rows`` distinct texts at most, chosen by a hash.
+
+        MLlib keeps the vocabulary on the driver; the bound on texts and ``min_count`` keep it small.  More
+        ``partitions`` learn in parallel and are averaged in each of the ``rounds``; with one the fit is repeatable.
+        """
+        distinct = texts.select(F.col(text).alias("_text")).where(F.col(text).isNotNull()).distinct()
+        share = min(1.0, fit_rows / max(1, distinct.count()))
+        chosen = distinct.where(F.pmod(F.xxhash64(F.lit(seed), "_text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+        words = chosen.select(tokens("_text").alias("_words")).where(F.size("_words") > 0)
+        learner = Word2Vec(
+            vectorSize=dim, minCount=min_count, windowSize=window, maxIter=rounds, numPartitions=partitions, seed=seed,
+            inputCol="_words", outputCol="_mean",
+        )
+        # In a fixed order, so that the fit does not depend on how the table was partitioned.
+        return cls(learner.fit(words.orderBy("_words").coalesce(partitions)))
+
+    def transform(self, df: DataFrame, text: str, out: str = "embedding") -> DataFrame:
+        """``df`` with the vector of ``text`` in ``out``, as ``ARRAY<DOUBLE>``; row by row, without a shuffle."""
+        words = df.withColumn("_words", tokens(text))
+        unit = Normalizer(p=2.0, inputCol="_mean", outputCol="_unit")
+        return unit.transform(self.model.transform(words)).withColumn(out, vector_to_array("_unit")).drop("_words", "_mean", "_unit")
+
+
 def similarity_text(similarity: Column | str) -> Column:
     """Similarity with two decimals, as shown in prompts."""
     value = F.col(similarity) if isinstance(similarity, str) else similarity

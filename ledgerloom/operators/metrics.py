@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import REPORT_FIELDS
-from ledgerloom.functions.match import all_match, labels_match, wrong_fields
+from ledgerloom.functions.match import all_match, field_match, labels_match, wrong_fields
 
 
 def confusion_counts(predictions: DataFrame) -> DataFrame:
@@ -154,3 +154,21 @@ def evaluate_predictions(predictions: DataFrame) -> dict[str, float]:
     out["sample_wise_f1"] = total[1] / (len(REPORT_FIELDS) * total[0])
     out["error_rate"] = total[2] / total[0]
     return out
+
+
+def metric_cube(predictions: DataFrame, dimensions: list[str]) -> DataFrame:
+    """``(field, <dimensions>, level, n, n_correct, accuracy, error_rate)`` for all combinations of totals.
+
+    Null in a dimension means all of its values where its bit in ``level`` is set (the field's bit is the
+    highest, the last dimension's the lowest), and a missing value where it is not.  One pass: every row becomes
+    one per field and combination, counted before the shuffle.  ``error_rate`` is the share of wrong labels.
+    """
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(f).alias("field"), field_match(f).alias("right")) for f in REPORT_FIELDS
+    ]))
+    each = predictions.select(*dimensions, pairs.alias("_one")).select("_one.field", *dimensions, F.col("_one.right").cast("bigint").alias("_right"))
+    total = each.cube("field", *dimensions).agg(
+        F.grouping_id().cast("bigint").alias("level"), F.count(F.lit(1)).alias("n"), F.sum("_right").alias("n_correct")
+    )
+    accuracy = F.col("n_correct") / F.col("n")
+    return total.select("field", *dimensions, "level", "n", "n_correct", accuracy.alias("accuracy"), (1 - accuracy).alias("error_rate"))

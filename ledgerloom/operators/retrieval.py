@@ -163,14 +163,14 @@ def _angle(cosine: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosine, -1.0, 1.0))
 
 
-def _to_cells(index: DataFrame, pivots: np.ndarray) -> DataFrame:
+def _to_cells(index: DataFrame, pivots: np.ndarray, leaders: int | None = None) -> DataFrame:
     """Add a near pivot and the angle to it; zero vectors form cell -1.
 
     The first pivots lead groups of pivots; a row looks only into the group whose leader is nearest.
     Any cell would do, as only the range of angles in a cell is used; so the cost per row is about
-    twice the root of the number of pivots.
+    twice the root of the number of pivots.  With as many ``leaders`` as pivots the nearest one is found.
     """
-    leaders = max(1, isqrt(len(pivots)))
+    leaders = leaders or max(1, isqrt(len(pivots)))
     group = (pivots @ pivots[:leaders].T).argmax(axis=1)
     group[:leaders] = np.arange(leaders)
     shared = index.sparkSession.sparkContext.broadcast((pivots, leaders, group))
@@ -243,7 +243,8 @@ def _visits(
             toward = np.where(names >= 0, angles[:, np.maximum(names, 0)], 0.0)
             nearest = np.maximum(np.maximum(toward - high, low - toward), 0.0)
             if pilot:
-                at, which = np.arange(len(rows)), nearest.argmin(axis=1)
+                # Of cells that may hold the query, the one with the nearest pivot.
+                at, which = np.arange(len(rows)), (nearest + 1e-6 * toward).argmin(axis=1)
             else:
                 bound = batch.column("bound").to_numpy(zero_copy_only=False)
                 # One unit in the last rounded place, and the error of arccos.

@@ -7,18 +7,16 @@ own hash with that threshold: the wide table is never shuffled.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import warnings
 from typing import NamedTuple
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.config import LABEL_COLUMNS, SEED, TEST_SIZE
+from ledgerloom.operators.clusters import ROUNDS, kmeans_centres, nearest_centre
 from ledgerloom.scale import RANK_ROWS, hash_key, quota_thresholds, small_side
 
 
@@ -164,49 +162,21 @@ def group_split(
     return Split(df.withColumn("split", side), "group")
 
 
-def similarity_cells(vector: str, centre: list[float], bits: int, seed: int = SEED) -> Column:
-    """Number of the cell that ``bits`` seeded planes through ``centre`` cut out for a vector.
-
-    Plane ``j`` has members 1 and -1, by a digest of seed, plane and place.  Vectors that
-    differ little share most sides.
-    """
-    dim = len(centre)
-    middle = F.array(*[F.lit(float(x)) for x in centre])
-    value = F.zip_with(F.col(vector).cast("array<double>"), middle, lambda x, c: x - c)
-
-    def side(j: int) -> Column:
-        digests = [hashlib.md5(f"{seed}|{j}|{i}".encode()).hexdigest() for i in range(dim)]
-        plane = F.array(*[F.lit(1.0 if d < "8" else -1.0) for d in digests])
-        product = F.aggregate(F.zip_with(value, plane, lambda x, p: x * p), F.lit(0.0), lambda a, x: a + x)
-        return F.when(product >= 0, 1 << j).otherwise(0)
-
-    cell = F.lit(0)
-    for j in range(bits):
-        cell = cell + side(j)
-    return F.when(F.col(vector).isNotNull(), cell)
-
-
 def semantic_holdout_split(
     df: DataFrame,
     vector: str = "embedding",
     test_size: float = TEST_SIZE,
     seed: int = SEED,
+    id_col: str = "line_id",
+    rounds: int = ROUNDS,
 ) -> Split:
-    """Hold out whole cells of similar rows, so that the test side looks new.
+    """Hold out whole clusters of similar rows, so that the test side looks new.
 
-    There are about ``max(5, sqrt(n))`` cells (the next power of two), cut by
-    seeded planes through the mean, which is rounded so that the order of adding
-    does not matter.  A row's cell depends on its vector only: no iteration, no
-    shuffle, and the same split under any partitioning.  Rows without a vector
-    form a cell of their own.
+    About ``max(5, sqrt(n))`` clusters by :func:`clusters.kmeans_centres`, whose sums are exact: the same split
+    under any partitioning.  ``id_col`` is unique.  Rows without a vector form a cluster of their own.
     """
-    n = df.count()
-    known = df.where(F.col(vector).isNotNull())
-    mean = known.agg(Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))).first()[0]
-    centre = [] if mean is None else [round(float(x), 6) for x in mean]
-    bits = (max(5, math.isqrt(n)) - 1).bit_length()
-    cells = df.withColumn("cluster", similarity_cells(vector, centre, bits, seed))
-    return group_split(cells, "cluster", test_size, seed)
+    centres = kmeans_centres(df, id_col, vector, rounds=rounds, seed=seed)
+    return group_split(df.withColumn("cluster", nearest_centre(df.sparkSession, centres, vector)), "cluster", test_size, seed)
 
 
 def stratified_folds(

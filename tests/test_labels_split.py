@@ -123,7 +123,7 @@ def test_groups_stay_together(spark):
 
 def test_clusters_stay_together(spark):
     df = spark.range(60).select("id", F.array((F.col("id") % 6).cast("double"), F.lit(1.0)).alias("embedding"))
-    made = split.semantic_holdout_split(df)
+    made = split.semantic_holdout_split(df, id_col="id")
     assert made.data.groupBy("cluster").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
     assert {r.split for r in made.data.select("split").distinct().collect()} == {"train", "test"}
 

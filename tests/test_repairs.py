@@ -91,7 +91,7 @@ def test_rows_without_a_group_are_a_group(spark):
 
 def test_cell_split_does_not_depend_on_partitions(spark):
     df = spark.range(300).select("id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.sin((F.col("id") + 1) * (i + 1.5))).alias("embedding"))
-    one, two = (sorted(split.semantic_holdout_split(df.repartition(n)).data.select("id", "cluster", "split").collect()) for n in (1, 7))
+    one, two = (sorted(split.semantic_holdout_split(df.repartition(n), id_col="id").data.select("id", "cluster", "split").collect()) for n in (1, 7))
     assert one == two and {r.split for r in one} == {"train", "test"}
 
 
