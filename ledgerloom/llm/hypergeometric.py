@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 ROW_BITS = 33
 #: Rows that one task permutes after the exchange.
 BUCKET_ROWS = 1024
+#: Numbers (partitions times shards) up to which the cuts are broadcast; more are joined by shuffle.
+BROADCAST_NUMBERS = 2_000_000
 #: Rows of one partition of the exchange, where the session does not ask for more partitions.
 PARTITION_ROWS = 65536
 
@@ -61,22 +63,22 @@ def shuffle_into_shards(
     df: DataFrame,
     shards: int = 8,
     seed: int = 7,
-    id_column: str = "doc_id",
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """``df`` in random order with ``shard`` (0 to ``shards - 1``) and ``slot`` (gapless from 0 in a shard).
 
     Shard sizes differ by one row at most.  Every row is placed, whatever it holds: null ids, null
-    texts and repeated rows count as rows.  Columns named ``shard`` or ``slot`` are replaced.  An
-    empty table gives an empty result.
+    texts and repeated rows count as rows, and rows that are alike go their own ways.  Columns named
+    ``shard`` or ``slot`` are replaced; all others are kept, whatever their names.  An empty table gives an
+    empty result.
 
     Step 1 counts the rows of each partition; step 2 draws on the driver how many of them go to each
     shard (partitions x shards numbers, no rows); step 3 permutes each partition by sorting it on a
-    keyed hash of the id and cuts it into runs for the shards; step 4 exchanges whole rows once, by
-    shard and hash bucket, and permutes again by sorting on a second hash within each bucket.
-    ``df`` must be the same, partition by partition, when it is read again: a table scan is, and so
-    is anything derived from one without a shuffle.  Rows that tie in the hash of the id tie in both
-    hashes, so counts by bucket do not depend on their order.
+    keyed hash of the row's place in the table and cuts it into runs for the shards; step 4 exchanges whole
+    rows once, by shard and hash bucket, and permutes again by sorting on a second hash within each bucket.
+    ``df`` must be the same, partition by partition and row by row, when it is read again: a table scan is,
+    and so is anything derived from one without a shuffle.  A table that lost or gained rows in
+    between raises an error.
     """
     spark = df.sparkSession
     kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
@@ -90,36 +92,38 @@ def shuffle_into_shards(
         T.StructField("_ends", T.ArrayType(T.LongType())),
     ])
     # One short row per input partition, which the driver holds for the scan anyway.
-    cuts = F.broadcast(spark.createDataFrame(ends, schema))
+    cuts = spark.createDataFrame(ends, schema)
+    cuts = F.broadcast(cuts) if len(ends) * shards <= BROADCAST_NUMBERS else cuts
     total = sum(counted.values())
     buckets = max(1, -(-total // (shards * bucket_rows)))
 
     def placed(rows: DataFrame) -> DataFrame:
         """Rows with shard, bucket and second hash; nothing has moved yet."""
-        key = F.col(f"`{id_column}`")
-        first = F.xxhash64(F.lit(seed), key)
-        second = F.xxhash64(F.lit(seed + 1), key)
-        number = F.col("_number")
+        number, row = F.col("_number"), F.col("_row")
+        last = F.element_at("_ends", -1)
+        changed = F.raise_error(F.lit("the table is not the same on its second reading"))
+        shard = F.size(F.filter("_ends", lambda end: end <= row))
         return (
-            rows.withColumn("_first", first)
-            .withColumn("_second", second)
+            rows.withColumn("_first", F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
+            .withColumn("_second", F.xxhash64(F.lit(seed + 1), F.col("_first")))
             .sortWithinPartitions("_first")
             .withColumn("_number", F.monotonically_increasing_id())
             .withColumn("_p", F.shiftright(number, ROW_BITS).cast("int"))
             .withColumn("_row", number.bitwiseAND(F.lit((1 << ROW_BITS) - 1)))
-            .join(cuts, "_p")
-            .withColumn("shard", F.size(F.filter("_ends", lambda end: end <= F.col("_row"))))
+            .join(cuts, "_p", "left")
+            .withColumn("shard", F.when(F.coalesce(row < last, F.lit(False)), shard).otherwise(changed.cast("int")))
             .withColumn("_bucket", F.pmod(F.shiftrightunsigned("_second", 16), F.lit(buckets)))
         )
 
-    sizes = placed(df.select(F.col(f"`{id_column}`"))).groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = placed(df.select(F.lit(0).alias("_packed"))).groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = W.partitionBy("shard", "_bucket").orderBy("_second", "_first")
     parts_out = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PARTITION_ROWS)
-    moved = placed(df.select(*[F.col(f"`{c}`") for c in kept])).repartition(parts_out, "shard", "_bucket")
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_packed"))
+    moved = placed(packed).repartition(parts_out, "shard", "_bucket")
     return (
         moved.withColumn("_place", F.row_number().over(inside))
         .join(starts, ["shard", "_bucket"])
-        .select(*[F.col(f"`{c}`") for c in kept], "shard", (F.col("_start") + F.col("_place") - 1).alias("slot"))
+        .select("_packed.*", "shard", (F.col("_start") + F.col("_place") - 1).alias("slot"))
     )

@@ -55,3 +55,60 @@ def test_order_is_random(spark):
 def test_few_rows_and_none(spark):
     assert sorted(r.slot for r in shuffle_into_shards(table(spark, 0), 8).collect()) == [0] * 4
     assert shuffle_into_shards(table(spark, 5).limit(0), 8).count() == 0
+
+
+def test_rows_without_an_id_are_spread_evenly(spark):
+    df = spark.range(8000).select(F.when(F.col("id") % 4 > 0, F.col("id")).alias("doc_id"), F.lit("the same").alias("text"))
+    rows = shuffle_into_shards(df.repartition(4, "doc_id"), 8, bucket_rows=64).toPandas()
+    null = rows[rows["doc_id"].isna()]
+    counts = null.groupby("shard").size().reindex(range(8), fill_value=0)
+    assert ((counts - 250) ** 2 / 250).sum() < 30  # chi-square, 7 degrees of freedom
+    for _, part in rows.groupby("shard"):
+        place = part[part["doc_id"].isna()]["slot"] // 125
+        assert place.value_counts().reindex(range(8), fill_value=0).max() < 70
+
+
+def test_every_placement_is_equally_likely(spark):
+    """Against the plain definition: over many seeds, each of a few rows falls into each shard and slot alike."""
+    import collections
+
+    df = spark.createDataFrame([(i,) for i in range(6)], "doc_id long").coalesce(2)
+    seen = collections.Counter()
+    for seed in range(40):
+        seen.update((r["doc_id"], r["shard"], r["slot"]) for r in shuffle_into_shards(df, 3, seed).collect())
+    counts = np.array([seen[(i, s, t)] for i in range(6) for s in range(3) for t in range(2)])
+    assert counts.sum() == 240 and ((counts - 240 / 36) ** 2 / (240 / 36)).sum() < 75
+
+
+def test_columns_may_have_any_name(spark):
+    df = table(spark, 300).drop("shard")
+    for name in ("_p", "_row", "_first", "_second", "_number", "_ends", "_start", "_bucket", "_place", "_packed", "SHARD", "slot"):
+        df = df.withColumn(name, F.concat(F.lit(name), "text"))
+    got = shuffle_into_shards(df, 8)
+    assert got.columns == [c for c in df.columns if c not in ("SHARD", "slot")] + ["shard", "slot"]
+    wanted = df.select("doc_id", "_p", "_row", "_ends", "_packed").collect()
+    assert sorted(map(str, got.select("doc_id", "_p", "_row", "_ends", "_packed").collect())) == sorted(map(str, wanted))
+
+
+def test_a_very_long_text(spark):
+    df = spark.createDataFrame([(i, "x" * (3_000_000 if i == 5 else i)) for i in range(64)], "doc_id long, text string")
+    rows = shuffle_into_shards(df, 8).select("doc_id", F.length("text").alias("n"), "shard", "slot").toPandas()
+    assert rows.set_index("doc_id")["n"][5] == 3_000_000 and rows.groupby("shard").size().tolist() == [8] * 8
+
+
+def test_a_table_that_changes_between_reads_is_an_error(spark, tmp_path):
+    import pytest
+
+    path = str(tmp_path / "t")
+    spark.range(100).withColumnRenamed("id", "doc_id").coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    shuffled = shuffle_into_shards(df, 4)
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (file,) = (tmp_path / "t").glob("part-*")
+    (tmp_path / "t" / f".{file.name}.crc").unlink(missing_ok=True)
+    pq.write_table(pa.table({"doc_id": list(range(150))}), file)
+    with pytest.raises(Exception, match="second reading|FILE_NOT_EXIST|read"):
+        spark.catalog.refreshByPath(path)
+        shuffled.collect()
