@@ -97,8 +97,8 @@ def _searcher(k: int) -> Callable[..., Iterator[pd.DataFrame]]:
         width = max(max(map(len, queries["_asked"])), max(map(len, block["_codes"])))
         left, right = _stacked(list(queries["_asked"]), width), _stacked(list(block["_codes"]), width)
         largest = np.abs(left).max(initial=0) * np.abs(right).max(initial=0) * max(width, 1)
-        if largest >= 2**53:
-            raise ValueError("inner products beyond 2**53 are not exact in double precision")
+        if largest >= 2**53:  # not exact in double precision
+            return _whole_number_search(queries, block, width, k)
         order = np.argsort(-(right**2).sum(axis=0), kind="stable")
         ids, names = block["_id"].to_numpy(), queries["_name"].to_numpy()
         q, c, score = best_of_block(
@@ -110,13 +110,37 @@ def _searcher(k: int) -> Callable[..., Iterator[pd.DataFrame]]:
     return search
 
 
+def _whole_number_search(queries: pd.DataFrame, block: pd.DataFrame, width: int, k: int) -> pd.DataFrame:
+    """The same for products that doubles cannot hold: 64-bit integers, every pair in full, no floors.
+
+    Beyond 63 bits a score cannot be told; that is an error.
+    """
+    most = [max((abs(int(x)) for v in side for x in v), default=0) for side in (queries["_asked"], block["_codes"])]
+    if most[0] * most[1] * width >= 2**63:
+        raise ValueError("inner products beyond 63 bits")
+    stacked = [np.zeros((len(side), width), dtype=np.int64) for side in (queries, block)]
+    for out, side in zip(stacked, (queries["_asked"], block["_codes"]), strict=True):
+        for row, vector in zip(out, side, strict=True):
+            row[: len(vector)] = vector
+    ids, found = block["_id"].to_numpy(), []
+    for name, row in zip(queries["_name"], stacked[0], strict=True):
+        there = np.flatnonzero(ids != name)
+        score = stacked[1][there] @ row
+        best = np.lexsort((ids[there], -score))[:k]
+        found.append(pd.DataFrame({"query_id": name, "vec_id": ids[there][best], "score": score[best]}))
+    return pd.concat(found).astype("int64")
+
+
 def _best(queries: DataFrame, candidates: DataFrame, rows: int, asked: int, k: int) -> DataFrame:
-    """Top k of ``candidates (_id, _codes)`` for ``queries (_name, _asked, _floor)``, block by block."""
+    """Top k of ``candidates (_id, _codes, _place)`` for ``queries (_name, _asked, _place, _floor)``, block by block.
+
+    Rows are dealt to blocks by their place in the table, as many rows may have one id.
+    """
     blocks, sheets = max(1, -(-rows // BLOCK_ROWS)), max(1, -(-asked // SHEET_ROWS))
     own = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("_at_sheet", own("_name", sheets)).withColumn("_at_block", every(blocks))
-    right = candidates.withColumn("_block", own("_id", blocks)).withColumn("_sheet", every(sheets))
+    left = queries.withColumn("_at_sheet", own("_place", sheets)).drop("_place").withColumn("_at_block", every(blocks))
+    right = candidates.withColumn("_block", own("_place", blocks)).drop("_place").withColumn("_sheet", every(sheets))
     found = (
         left.groupBy("_at_block", "_at_sheet")
         .cogroup(right.groupBy("_block", "_sheet"))
@@ -138,24 +162,25 @@ def exact_topk(
 
     Vectors become integers, ``floor(scale * x)``.  Rows with a null id, a null vector or a null or
     non-finite component take no part; vectors of unequal length count as if filled up with zeros.
-    Of rows that repeat an id the one with the smallest vector counts.  Ties go to the smaller id;
-    a query is never its own neighbour; fewer candidates than ``k`` give fewer rows, an empty table
-    none.  Other columns are ignored.  Queries are the rows whose id is divisible by ``every``.
-    Products beyond 2**53 raise an error, as they would not be exact.
+    Rows that repeat an id all count: as candidates each for itself, as queries together (the best of any of
+    them), and none is a neighbour of its own id.  Ties go to the smaller id; fewer candidates than ``k``
+    give fewer rows, an empty table none.  Other columns are ignored.  Queries are the rows whose id
+    is divisible by ``every``.  Products beyond 2**53 are added up as integers; those beyond 2**63 raise an error.
 
     A sixteenth of the candidates is searched first: a query's k-th score there is a floor that prunes
     the whole search, and only what reaches it leaves a task.  Every query still meets every row.
     """
     vectors = (
-        df.select(F.col(f"`{id_column}`").cast("bigint").alias("_id"), integer_codes(vector_column, scale).alias("_codes"))
+        df.select(
+            F.col(f"`{id_column}`").cast("bigint").alias("_id"), integer_codes(vector_column, scale).alias("_codes"),
+            F.monotonically_increasing_id().alias("_place"),
+        )
         .where(F.col("_id").isNotNull() & F.col("_codes").isNotNull())
-        .groupBy("_id")
-        .agg(F.min("_codes").alias("_codes"))
     )
     is_query = F.col("_id") % every == 0
-    asked = vectors.where(is_query).select(F.col("_id").alias("_name"), F.col("_codes").alias("_asked"))
+    asked = vectors.where(is_query).select(F.col("_id").alias("_name"), F.col("_codes").alias("_asked"), "_place")
     rows, n_asked = vectors.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
-    pilot = vectors.where(F.pmod(F.xxhash64(F.lit(3), F.col("_id")), F.lit(PILOT)) == 0)
+    pilot = vectors.where(F.pmod(F.xxhash64(F.lit(3), F.col("_place")), F.lit(PILOT)) == 0)
     start = asked.withColumn("_floor", F.lit(None).cast("double"))
     floors = (
         _best(start, pilot, -(-rows // PILOT), n_asked, k)
