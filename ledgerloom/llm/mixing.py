@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,18 +29,23 @@ def quality_weight(text_column: str = "text") -> Column:
     return F.when((mean >= 4) & (mean <= 11), 1.0).otherwise(0.25)
 
 
-def sampling_key(id_column: str, weight: Column, seed: int) -> Column:
+def sampling_key(id_column: str, text_column: str, weight: Column, seed: int) -> Column:
     """Place in the sampling order, smallest first: ``1 - u ** (1 / weight)`` in 52 bits.
 
     It orders rows as exponential variables with the weight as rate do; ``u`` comes from a digest of
-    seed and id, so that every run and every retry draws the same.
+    seed, id and text, so that every run and every retry draws the same, and rows without an id differ.
     """
-    name = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("")))
+    name = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("")), F.lit("|"), text_or_empty(text_column))
     digits = F.substring(F.md5(F.encode(name, "utf-8")), 1, 13)
     u = (F.conv(digits, 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(2.0**KEY_BITS)
     return F.floor((1 - F.pow(u, 1 / weight)) * F.lit(2.0**KEY_BITS)).cast("bigint")
 
 
+def _tie_key(seed: int) -> Column:
+    """Order among rows with one key, which are alike: by a hash of their place in the table."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), 64 - KEY_BITS)
+
+
 def source_targets(
     sizes: DataFrame, weights: tuple[float, ...], share: float, most: float
 ) -> DataFrame:
@@ -86,29 +93,51 @@ def _crossing(rows: DataFrame, digit: Column, limits: DataFrame) -> DataFrame:
     )
 
 
+def _ends(rows: DataFrame, limits: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(_s, _end, _rest)``: the first key that does not fit whole into a source's ``_rest``, and what is left for it.
+
+    ``rows`` holds ``(_s, _size, _k)``.  The key is found digit by digit: sizes are summed by the keys' leading
+    digits, and only rows of the one digit pair in which the budget ends are ordered.
+    """
+    low = KEY_BITS - DIGIT_BITS
+    first = cut(_crossing(rows, F.shiftright("_k", low), near(limits)))
+    rows = rows.join(near(first.select("_s", F.col("_digit").alias("_d1"))), "_s").where(F.shiftright("_k", low) == F.col("_d1"))
+    lower = low - DIGIT_BITS
+    second = cut(_crossing(rows, F.shiftright("_k", lower), near(first.select("_s", "_rest"))))
+    rows = rows.join(near(second.select("_s", F.col("_digit").alias("_d2"), "_rest")), "_s").where(F.shiftright("_k", lower) == F.col("_d2"))
+    running = W.partitionBy("_s").orderBy("_k")
+    return (
+        rows.groupBy("_s", "_k", "_rest").agg(F.sum("_size").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+        .withColumn("_upto", F.sum("_sum").over(running))
+        .where((F.col("_upto") > F.col("_rest")) & (F.col("_upto") - F.col("_sum") <= F.col("_rest")))
+        .select("_s", F.col("_k").alias("_end"), (F.col("_rest") - F.col("_upto") + F.col("_sum")).alias("_rest"), "_sum", "_n")
+    )
+
+
 def mixing_plan(
     df: DataFrame,
     size: Column,
     weight: Column,
     id_column: str = "doc_id",
+    text_column: str = "text",
     source_column: str = "source",
     weights: tuple[float, ...] = (3, 1, 2),
     share: float = 1.5,
     most: float = 2.0,
     seed: int = 11,
 ) -> DataFrame:
-    """One row per source: ``(_s, source_size, target, epochs, last_key)``.
+    """One row per source: ``(_s, source_size, target, epochs, last_key, last_tie)``.
 
-    ``epochs`` complete passes precede a fraction: of the last pass, rows with a key up to
-    ``last_key`` are taken (null: none).  The key that fills the budget is found digit by digit:
-    sizes are summed by the keys' leading digits, and only the rows of the one digit pair in which a
-    source's budget ends are sorted.  Rows with equal keys (repeated rows) are taken together.
+    ``epochs`` complete passes precede a fraction: of the last pass, rows with a key below ``last_key`` are
+    taken, and of those with that key the ones up to ``last_tie`` (null: none).  A row that passes the budget
+    still goes in if that brings the sum nearer to it.  Rows with one key are copies of each other; as many
+    of them are taken as fit best, found by a second key in the same way.
     """
     marker = _marker(source_column)
     narrow = cut(
         df.select(
             marker.alias("_s"), F.col(f"`{source_column}`").alias("_source"), size.alias("_size"),
-            sampling_key(id_column, weight, seed).alias("_k"),
+            sampling_key(id_column, text_column, weight, seed).alias("_k"), _tie_key(seed).alias("_t"),
         )
     )
     sizes = narrow.groupBy("_s").agg(F.first("_source").alias("_source"), F.sum("_size").alias("source_size"))
@@ -118,26 +147,19 @@ def mixing_plan(
     limits = targets.select("_s", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("_rest"))
     small = targets.count() <= BROADCAST_SOURCES
     near = F.broadcast if small else (lambda t: t)
-    low = KEY_BITS - DIGIT_BITS
-    rows = narrow.select("_s", "_size", "_k")
-    first = cut(_crossing(rows, F.shiftright("_k", low), near(limits)))
-    rows = rows.join(near(first.select("_s", F.col("_digit").alias("_d1"))), "_s").where(F.shiftright("_k", low) == F.col("_d1"))
-    lower = low - DIGIT_BITS
-    second = cut(_crossing(rows, F.shiftright("_k", lower), near(first.select("_s", "_rest"))))
-    rows = rows.join(near(second.select("_s", F.col("_digit").alias("_d2"), "_rest")), "_s").where(F.shiftright("_k", lower) == F.col("_d2"))
-    running = W.partitionBy("_s").orderBy("_k")
-    # The key that passes the budget still goes in if that brings the sum nearer to it.
-    ends = (
-        rows.groupBy("_s", "_k", "_rest").agg(F.sum("_size").alias("_sum"))
-        .withColumn("_upto", F.sum("_sum").over(running))
-        .where(F.col("_upto") - F.col("_sum") <= F.col("_rest"))
-        .where((F.col("_upto") <= F.col("_rest")) | (F.col("_upto") - F.col("_rest") < F.col("_rest") - F.col("_upto") + F.col("_sum")))
-        .groupBy("_s").agg(F.max("_k").alias("_end"))
-    )
-    # No key of the pair fits: what comes before the pair is taken.
-    lasts = second.select("_s", F.shiftleft("_digit", lower).alias("_floor")).join(ends, "_s", "left")
-    last = F.coalesce("_end", F.col("_floor") - 1)
-    return targets.join(lasts.select("_s", last.alias("last_key")), "_s", "left")
+    ends = cut(_ends(narrow.select("_s", "_size", "_k"), limits, near))
+    # Of the rows with the last key, so many that the sum is nearest to the budget (the fewer of equal ones).
+    wanted = F.greatest(F.lit(0), F.ceil(F.col("_rest") * F.col("_n") / F.col("_sum") - 0.5)).cast("bigint")
+    ends = ends.select("_s", F.col("_end").alias("last_key"), "_n", wanted.alias("_wanted"))
+    whole = F.when(F.col("_wanted") >= F.col("_n"), F.lit((1 << KEY_BITS) - 1)).when(F.col("_wanted") == 0, F.lit(-1))
+    ends = cut(ends.withColumn("last_tie", whole.cast("bigint")))
+    parted = ends.where("last_tie IS NULL").select("_s", "last_key", (F.col("_wanted") + F.lit(0.0)).alias("_rest"))
+    if not parted.isEmpty():
+        copies = narrow.join(near(parted.select("_s", "last_key")), "_s").where(F.col("_k") == F.col("last_key"))
+        copies = copies.select("_s", F.lit(1).cast("bigint").alias("_size"), F.col("_t").alias("_k"))
+        ties = _ends(copies, parted.select("_s", "_rest"), near).select("_s", (F.col("_end") - 1).alias("_tie"))
+        ends = ends.join(ties, "_s", "left").withColumn("last_tie", F.coalesce("last_tie", "_tie"))
+    return targets.join(ends.select("_s", "last_key", "last_tie"), "_s", "left")
 
 
 def _marker(source_column: str) -> Column:
@@ -146,6 +168,25 @@ def _marker(source_column: str) -> Column:
     return F.when(name.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), name))
 
 
+def _drawn(
+    df: DataFrame, size: Column | None, weight: Column | None, id_column: str, text_column: str, source_column: str,
+    weights: tuple[float, ...], share: float, most: float, seed: int,
+) -> DataFrame:
+    """``(_row, size, source_size, target, repeats)``; the row of ``df`` is packed, whatever its columns are called."""
+    size = word_count(text_or_empty(text_column)) if size is None else size
+    weight = quality_weight(text_column) if weight is None else weight
+    plan = cut(mixing_plan(df, size, weight, id_column, text_column, source_column, weights, share, most, seed))
+    near = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+    keyed = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), _marker(source_column).alias("_s"), size.alias("size"),
+        sampling_key(id_column, text_column, weight, seed).alias("_k"), _tie_key(seed).alias("_t"),
+    )
+    taken = (F.col("_k") < F.col("last_key")) | ((F.col("_k") == F.col("last_key")) & (F.col("_t") <= F.col("last_tie")))
+    # Without a last key the epochs fill the budget.
+    drawn = F.coalesce(taken, F.lit(False)).cast("int")
+    return keyed.join(near, "_s").select("_row", "size", "source_size", "target", (F.col("epochs") + drawn).alias("repeats"))
+
+
 def mixed(
     df: DataFrame,
     size: Column | None = None,
@@ -162,28 +203,30 @@ def mixed(
 
     ``size`` defaults to the words of the text, ``weight`` (above 0) to :func:`quality_weight`: of two
     documents, the one with twice the weight is twice as likely to be drawn first.  A null text has
-    size 0; a null source is a source of its own and the last one; rows with a null id share one key.
-    Texts without words have size 0 and are taken once per epoch.  Columns of ``df`` with the names
-    of result columns are replaced.  An empty table gives an empty result.  Reruns agree.
+    size 0; a null source is a source of its own and the last one; a null id counts as an empty one, and rows
+    that agree in id and text are drawn one by one.  Texts without words have size 0 and are taken once per
+    epoch or once more.  Columns of ``df`` with the names of result columns are replaced, all others are kept.  An
+    empty table gives an empty result.  Reruns agree (among rows that agree in id and text, in how many are taken).
     """
     results = ("size", "source_size", "target", "repeats")
-    size = word_count(text_or_empty(text_column)) if size is None else size
-    weight = quality_weight(text_column) if weight is None else weight
-    plan = cut(mixing_plan(df, size, weight, id_column, source_column, weights, share, most, seed))
-    near = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
-    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in results]
-    keyed = df.select(
-        *kept, _marker(source_column).alias("_s"), size.alias("size"),
-        sampling_key(id_column, weight, seed).alias("_k"),
-    )
-    drawn = F.coalesce(F.col("_k") <= F.col("last_key"), F.lit(False)).cast("int")
-    return keyed.join(near, "_s").select(
-        *kept, "size", "source_size", "target", (F.col("epochs") + drawn).alias("repeats")
-    )
+    rows = _drawn(df, size, weight, id_column, text_column, source_column, weights, share, most, seed)
+    kept = [F.col("_row").getField(c).alias(c) for c in df.columns if c.lower() not in results]
+    return rows.select(*kept, *results)
 
 
-def mix(df: DataFrame, **options: object) -> DataFrame:
+def mix(
+    df: DataFrame,
+    size: Column | None = None,
+    weight: Column | None = None,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+    weights: tuple[float, ...] = (3, 1, 2),
+    share: float = 1.5,
+    most: float = 2.0,
+    seed: int = 11,
+) -> DataFrame:
     """The mixed corpus itself: rows of ``df`` as often as the mix takes them, with the columns of ``df``."""
-    rows = mixed(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[F.col(f"`{c}`") for c in df.columns]), **options)
+    rows = _drawn(df, size, weight, id_column, text_column, source_column, weights, share, most, seed)
     copies = rows.where(F.col("repeats") > 0).select("_row", F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("_copy"))
     return copies.select([F.col("_row").getField(c).alias(c) for c in df.columns])

@@ -134,7 +134,7 @@ ORACLE: dict[str, str] = {
             FROM documents
         ), keyed AS (
             SELECT doc_id, source, size,
-                   floor((1 - pow((('0x' || substr(md5('11|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5)
+                   floor((1 - pow((('0x' || substr(md5('11|' || coalesce(doc_id::VARCHAR, '') || '|' || text), 1, 13))::BIGINT + 0.5)
                                   / 4503599627370496.0::DOUBLE,
                                   1 / CASE WHEN length(text) / greatest(len(string_split(text, ' ')), 1) BETWEEN 4 AND 11
                                            THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END))
@@ -158,18 +158,20 @@ ORACLE: dict[str, str] = {
         ), limits AS (
             SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM targets
         ), sums AS (
-            SELECT d.source, k, sum(size) AS s FROM keyed d GROUP BY d.source, k
+            SELECT d.source, k, sum(size) AS s, count(*) AS n FROM keyed d GROUP BY d.source, k
         ), running AS (
-            SELECT l.source, k, s, target - epochs * source_size AS rest,
+            SELECT l.source, k, s, n, target - epochs * source_size AS rest,
                    sum(s) OVER (PARTITION BY l.source ORDER BY k) AS upto
             FROM sums JOIN limits l ON sums.source IS NOT DISTINCT FROM l.source
         ), ends AS (
-            SELECT source, max(k) AS last_key FROM running
-            WHERE upto - s <= rest AND (upto <= rest OR upto - rest < rest - upto + s) GROUP BY source
+            SELECT source, k AS last_key, greatest(0, ceil((rest - upto + s) * n / s - 0.5)) AS wanted FROM running
+            WHERE upto > rest AND upto - s <= rest
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY source, k) AS copy FROM keyed
         )
         SELECT d.doc_id, d.size, l.source_size, l.target,
-               (d.size * (l.epochs + CASE WHEN d.k <= e.last_key THEN 1 ELSE 0 END))::BIGINT AS taken
-        FROM keyed d JOIN limits l ON d.source IS NOT DISTINCT FROM l.source
+               (d.size * (l.epochs + CASE WHEN d.k < e.last_key OR d.k = e.last_key AND d.copy <= e.wanted THEN 1 ELSE 0 END))::BIGINT AS taken
+        FROM ranked d JOIN limits l ON d.source IS NOT DISTINCT FROM l.source
         LEFT JOIN ends e ON d.source IS NOT DISTINCT FROM e.source
     """,
     "op8_exact_search": """

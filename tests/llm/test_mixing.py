@@ -75,3 +75,65 @@ def test_targets_of_many_shapes(spark):
         got = {r["_s"][1:]: r["target"] for r in source_targets(rows, (3, 1, 2), 1.5, 2.0).collect()}
         expected = plain_targets(sizes)
         assert all(abs(got[s] - expected[s]) < 1e-6 for s in sizes), (got, expected)
+
+
+def _near_targets(rows):
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r["source"]].append(r)
+    for own in by_source.values():
+        taken, longest = sum(r["size"] * r["repeats"] for r in own), max(r["size"] for r in own)
+        assert abs(taken - own[0]["target"]) <= longest / 2 + 1e-6, (taken, own[0])
+        assert max(r["repeats"] for r in own) <= 2
+
+
+def test_null_and_repeated_ids_meet_the_targets(spark):
+    for ids in ([None], [7], [None, 1, 2]):
+        rows = [(ids[i % len(ids)], "word " * (i % 5 + 1) if i % 3 else "the same text", "abc"[i % 3]) for i in range(1200)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+        _near_targets(mixed(df).collect())
+
+
+def test_one_row_many_times(spark):
+    df = spark.createDataFrame([(None, "three words here", s) for s in "aaab" * 200], "doc_id long, text string, source string").repartition(3)
+    got = mixed(df)
+    _near_targets(got.collect())
+    assert mix(df).count() == got.agg(F.sum("repeats")).first()[0]
+
+
+def test_columns_may_have_any_name(spark):
+    names = ["epochs", "last_key", "last_tie", "_k", "_s", "_t", "_row", "_n", "_end", "_rest", "size", "repeats", "target", "source_size"]
+    df = docs(spark).drop("target")
+    for i, name in enumerate(names):
+        df = df.withColumn(name, F.lit(f"own {i}"))
+    got = mixed(df)
+    assert got.count() == df.count() and got.select("epochs", "_s", "_row").distinct().count() == 1
+    assert sorted(got.columns) == sorted(set(df.columns) | {"size", "source_size", "target", "repeats"})
+    plain = mixed(docs(spark)).select("doc_id", "text", "repeats").collect()
+    assert sorted(map(str, got.select("doc_id", "text", "repeats").collect())) == sorted(map(str, plain))
+    again = mix(df)
+    assert again.columns == df.columns and again.select("size", "_t").first() == ("own 10", "own 5")
+
+
+def test_a_very_long_text(spark):
+    rows = [(i, "w " * 20, "ab"[i % 2]) for i in range(200)] + [(500, "long " * 400_000, "a"), (501, None, "b"), (502, " \t\n", "b")]
+    _near_targets(mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+
+
+def test_same_as_the_sql_with_repeated_rows(spark):
+    import duckdb
+
+    from ledgerloom.llm.queries import ORACLE, op6_mixing
+
+    rows = [(i % 40 if i % 4 else None, "word " * (i % 7), [None, "a", "b", "é"][i % 4]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    documents = df.toPandas()
+    documents["doc_id"] = documents["doc_id"].astype("Int64")
+    import tempfile
+
+    folder = tempfile.mkdtemp()
+    df.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    got = op6_mixing(spark, folder).collect()
+    want = duckdb.sql(ORACLE["op6_mixing"]).fetchall()
+    shown = lambda rs: sorted((str(r[0]), r[1], r[2], round(r[3], 6), r[4]) for r in rs)
+    assert shown(got) == shown(want)
