@@ -875,9 +875,22 @@ def _as_lines(df: DataFrame) -> DataFrame:
     return df.withColumns({"DETAIL": F.col("text"), "SUPPLIER": F.lit("none")})
 
 
+def _search_rows(spark, found: tuning.SearchResult, keys: list[str]) -> DataFrame:
+    """Held-out rows of every fit by ``keys``; whether each score follows from its counts, and the best one is the top."""
+    counts = found.counts(spark)
+    by_field = metrics.field_metrics_of(counts, ["setting", "fold", "field"])
+    again = by_field.groupBy("setting", "fold").agg(F.avg("f1_macro").alias("f")).groupBy("setting").agg(F.avg("f").alias("again"))
+    top = max(score for _, score in found.scores)
+    told = [(i, score, params != found.best_params or score == top) for i, (params, score) in enumerate(found.scores)]
+    agreed = spark.createDataFrame(told, "setting int, score double, best_is_top boolean").join(again, "setting")
+    agreed = agreed.select("setting", (F.abs(F.col("score") - F.col("again")) < 1e-9).alias("score_agrees"), "best_is_top")
+    rows = counts.groupBy("setting", "fold", *keys).agg(F.sum("n").alias("n_held_out"), F.count_distinct("true").alias("n_labels"))
+    return rows.join(agreed, "setting")
+
+
 @query
 def grid_search_small(spark, sf_dir):
-    """A cut-down grid over whole documents: two vocabulary sizes."""
+    """A cut-down grid over whole documents: two vocabulary sizes; the rows held out, by fold and label."""
     grid = {
         "max_features": [300, 600], "ngram_range": [(1, 1)], "min_df": [2], "max_df": [0.9],
         "sublinear_tf": [False], "C": [1.0],
@@ -885,25 +898,41 @@ def grid_search_small(spark, sf_dir):
     found = tuning.grid_search_tfidf(
         _documents(spark, sf_dir).train, "NOMINAL", grid=grid, n_folds=3
     )
-    top = max(s for _, s in found.scores)
-    rows = [(p["max_features"], p["C"], 0 <= s <= 1, p != found.best_params or s == top) for p, s in found.scores]
-    return spark.createDataFrame(rows, "max_features int, c double, scored boolean, best_is_top boolean")
+    sizes = spark.createDataFrame([(i, p["max_features"], p["C"]) for i, (p, _) in enumerate(found.scores)], "setting int, max_features int, c double")
+    rows = _search_rows(spark, found, ["field", "true"]).join(sizes, "setting")
+    return rows.select("max_features", "c", "fold", F.col("true").alias("label"), "n_held_out", "score_agrees", "best_is_top")
 
 
 @query
 def random_search_small(spark, sf_dir):
-    """Two settings each of both classifiers over all vectors."""
+    """Two settings each of both classifiers over all vectors; the rows held out, by fold and field."""
     train = vec_split(spark, sf_dir).train
     choices = {
         "logistic_regression": [LogisticSettings(C=0.01, max_iter=50), LogisticSettings(C=1.0, max_iter=50)],
         "random_forest": [ForestSettings(n_estimators=10, max_depth=4), ForestSettings(n_estimators=10, max_depth=6)],
     }
-    rows = []
+    rows = None
     for classifier, settings in choices.items():
         found = tuning.random_search_embeddings(train, FIELDS, classifier, n_folds=3, settings=settings)
-        top = max(s for _, s in found.scores)
-        rows += [(classifier, i, 0 <= s <= 1, p != found.best_params or s == top) for i, (p, s) in enumerate(found.scores)]
-    return spark.createDataFrame(rows, "classifier string, draw int, scored boolean, best_is_top boolean")
+        own = _search_rows(spark, found, ["field"]).withColumn("classifier", F.lit(classifier))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.select("classifier", F.col("setting").alias("draw"), "fold", "field", "n_held_out", "n_labels", "score_agrees", "best_is_top")
+
+
+@query
+def search_draws(spark, sf_dir):
+    """The drawn settings of both random searches, and how many labelled vectors each would be fitted on in each fold."""
+    folded = split.stratified_folds(vec_split(spark, sf_dir).train.withColumn("_all", F.lit("all")), "_all", 3)
+    sizes = folded.groupBy("fold").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n").alias("total"))
+    rows = []
+    for classifier, space in (("logistic_regression", tuning.LOGISTIC_SPACE), ("random_forest", tuning.FOREST_SPACE)):
+        drawn = [vars(s) for s in tuning.draw_settings(classifier, 20)]
+        inside = [all(d[k] in list(v) for k, v in space.items()) for d in drawn]
+        differ = classifier == "random_forest" or len({repr(d) for d in drawn}) == len(drawn)
+        rows += [(classifier, i, ok and differ) for i, ok in enumerate(inside)]
+    draws = spark.createDataFrame(rows, "classifier string, draw int, in_space boolean")
+    return draws.join(sizes.join(total), how="cross").select("classifier", "draw", "in_space", "fold", (F.col("total") - F.col("n")).alias("n_fitted"))
 
 
 from checks import catalogue_more  # noqa: E402, F401  registers its queries here

@@ -334,6 +334,9 @@ _HOLDS = ", ".join(f"true AS {f}_{x}" for f in ("nominal", "department", "tc") f
 # Only labelled documents are fitted; the split is made of them.
 _KNOWN_SPLIT = FALLBACK.replace("LEFT JOIN labels", "JOIN labels")
 
+_FOLDS = f"""r AS (SELECT *, count(*) OVER () AS c, row_number() OVER (ORDER BY md5('42|' || line_id) || '|' || line_id) AS r FROM {TRAIN}),
+  f AS (SELECT *, (r > c // 3 + (c % 3) // 3)::BIGINT + (r > c // 3 * 2 + (c % 3) * 2 // 3)::BIGINT AS fold FROM r)"""
+
 ORACLE: dict[str, str] = {
     # text
     "text_normalized": f"SELECT doc_id, {norm('text')} AS text_norm FROM documents",
@@ -536,9 +539,19 @@ ORACLE: dict[str, str] = {
       SELECT line_id, field, n_labels, 1.0::DOUBLE AS total FROM sp, k WHERE split = 'test'""",
     "embed_lr_multi": f"WITH {VEC_SPLIT} SELECT line_id, nominal AS true_nominal, department AS true_department, tax_code AS true_tc, {_HOLDS} FROM {TEST}",
     "embed_rf_multi": f"WITH {VEC_SPLIT} SELECT line_id, nominal AS true_nominal, department AS true_department, tax_code AS true_tc, {_HOLDS} FROM {TEST}",
-    "grid_search_small": "SELECT x::BIGINT AS max_features, 1.0::DOUBLE AS c, true AS scored, true AS best_is_top FROM (SELECT unnest([300, 600]) AS x)",
-    "random_search_small": """SELECT c AS classifier, d::BIGINT AS draw, true AS scored, true AS best_is_top
-      FROM (SELECT unnest(['logistic_regression', 'random_forest']) AS c), (SELECT unnest([0, 1]) AS d)""",
+    "grid_search_small": f"""WITH {_KNOWN_SPLIT}, r AS (
+        SELECT "NOMINAL" AS label, count(*) OVER w AS c, row_number() OVER (w ORDER BY md5('42|' || line_id) || '|' || line_id) AS r
+        FROM sp WHERE split = 'train' WINDOW w AS (PARTITION BY "NOMINAL")),
+      f AS (SELECT label, (r > c // 3 + (c % 3) // 3)::BIGINT + (r > c // 3 * 2 + (c % 3) * 2 // 3)::BIGINT AS fold FROM r)
+      SELECT max_features, 1.0::DOUBLE AS c, fold, label, count(*) AS n_held_out, true AS score_agrees, true AS best_is_top
+      FROM f, (SELECT unnest([300, 600])::BIGINT AS max_features) GROUP BY ALL""",
+    "random_search_small": f"""WITH {VEC_SPLIT}, {_FOLDS},
+      l AS (SELECT fold, 'NOMINAL' AS field, nominal AS label FROM f UNION ALL SELECT fold, 'DEPARTMENT', department FROM f UNION ALL SELECT fold, 'TC', tax_code FROM f)
+      SELECT c AS classifier, d::BIGINT AS draw, fold, field, count(*) AS n_held_out, count(DISTINCT label) AS n_labels, true AS score_agrees, true AS best_is_top
+      FROM l, (SELECT unnest(['logistic_regression', 'random_forest']) AS c), (SELECT unnest([0, 1]) AS d) GROUP BY ALL""",
+    "search_draws": f"""WITH {VEC_SPLIT}, {_FOLDS}
+      SELECT kind AS classifier, d::BIGINT AS draw, true AS in_space, fold, (SELECT count(*) FROM f) - count(*) AS n_fitted
+      FROM f, (SELECT unnest(['logistic_regression', 'random_forest']) AS kind), (SELECT unnest(range(20)) AS d) GROUP BY ALL""",
 }
 
 from checks.oracle_more import MORE  # noqa: E402  made of the fragments above

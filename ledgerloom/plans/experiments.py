@@ -23,6 +23,7 @@ from ledgerloom.operators.split import Split, stratified_random_split
 from ledgerloom.operators.vote import vote
 from ledgerloom.plans.models import MlClassifier, fit_text_models
 from ledgerloom.plans.tuning import grid_search_tfidf, random_search_embeddings
+from ledgerloom.scale import settle
 
 Scorer = Callable[[DataFrame], DataFrame]
 Embedder = Callable[[DataFrame], DataFrame]
@@ -222,7 +223,8 @@ def classify_novel_items(
     vectors = embed or (lambda df: hashed_embedding(df, "model_text", dim))
     ranked = F.row_number().over(W.partitionBy("model_text").orderBy("line_id"))
     few = past.select("line_id", "model_text", *LABEL_COLUMNS.values()).withColumn("_copy", ranked)
-    few = few.where(F.col("_copy") <= k).drop("_copy")
+    # Used twice: settled, so that past lines are read and prepared once.
+    few = settle(few.where(F.col("_copy") <= k).drop("_copy"))
     texts = vectors(few.select("model_text").distinct()).select("model_text", "embedding")
     index = build_index(few.join(texts, "model_text"), "line_id", "model_text")
     shaped = create_novel_items(items)

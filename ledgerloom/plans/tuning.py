@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.ml.evaluation import Evaluator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.config import SEED
@@ -54,14 +54,28 @@ FOREST_SPACE = {
 }
 
 
+#: Held-out confusion counts ``(field, true, pred, n)`` of one fit.
+Counts = list[tuple[str, str | None, str | None, int]]
+
+
 @dataclass
 class SearchResult:
-    """Best settings, their score, all scores and the model refitted on all rows."""
+    """Best settings, their score, all scores, the counts behind them and the model refitted on all rows.
+
+    ``folds`` holds ``(settings, fold, counts)`` of every fit; every score can be worked out again from it.
+    """
 
     best_params: dict[str, Any]
     best_score: float
     scores: list[tuple[dict[str, Any], float]]
     model: MlClassifier
+    folds: list[tuple[dict[str, Any], int, Counts]]
+
+    def counts(self, spark: SparkSession) -> DataFrame:
+        """``(setting, fold, field, true, pred, n)``; ``setting`` is a place in ``scores``."""
+        places = {repr(params): i for i, (params, _) in enumerate(self.scores)}
+        rows = [(places[repr(params)], fold, *row) for params, fold, counts in self.folds for row in counts]
+        return spark.createDataFrame(rows, "setting int, fold int, field string, true string, pred string, n long")
 
 
 def macro_f1(df: DataFrame, true: str, pred: str) -> float:
@@ -133,7 +147,7 @@ def grid_search_tfidf(
         span: text_statistics(folded, text, span, by=["fold"]).persist()
         for span in grid["ngram_range"]
     }
-    scores = []
+    scores, folds = [], []
     try:
         for choice in itertools.product(*[grid[a] for a in axes]):
             setting = dict(zip(axes, choice))
@@ -142,7 +156,7 @@ def grid_search_tfidf(
                 minN=setting["ngram_range"][0], maxN=setting["ngram_range"][1],
                 minDF=setting["min_df"], maxDF=setting["max_df"], sublinear=setting["sublinear_tf"],
             )
-            sums = dict.fromkeys(grid["C"], 0.0)
+            found_by: dict[float, list[Counts]] = {c: [] for c in grid["C"]}
             for fold in sorted(sizes):  # one fold's features at a time
                 others = (
                     statistics[setting["ngram_range"]]
@@ -153,19 +167,22 @@ def grid_search_tfidf(
                 model = tfidf.model_for(others, total - sizes[fold])
                 ready = packed(model.transform(folded).select("features", target, "fold"), n_bytes).persist()
 
-                def score(c: float) -> float:
+                def held_out(c: float) -> Counts:
                     fitted = fit_field(
                         ready.where(F.col("fold") != fold), target, LogisticSettings(C=c, max_iter=200)
                     )
-                    return _held_out_score([fitted], ready.where(F.col("fold") == fold))
+                    return _held_out_counts([fitted], ready.where(F.col("fold") == fold))
 
                 try:
                     with ThreadPoolExecutor(parallelism) as pool:
-                        for c, found in zip(grid["C"], pool.map(score, grid["C"])):
-                            sums[c] += found
+                        for c, found in zip(grid["C"], pool.map(held_out, grid["C"])):
+                            found_by[c].append(found)
                 finally:
                     ready.unpersist()
-            scores += [({**setting, "C": c}, sums[c] / len(sizes)) for c in grid["C"]]
+            for c, found in found_by.items():
+                params = {**setting, "C": c}
+                scores.append((params, sum(map(macro_f1_of_counts, found)) / len(sizes)))
+                folds += [(params, fold, counts) for fold, counts in zip(sorted(sizes), found, strict=True)]
     finally:
         folded.unpersist()
         for table in statistics.values():
@@ -179,10 +196,27 @@ def grid_search_tfidf(
     best = MlClassifier(
         "tfidf", [target], settings=LogisticSettings(C=params["C"], max_iter=200), tfidf=tfidf
     )
-    return SearchResult(params, score, scores, best.fit(known))
+    return SearchResult(params, score, scores, best.fit(known), folds)
+
+
+def macro_f1_of_counts(counts: Counts) -> float:
+    """Mean over the fields of macro-F1, as :func:`mean_macro_f1` has it, from collected counts."""
+    by_field: dict[str, dict[str, list[int]]] = {}
+    for field, true, pred, n in counts:
+        labels = by_field.setdefault(field, {})
+        right = true is not None and true == pred
+        for label, place in ((true, 0 if right else 1), (None if right else pred, 1)):
+            if label is not None:
+                labels.setdefault(label, [0, 0])[place] += n
+    means = [
+        sum(2 * hit / (2 * hit + miss) for hit, miss in labels.values()) / len(labels) if labels else 0.0
+        for labels in by_field.values()
+    ]
+    return sum(means) / len(means) if means else 0.0
 
 
-def _held_out_score(models: list, held_out: DataFrame) -> float:
+def _held_out_counts(models: list, held_out: DataFrame) -> Counts:
+    """Confusion counts of the models' predictions; a few per pair of classes, which MLlib keeps on the driver anyway."""
     scored = held_out
     for m in models:
         scored = m.probabilities(scored)
@@ -192,7 +226,12 @@ def _held_out_score(models: list, held_out: DataFrame) -> float:
             f"_pred_{m.field}",
             F.element_at(names, F.array_position(probs, F.array_max(probs)).cast("int")),
         )
-    return mean_macro_f1(scored, [(m.field, f"_pred_{m.field}") for m in models])
+    pairs = [
+        F.struct(F.lit(m.field).alias("field"), F.col(m.field).cast("string").alias("true"), F.col(f"_pred_{m.field}").alias("pred"))
+        for m in models
+    ]
+    counts = scored.select(F.explode(F.array(*pairs)).alias("r")).groupBy("r.field", "r.true", "r.pred").agg(F.count("*").alias("n"))
+    return [tuple(r) for r in counts.collect()]
 
 
 def draw_settings(classifier: str, n_iter: int, seed: int = SEED) -> list[Settings]:
@@ -237,21 +276,22 @@ def random_search_embeddings(
     shape = MlClassifier("embeddings", targets, classifier, input_col=vector, seed=seed)
     ready = shape.features(folded).select("features", *targets, "fold")
     ready = packed(ready, shape.feature_bytes(train)).persist()
-    scores = []
+    scores, folds = [], []
     try:
         chosen = settings or draw_settings(classifier, n_iter, seed)
 
-        def score(case: tuple[Settings, int]) -> float:
+        def held_out(case: tuple[Settings, int]) -> Counts:
             setting, fold = case
             rest = ready.where(F.col("fold") != fold)
             models = [fit_field(rest, t, setting, seed=seed) for t in targets]
-            return _held_out_score(models, ready.where(F.col("fold") == fold))
+            return _held_out_counts(models, ready.where(F.col("fold") == fold))
 
         with ThreadPoolExecutor(parallelism) as pool:
-            found = list(pool.map(score, [(s, f) for s in chosen for f in range(n_folds)]))
+            found = list(pool.map(held_out, [(s, f) for s in chosen for f in range(n_folds)]))
         for at, setting in enumerate(chosen):
             own = found[at * n_folds : (at + 1) * n_folds]
-            scores.append((vars(setting), sum(own) / n_folds))
+            scores.append((vars(setting), sum(map(macro_f1_of_counts, own)) / n_folds))
+            folds += [(vars(setting), fold, counts) for fold, counts in enumerate(own)]
     finally:
         ready.unpersist()
     params, score = _best(scores)
@@ -259,4 +299,4 @@ def random_search_embeddings(
     best = MlClassifier(
         "embeddings", targets, classifier, settings=kind(**params), input_col=vector, seed=seed
     )
-    return SearchResult(params, score, scores, best.fit(train))
+    return SearchResult(params, score, scores, best.fit(train), folds)
