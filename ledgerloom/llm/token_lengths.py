@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import text_or_empty
+from ledgerloom.llm.shared import cut, text_or_empty
 
 #: Split pattern of the byte-level vocabulary (fixed value of the public tokenizer).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -57,7 +57,8 @@ def length_histogram(df: DataFrame, length_column: str = "n_tokens") -> DataFram
     rows.  Suffix sums run within spans of lengths and over the spans' sums, so no task orders all.
     """
     length = F.coalesce(F.col(f"`{length_column}`").cast("bigint"), F.lit(0))
-    counts = df.select(length.alias("length")).groupBy("length").agg(F.count(F.lit(1)).alias("documents"))
+    # Used twice below; there are few lengths, and texts must not be counted again.
+    counts = cut(df.select(length.alias("length")).groupBy("length").agg(F.count(F.lit(1)).alias("documents")))
     counts = counts.withColumn("_span", F.floor(F.col("length") / SPAN)).withColumn("_tokens", F.col("length") * F.col("documents"))
     after = W.partitionBy("_span").orderBy("length").rowsBetween(1, W.unboundedFollowing)
     spans = counts.groupBy("_span").agg(F.sum("documents").alias("_docs"), F.sum("_tokens").alias("_toks"))
