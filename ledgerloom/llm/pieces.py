@@ -16,7 +16,7 @@ from ledgerloom.llm.shared import text_or_empty, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids are sent to the executors, at most; the ids of all others travel by shuffle.
-KNOWN_WORDS = 1 << 19
+KNOWN_WORDS = 1 << 20
 #: A position in a word up to here is one bit of a long integer.
 MASK_BITS = 62
 #: Stands for a blank in pieces (fixed value of the format).
@@ -27,6 +27,7 @@ NUMERALS = "²³¹¼-¾⁰-₟"  # word characters that are no letters
 CUTS = (rf" *[^\W\d_{NUMERALS}]+| *(?:[^\w ]|[\d_{NUMERALS}])+| +", r" *[^ ]+| +")
 #: Characters of text whose words are held at once.
 TEXT_SLICE = 1 << 20
+_CODEC = pa.Codec("zstd", compression_level=1)
 #: Texts whose ids are put together at once.
 ROW_SLICE = 512
 
@@ -223,13 +224,16 @@ def _common_words(ids: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _packed(refs: np.ndarray) -> bytes:
-    """Numbers of words byte plane by byte plane, which compresses well; other words are odd."""
+    """Numbers of words (other words are odd), byte plane by byte plane, compressed; four bytes of length first."""
     codes = np.where(refs >= 0, refs.astype(np.int64) * 2, -2 * refs.astype(np.int64) - 1).astype("<u4")
-    return codes.view(np.uint8).reshape(-1, 4).T.tobytes()
+    planes = codes.view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(planes).to_bytes(4, "little") + _CODEC.compress(planes, asbytes=True)
 
 
-def _unpacked(planes: pa.BinaryScalar) -> np.ndarray:
-    codes = np.frombuffer(planes.as_buffer(), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+def _unpacked(packed: pa.BinaryScalar) -> np.ndarray:
+    raw = packed.as_buffer()
+    size = int.from_bytes(raw[:4], "little")
+    codes = np.frombuffer(_CODEC.decompress(raw[4:], size), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
     return np.where(codes % 2 == 0, codes // 2, -(codes + 1) // 2)
 
 
@@ -277,8 +281,10 @@ def encode(
     table = short.where("ids IS NOT NULL").unionByName(far)
     common = spark.sparkContext.broadcast(_common_words(table, known_words))
 
+    cut = pieces.cut  # all of the piece table that this step needs
+
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, numbers, words_of = common.value[0], common.value[1], _cutter(shared.value.cut)
+        codes, numbers, words_of = common.value[0], common.value[1], _cutter(cut)
         for batch in batches:
             first = 0
             for part in _text_slices(batch.column(2).to_pylist()):
