@@ -46,9 +46,9 @@ def test_draws_come_from_the_spaces_and_repeat():
 
 def test_novel_items_read_past_lines_once(spark):
     lines = spark.createDataFrame(
-        [(f"l{i}", f"thing {i % 4}", "s", f"N{i % 4}", "D", "T") for i in range(40)],
+        [(f"l{i}", ["red bolt", "blue nut", "green saw", "black pen"][i % 4], "s", f"N{i % 4}", "D", "T") for i in range(40)],
         "line_id string, DETAIL string, SUPPLIER string, NOMINAL string, DEPARTMENT string, TC string",
     )
-    items = spark.createDataFrame([("n1", "thing 2"), ("n2", "")], "line_id string, DETAIL string")
+    items = spark.createDataFrame([("n1", "green saw"), ("n2", "")], "line_id string, DETAIL string")
     out = {r["line_id"]: r for r in experiments.classify_novel_items(items, lines, k=3, dim=32).collect()}
     assert out["n1"]["nominal"] == "N2" and len(out["n1"]["examples"]) == 3 and set(out) == {"n1", "n2"}
