@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,10 @@ from ledgerloom.llm.shared import cut, text_or_empty, written
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of weighted Jaccard similarity 0.8 shares one of the bands with probability 0.998.
 BANDS, BAND_ROWS = 12, 4
-#: Bits of a shingle's hash; its leading bits are the place where its document frequency is counted.
+#: Bits of a shingle's hash; its leading bits are a place, where a first pass counts all shingles that share it.
 HASH_BITS, PLACE_BITS = 44, 20
+#: A shingle is frequent if its documents are at least this share of the occurrences of all shingles; there are at most 2^18 of them.
+FREQUENT = 2.0**-18
 #: Random draws in the table that a hash picks from.
 DRAWS = 1 << 16
 #: Characters of text and rows of shingles that are worked on at once.
@@ -66,6 +70,28 @@ def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.cumsum(counts)
 
 
+def _grams(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(text number, shingle)`` of every place where a shingle starts, from the hashes of words."""
+    n = np.diff(np.concatenate([[0], ends]))
+    owner = np.repeat(np.arange(len(n)), n)
+    width = np.minimum(n, WORDS)[owner]
+    whole = np.zeros(len(hashes), dtype=np.uint64)
+    for step in range(WORDS):
+        nearby = np.concatenate([hashes[step:], np.zeros(min(step, len(hashes)), dtype=np.uint64)])
+        whole = whole * _ODD + np.where(width > step, nearby, np.uint64(0))
+    starts = np.arange(len(hashes)) + width <= ends[owner]
+    return owner[starts], _mixed(whole[starts]) >> np.uint64(64 - HASH_BITS)
+
+
+def _counted(owner: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text number, shingle, times)``, sorted."""
+    keys = np.sort((owner.astype(np.uint64) << np.uint64(HASH_BITS)) | grams)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    times = np.diff(np.append(first, len(keys)))
+    keys = keys[first]
+    return (keys >> np.uint64(HASH_BITS)).astype(int), keys & np.uint64((1 << HASH_BITS) - 1), times
+
+
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(text number, shingle, times, fingerprints)`` of whole texts, sorted by text and shingle.
 
@@ -74,36 +100,43 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """
     hashes, ends = _word_hashes(texts)
     n = np.diff(np.concatenate([[0], ends]))
-    owner = np.repeat(np.arange(len(texts)), n)
-    place = (np.arange(len(hashes)) - (ends - n)[owner]).astype(np.uint64)
+    place = (np.arange(len(hashes)) - np.repeat(ends - n, n)).astype(np.uint64)
     prints = np.zeros((len(texts), 2), dtype=np.uint64)
     if len(hashes):
         full = np.flatnonzero(n)
         for i, odd in enumerate((_ODD, _MORE)):
             prints[full, i] = np.add.reduceat(_mixed(hashes + odd * (place + np.uint64(1))), (ends - n)[full])
-    width = np.minimum(n, WORDS)[owner].astype(np.uint64)
-    whole = np.zeros(len(hashes), dtype=np.uint64)
-    for step in range(WORDS):
-        nearby = np.concatenate([hashes[step:], np.zeros(min(step, len(hashes)), dtype=np.uint64)])
-        whole = whole * _ODD + np.where(width > step, nearby, np.uint64(0))
-    starts = place + width <= n[owner].astype(np.uint64)
-    keys = (owner[starts].astype(np.uint64) << np.uint64(HASH_BITS)) | (_mixed(whole[starts]) >> np.uint64(64 - HASH_BITS))
-    keys = np.sort(keys)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-    times = np.diff(np.append(first, len(keys)))
-    keys = keys[first]
-    return (keys >> np.uint64(HASH_BITS)).astype(int), keys & np.uint64((1 << HASH_BITS) - 1), times, prints
+    return *_counted(*_grams(hashes, ends)), prints
 
 
 def _places(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(HASH_BITS - PLACE_BITS)).astype(np.int64)
 
 
-def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """Weight of every place of hashed shingles, from 1 (in every text) to 2 (in one): ``1 + ln(N/df) / ln N``.
+@dataclass
+class Weights:
+    """Inverse document frequencies, from 1 (in every text) to 2: those of ``frequent`` shingles (sorted), and the one of all others."""
 
-    Document frequencies are counted over all ``texts (text)``; the table has a fixed size.
-    """
+    frequent: np.ndarray
+    weights: np.ndarray
+    rare: float
+
+    def __post_init__(self) -> None:
+        self.places = np.zeros(1 << PLACE_BITS, dtype=bool)
+        self.places[_places(self.frequent)] = True
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), self.rare, dtype=np.float32)
+        maybe = np.flatnonzero(self.places[_places(hashes)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.frequent, hashes[maybe]), len(self.frequent) - 1)
+            met = self.frequent[at] == hashes[maybe]
+            out[maybe[met]] = self.weights[at[met]]
+        return out
+
+
+def _occurrences(texts: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of texts, and of all shingles (repeats included) in every place; the table has a fixed size."""
     pieces = 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +145,7 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
             rows = batch.column(0).to_pylist()
             total += len(rows)
             for part in _slices(rows):
-                seen += np.bincount(_places(shingles(rows[part])[1]), minlength=len(seen))
+                seen += np.bincount(_places(_grams(*_word_hashes(rows[part]))[1]), minlength=len(seen))
         packed = [x.tobytes() for x in np.split(seen.astype(np.int32), pieces)]
         n = [total] + [0] * (pieces - 1)
         if total:
@@ -127,8 +160,38 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     kind = "piece int, seen binary, n long"
     summed = texts.mapInArrow(count, kind).groupBy("piece").applyInPandas(add, kind).toPandas().sort_values("piece")
     total = int(summed["n"].sum())
-    seen = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in summed["seen"]]) if total else np.zeros(1 << PLACE_BITS)
-    return (1 + np.log((total + 1) / (seen + 1)) / np.log(total + 2)).astype(np.float32)
+    return total, np.concatenate([np.frombuffer(x, dtype=np.int64) for x in summed["seen"]]) if total else np.zeros(1 << PLACE_BITS, np.int64)
+
+
+def inverse_frequencies(texts: DataFrame) -> Weights:
+    """Weights of shingles by their exact document frequencies over all ``texts (text)``.
+
+    A shingle in ``df`` of ``N`` texts weighs ``1 + ln(N/df) / ln(N/rare)``, where ``rare`` is the share FREQUENT of all
+    occurrences of shingles (T); any shingle in fewer texts weighs 2.  So the weight depends on the share of texts and on
+    their mean length, not on the number of texts.  A first pass counts occurrences by place: only in places with
+    at least ``rare`` of them can a shingle be frequent.  The shingles of those places are then counted one by one.  As document
+    frequencies add up to T at most, no more than 2^18 shingles reach the driver.
+    """
+    total, seen = _occurrences(texts)
+    rare = float(seen.sum()) * FREQUENT
+    if not rare or rare >= total:
+        return Weights(np.zeros(0, np.uint64), np.zeros(0, np.float32), 2.0)
+    wanted = texts.sparkSession.sparkContext.broadcast(np.packbits(seen >= rare))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = np.unpackbits(wanted.value).astype(bool)
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            for part in _slices(rows):
+                owner, grams = _grams(*_word_hashes(rows[part]))
+                some = open_[_places(grams)]
+                found, n = np.unique(_counted(owner[some], grams[some])[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+    frequent = texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("df")).where(F.col("df") >= rare).toArrow().sort_by("gram")
+    df = frequent["df"].to_numpy()
+    weights = 1 + np.log(total / df) / np.log(total / rare)
+    return Weights(frequent["gram"].to_numpy().astype(np.uint64), weights.astype(np.float32), 2.0)
 
 
 def random_draws(seed: int = 17) -> np.ndarray:
@@ -171,12 +234,12 @@ def band_keys(owner: np.ndarray, hashes: np.ndarray, log_weight: np.ndarray, n_t
     return keys
 
 
-def _weighted(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _weighted(texts: list[str], weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner, hashes, times, _ = shingles(texts)
-    return owner, hashes, times * weights[_places(hashes)].astype(float)
+    return owner, hashes, times * weights.of(hashes).astype(float)
 
 
-def similarities(left: list[str], right: list[str], weights: np.ndarray) -> np.ndarray:
+def similarities(left: list[str], right: list[str], weights: Weights) -> np.ndarray:
     """Weighted Jaccard similarity of each pair of texts; 1 for two texts without words."""
     (a, ha, wa), (b, hb, wb) = _weighted(left, weights), _weighted(right, weights)
     ka, kb = (a.astype(np.uint64) << np.uint64(HASH_BITS)) | ha, (b.astype(np.uint64) << np.uint64(HASH_BITS)) | hb
@@ -187,7 +250,7 @@ def similarities(left: list[str], right: list[str], weights: np.ndarray) -> np.n
     return np.where(whole > 0, shared / np.maximum(whole, 1e-12), 1.0)
 
 
-def _tile_links(rows: pd.DataFrame, weights: np.ndarray, least: float) -> list[tuple[str, str]]:
+def _tile_links(rows: pd.DataFrame, weights: Weights, least: float) -> list[tuple[str, str]]:
     """Links of similar texts between a tile of the smaller classes and a tile of the whole bucket.
 
     Pairs that are in one class already, or come to be, are not compared.
@@ -236,19 +299,18 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _signatures(rows: DataFrame, weights: np.ndarray) -> DataFrame:
+def _signatures(rows: DataFrame, weights: Broadcast) -> DataFrame:
     """``(_id, _hash, v, size, bands)`` of ``rows (_id, _hash, text)``; no bands where there are no words."""
-    sc = rows.sparkSession.sparkContext
-    shared = sc.broadcast((np.log(weights), random_draws()))
+    shared = rows.sparkSession.sparkContext.broadcast(random_draws())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_idf, draws = shared.value
+        idf, draws = weights.value, shared.value
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for part in _slices(texts):
                 owner, hashes, times, prints = shingles(texts[part])
                 n = part.stop - part.start
-                keys = band_keys(owner, hashes, (np.log(times) + log_idf[_places(hashes)]).astype(np.float32), n, draws)
+                keys = band_keys(owner, hashes, np.log(times * idf.of(hashes)).astype(np.float32), n, draws)
                 some = np.zeros(n, dtype=bool)
                 some[owner] = True
                 yield pa.RecordBatch.from_arrays(
@@ -281,9 +343,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     text = text_or_empty(text_column)
     rows = df.select(F.col(f"`{id_column}`").alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("text"))
-    weights = inverse_frequencies(rows.select("text"))
-    shared = df.sparkSession.sparkContext.broadcast(weights)
-    signed = written(_signatures(rows, weights))
+    shared = df.sparkSession.sparkContext.broadcast(inverse_frequencies(rows.select("text")))
+    signed = written(_signatures(rows, shared))
     first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_hash").alias("hash")))
     groups = cut(signed.groupBy("v").agg(first.alias("row"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
 

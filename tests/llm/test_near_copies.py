@@ -1,11 +1,13 @@
+import math
 import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import near_copies
-from ledgerloom.llm.near_copies import connected, inverse_frequencies, near_duplicates, shingles, similarities, without_near_duplicates
+from ledgerloom.llm.near_copies import Weights, connected, inverse_frequencies, near_duplicates, shingles, similarities, without_near_duplicates
 
 
 def corpus(n=160, seed=3):
@@ -21,14 +23,24 @@ def corpus(n=160, seed=3):
     return docs + ["", "  ", "One two", "one  two", "one three", docs[0].upper()]
 
 
-def plain_classes(docs, weights, least=0.8):
-    sets = []
-    for d in docs:
-        w = d.lower().split()
-        counts = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
-        owner, hashes, times, _ = shingles([d])
-        assert sorted(times.tolist()) == sorted(counts.values())
-        sets.append(dict(zip(hashes.tolist(), (times * weights[near_copies._places(hashes)]).tolist(), strict=True)))
+def plain_shingles(text):
+    w = text.lower().split()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def plain_weights(docs):
+    """Exact document frequencies, shingle by shingle."""
+    counts = [plain_shingles(d) for d in docs]
+    df = Counter(s for c in counts for s in c)
+    rare = sum(sum(c.values()) for c in counts) * near_copies.FREQUENT
+    if not 0 < rare < len(docs):
+        return dict.fromkeys(df, 2.0)
+    return {s: 1 + math.log(len(docs) / n) / math.log(len(docs) / rare) if n >= rare else 2.0 for s, n in df.items()}
+
+
+def plain_classes(docs, least=0.8):
+    weights = plain_weights(docs)
+    sets = [{s: n * weights[s] for s, n in plain_shingles(d).items()} for d in docs]
     parent = list(range(len(docs)))
 
     def find(i):
@@ -48,8 +60,7 @@ def plain_classes(docs, weights, least=0.8):
 def test_same_classes_as_comparing_all_pairs(spark):
     docs = corpus()
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumn("class_id", F.lit("clash"))
-    weights = inverse_frequencies(df.select("text"))
-    expected = plain_classes(docs, weights)
+    expected = plain_classes(docs)
     got = near_duplicates(df).toPandas().sort_values("doc_id")
     assert got["class_id"].tolist() == expected
     assert got["kept"].tolist() == [i == c for i, c in enumerate(expected)]
@@ -65,16 +76,48 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     docs = corpus(40, 5)
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     got = near_duplicates(df).toPandas().sort_values("doc_id")
-    assert got["class_id"].tolist() == plain_classes(docs, inverse_frequencies(df.select("text")))
+    assert got["class_id"].tolist() == plain_classes(docs)
 
 
 def test_similarity_of_pairs():
-    weights = np.ones(1 << near_copies.PLACE_BITS, dtype=np.float32)
+    weights = Weights(np.zeros(0, np.uint64), np.zeros(0, np.float32), 1.0)
     a, b = "a b c d e f g h i j", "a b c d e f g h i x"
     got = similarities([a, a, "", "hi", a + " " + a], [a, b, "", "Hi", a], weights)
     assert np.allclose(got, [1, 5 / 7, 1, 1, 6 / 16])
 
 
+@pytest.mark.parametrize("frequent", [2.0**-18, 0.001, 0.5])
+def test_weights_come_from_exact_document_frequencies(spark, monkeypatch, frequent):
+    """Also where most shingles are below the frequent ones, and where none is frequent."""
+    monkeypatch.setattr(near_copies, "FREQUENT", frequent)
+    docs = corpus(60, 7) + ["same words in all of them here"] * 20 + ["again and again " * 50]
+    weights = inverse_frequencies(spark.createDataFrame([(d,) for d in docs], "text string").repartition(5))
+    assert len(weights.frequent) <= 1 / frequent
+    expected = plain_weights(docs)
+    for doc in docs:
+        _, hashes, times, _ = shingles([doc])
+        got = sorted(zip(times.tolist(), weights.of(hashes).tolist(), strict=True))
+        want = sorted((n, expected[s]) for s, n in plain_shingles(doc).items())
+        assert np.allclose(got, want, atol=1e-5) if want else not got
+
+
+def test_weights_do_not_fade_with_size(spark):
+    """The same share of texts weighs the same in a table ten times as long."""
+    def weights_of(n):
+        docs = [f"the common start of a text {i} and {i} its own {i} end {i}" if i % 10 == 0 else f"{i} a b {i} c d {i} e f {i}" for i in range(n)]
+        hashes = shingles(["the common start of a"])[1]
+        found = inverse_frequencies(spark.createDataFrame([(d,) for d in docs], "text string"))
+        return float(found.of(hashes)[0])
+
+    assert abs(weights_of(2000) - weights_of(20_000)) < 0.01
+
+
+def test_very_long_text_has_weights_of_one_and_more(spark):
+    text = " ".join(f"x{i}" for i in range(1_500_000))
+    weights = inverse_frequencies(spark.createDataFrame([(text,), ("a b c",)], "text string"))
+    assert weights.of(shingles([text])[1]).min() >= 1
+
+
 def test_nulls_repeats_long_texts_and_empty_table(spark):
     long = " ".join(f"x{i}" for i in range(60_000))
     rows = [(None, "a b c d e f g"), (3, "a b c d e f g"), (3, "a b c d e f g"), (4, None), (5, ""), (6, long), (7, long + " y"), (None, None)]
