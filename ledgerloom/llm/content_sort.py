@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import cut, partitions_for, text_or_empty
+from ledgerloom.llm.shared import PARTITION_BYTES, cut, partitions_for, text_or_empty
 
 #: A group of copies with more than this share of all rows is sorted in pieces.
 HOT_SHARE = 1 / 4096
-PIECES = 64
+#: Rows, and bytes of text, of a hot group that make a piece of it.
+PIECE_ROWS, PIECE_BYTES = 1 << 14, PARTITION_BYTES // 4
 #: Characters of a text that lead its sort key.
 HEAD = 32
 
@@ -30,17 +31,24 @@ def _prepared(
 
 
 def _hot_and_cold(rows: DataFrame, hot_share: float) -> tuple[DataFrame, DataFrame, int]:
-    """Rows of very large groups, all others, and the number of range partitions.
+    """Rows of very large groups with the piece of the group they go to, all others, and the number of range partitions.
 
     The hashes only decide how rows are spread; equality is decided on whole texts.  At most
-    ``1 / hot_share`` hashes can have more than that share of the rows, which bounds the list.
+    ``1 / hot_share`` hashes can have more than that share of the rows, which bounds the list.  A row's piece comes from its
+    id and its place in the table, so rows that repeat an id, or have none, spread too.
     """
     total, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("_text"))).first()
     digest = F.xxhash64("_text")
-    counts = rows.groupBy(digest.alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))
-    hot = [r[0] for r in counts.where(F.col("_n") > max(1.0, total * hot_share)).select("_hash").collect()]
-    is_hot = digest.isin(hot) if hot else F.lit(False)
-    return rows.where(is_hot), rows.where(~is_hot), partitions_for(rows.sparkSession, size or 0)
+    tally = [F.count(F.lit(1)).alias("_n"), F.max(F.octet_length("_text")).alias("_bytes")]
+    counts = rows.groupBy(digest.alias("_hash")).agg(*tally).where(F.col("_n") > max(1.0, total * hot_share))
+    hot = {r["_hash"]: max(r["_n"] // PIECE_ROWS, r["_n"] * r["_bytes"] // PIECE_BYTES) + 1 for r in counts.collect()}
+    parts = partitions_for(rows.sparkSession, size or 0)
+    if not hot:
+        return rows.where(F.lit(False)).withColumn("_piece", F.lit(0).cast("long")), rows, parts
+    pieces = F.broadcast(rows.sparkSession.createDataFrame(list(hot.items()), "_hot long, _pieces long"))
+    met = rows.withColumn("_spread", F.xxhash64("_id", F.monotonically_increasing_id())).join(pieces, digest == F.col("_hot"))
+    met = met.withColumn("_piece", F.pmod("_spread", "_pieces")).drop("_spread", "_hot", "_pieces")
+    return met, rows.where(~digest.isin(list(hot))), parts
 
 
 def _sorted_groups(rows: DataFrame, parts: int, keys: list[str], smallest: bool) -> DataFrame:
@@ -81,7 +89,7 @@ def exact_duplicates(
 
     Whole texts are range-partitioned by sampled splitters and sorted externally, so that equal
     ones become neighbours.  A group that holds more than ``hot_share`` of all rows is cut into
-    pieces by a hash of the id; each piece is sorted on its own and only the first row of each
+    as many pieces as its size asks for; each piece is sorted on its own and only the first row of each
     piece is sorted again, so no task gets a whole hot group.
     """
     smallest = {"smallest": True, "largest": False}[keep]
@@ -99,9 +107,8 @@ def exact_duplicates(
         .select("_id", "_keep", "_size", (F.col("_place") == 1).alias("kept"), digest)
         .select(*result)
     )
-    pieces = hot.select("_id", "_text", F.pmod(F.xxhash64("_id"), F.lit(PIECES)).alias("_piece"))
     pieces = cut(
-        _sorted_groups(pieces, parts, ["_text", "_piece"], smallest).select(
+        _sorted_groups(hot.select("_id", "_text", "_piece"), parts, ["_text", "_piece"], smallest).select(
             "_id", "_piece", "_place", "_keep", "_size", digest,
             F.when(F.col("_place") == 1, F.col("_text")).alias("_text"),
         )
@@ -135,8 +142,7 @@ def without_exact_duplicates(
     smallest = {"smallest": True, "largest": False}[keep]
     hot, cold, parts = _hot_and_cold(_prepared(df, id_column, text_column, normalise), hot_share)
     alone = _sorted_groups(cold, parts, ["_text"], smallest).where(F.col("_place") == 1)
-    pieces = hot.withColumn("_piece", F.pmod(F.xxhash64("_id"), F.lit(PIECES)))
-    heads = _sorted_groups(pieces, parts, ["_text", "_piece"], smallest).where(F.col("_place") == 1)
+    heads = _sorted_groups(hot, parts, ["_text", "_piece"], smallest).where(F.col("_place") == 1)
     together = _sorted_groups(heads.select("_id", "_text", "_row"), parts, ["_text"], smallest)
     kept = alone.select("_row").unionByName(together.where(F.col("_place") == 1).select("_row"))
     return kept.select([F.col("_row").getField(c).alias(c) for c in df.columns])

@@ -52,6 +52,19 @@ def test_normalised_and_empty(spark):
     assert exact_duplicates(df.limit(0)).count() == 0 and without_exact_duplicates(df.limit(0)).count() == 0
 
 
+def test_pieces_of_a_hot_group_follow_its_size(spark, monkeypatch):
+    """Rows without an id, or with one id, spread over pieces as well."""
+    monkeypatch.setattr(content_sort, "PIECE_ROWS", 50)
+    rows = [(None, "hot")] * 900 + [(3, "warm")] * 300 + [(i, f"text {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hot, cold, _ = content_sort._hot_and_cold(content_sort._prepared(df, "doc_id", "text", None), 0.05)
+    sizes = {t: [r["count"] for r in hot.where(F.col("_text") == t).groupBy("_piece").count().collect()] for t in ("hot", "warm")}
+    assert len(sizes["hot"]) == 19 and len(sizes["warm"]) == 7 and max(map(max, sizes.values())) < 110 and cold.count() == 300
+    got = exact_duplicates(df, hot_share=0.05)
+    assert sorted(str(tuple(r)) for r in got.collect()) == plain(df.collect(), min)
+    assert without_exact_duplicates(df, hot_share=0.05).count() == 302
+
+
 def test_one_exchange_and_no_python_on_the_main_path(spark):
     df = docs(spark)
     rows = content_sort._prepared(df, "doc_id", "text", None).select("_id", "_text")
