@@ -21,7 +21,7 @@ FIT_ROWS = 12_000
 ROUNDS, CONFIDENT = 3, 0.97
 #: Sources and languages of labelled rows with a place of their own, at most; the rarest beyond share the place of unknown ones.
 SOURCES, LANGS = 256, 64
-#: Tasks that sum over the unlabelled documents, at most; the driver adds up one row of each.
+#: Rows of sums that the driver adds up, at most; where more tasks sum over the unlabelled documents, other tasks add up theirs first.
 SUM_TASKS = 64
 
 
@@ -131,7 +131,14 @@ def _pool_sums(pool: DataFrame, views: list[View], limit: float, term: Callable[
         if not isinstance(sums[0], float):
             yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in sums], ["content", "metadata"])
 
-    found = pool.select("content", "metadata").coalesce(SUM_TASKS).mapInArrow(add, "content binary, metadata binary").toArrow()
+    def together(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({v: [sum(np.frombuffer(x) for x in rows[v]).tobytes()] for v in ("content", "metadata")})
+
+    kind = "content binary, metadata binary"
+    parts = pool.select("content", "metadata").mapInArrow(add, kind)
+    if pool.rdd.getNumPartitions() > SUM_TASKS:
+        parts = parts.groupBy(F.spark_partition_id() % SUM_TASKS).applyInPandas(together, kind)
+    found = parts.toArrow()
     return [sum(np.frombuffer(x) for x in found.column(v).to_pylist()) for v in (0, 1)]
 
 

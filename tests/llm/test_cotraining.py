@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import cotraining
 from ledgerloom.llm.cotraining import View, _taught, fit_quality, fitted, quality
 
 
@@ -64,8 +66,10 @@ def test_fit_recovers_a_known_line():
     assert np.allclose([*view.weights, view.intercept], [2, -1, 0.5], atol=0.25)
 
 
-def test_all_unlabelled_documents_teach(spark):
-    """The same views as a plain fit to the labelled rows and every document of which the other view is sure."""
+@pytest.mark.parametrize("tasks", [64, 2])
+def test_all_unlabelled_documents_teach(spark, monkeypatch, tasks):
+    """The same views as a plain fit to the labelled rows and every document of which the other view is sure, in whatever tasks."""
+    monkeypatch.setattr(cotraining, "SUM_TASKS", tasks)
     rng = np.random.default_rng(1)
     side = rng.integers(0, 2, 9000)
     x = [rng.normal(size=(9000, 2)) + side[:, None] * 2, rng.normal(size=(9000, 3)) - side[:, None]]
