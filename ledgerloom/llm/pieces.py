@@ -220,7 +220,8 @@ def _common_words(ids: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np
     ends = np.cumsum(np.diff(lists.offsets.to_numpy())) if len(order) else np.zeros(0, int)
     codes = codes[order]
     numbers = np.argsort(codes)
-    return codes[numbers], numbers.astype(np.int32), ends.astype(np.int32), lists.flatten().to_numpy().astype(np.int32)
+    # An edge of the lattice holds an id in 16 bits as well.
+    return codes[numbers], numbers.astype(np.int32), ends.astype(np.int32), lists.flatten().to_numpy().astype(np.uint16)
 
 
 def _packed(refs: np.ndarray) -> bytes:
@@ -279,18 +280,24 @@ def encode(
     # Written, so that no later task needs two Python workers at once.
     far = written(short.where("ids IS NULL").select("word", "n").mapInPandas(long_words, "word string, n long, ids array<int>"))
     table = short.where("ids IS NOT NULL").unionByName(far)
-    common = spark.sparkContext.broadcast(_common_words(table, known_words))
+    codes, numbers, ends, flat = _common_words(table, known_words)
+    # Each step is sent only what it reads.
+    numbers_of = spark.sparkContext.broadcast((codes, numbers))
+    ids_of = spark.sparkContext.broadcast((ends, flat))
 
     cut = pieces.cut  # all of the piece table that this step needs
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, numbers, words_of = common.value[0], common.value[1], _cutter(cut)
+        (codes, numbers), words_of = numbers_of.value, _cutter(cut)
         for batch in batches:
             first = 0
             for part in _text_slices(batch.column(2).to_pylist()):
-                lists = [words_of(t) for t in part]
-                ends = np.cumsum([0] + [len(words) for words in lists])
-                known = pa.array([w for words in lists for w in words], pa.string()).dictionary_encode()
+                words, ends = [], [0]
+                for t in part:
+                    words += words_of(t)
+                    ends.append(len(words))
+                known = pa.array(words, pa.string()).dictionary_encode()
+                del words
                 hashed = _word_codes(known.dictionary.to_pylist())
                 at = np.minimum(np.searchsorted(codes, hashed), max(0, len(codes) - 1))
                 number = np.where(codes[at] == hashed, numbers[at], -1) if len(codes) else np.full(len(hashed), -1)
@@ -298,9 +305,9 @@ def encode(
                 refs = number[index].astype(np.int32)
                 # Other words get numbers below 0, by text.
                 rare = refs < 0
-                text = np.repeat(np.arange(len(lists)), np.diff(ends))[rare]
+                text = np.repeat(np.arange(len(part)), np.diff(ends))[rare]
                 own, back = np.unique(text * len(number) + index[rare], return_inverse=True)
-                begins = np.searchsorted(own, np.arange(len(lists) + 1) * len(number))
+                begins = np.searchsorted(own, np.arange(len(part) + 1) * len(number))
                 refs[rare] = -1 - (back - begins[text])
                 others = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), known.dictionary.take(pa.array(own % max(1, len(number)))))
                 packed = pa.array([_packed(refs[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
@@ -318,7 +325,7 @@ def encode(
     found = asked.join(table.select("word", "ids"), "word").groupBy("_uid").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("found"))
 
     def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, ends, flat = common.value
+        ends, flat = ids_of.value
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else np.zeros(0, int)
         for whole in batches:
             for first in range(0, whole.num_rows, ROW_SLICE):
