@@ -103,8 +103,10 @@ _EDGE = "(shiftleft(cast(rank AS bigint), 47) | shiftleft(cast(s AS bigint), 21)
 _S, _LEN = "(shiftright(x, 21) & 67108863)", "(shiftright(x, 16) & 31)"
 _BOTH = f"(shiftleft(1L, cast({_S} AS int)) | shiftleft(1L, cast({_S} + {_LEN} AS int)))"
 _INSIDE = f"shiftleft(shiftleft(1L, cast({_LEN} - 1 AS int)) - 1, cast({_S} + 1 AS int))"
+#: All but the edges of single characters, of which each position has one; they come last and change nothing.
+_LONGER = "slice(edges, 1, greatest(0, size(edges) - length(word)))"
 #: Merge in rank order: an edge applies if its span is just two symbols, that is, one inner border.
-_MERGED = f"aggregate(edges, shiftleft(1L, cast(length(word) + 1 AS int)) - 1, (m, x) -> IF((m & {_BOTH}) = {_BOTH} AND bit_count(m & {_INSIDE}) = 1, m & ~{_INSIDE}, m))"
+_MERGED = f"aggregate({_LONGER}, shiftleft(1L, cast(length(word) + 1 AS int)) - 1, (m, x) -> IF((m & {_BOTH}) = {_BOTH} AND bit_count(m & {_INSIDE}) = 1, m & ~{_INSIDE}, m))"
 #: Best sum of scores up to each position: (sum, first character, id), edges by first character and length.
 _BEST = """aggregate(
     edges, transform(sequence(0, length(word)), i -> named_struct('sum', IF(i = 0, 0D, CAST(NULL AS double)), 's', -1, 'id', -1)),
@@ -146,7 +148,6 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     lost = min(score for _, _, score in pieces.table) - 10
     edges = spans.join(table, "piece", "left").where("id IS NOT NULL OR len = 1 OR len IS NULL")
     if pieces.merging:
-        # Single characters come last and change nothing.
         edges = edges.select("word", "n", F.expr(_EDGE.replace("rank AS", "IF(len = 1, 65535, rank) AS")).alias("edge"))
         met = edges.groupBy("word", "n").agg(F.sort_array(F.collect_list("edge")).alias("edges")).withColumn("m", F.expr(_MERGED))
         on_path = f"filter(edges, x -> (m & {_BOTH}) = {_BOTH} AND (m & {_INSIDE}) = 0)"
