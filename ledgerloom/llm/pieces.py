@@ -97,16 +97,16 @@ def _text_slices(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-# An edge of the lattice in one number: rank of the score, first character, characters, id.
-# The highest id stands for a character that is no piece.
-_EDGE = "(shiftleft(cast(rank AS bigint), 47) | shiftleft(cast(s AS bigint), 21) | shiftleft(cast(len AS bigint), 16) | coalesce(id, 65535))"
-_S, _LEN = "(shiftright(x, 21) & 67108863)", "(shiftright(x, 16) & 31)"
-_BOTH = f"(shiftleft(1L, cast({_S} AS int)) | shiftleft(1L, cast({_S} + {_LEN} AS int)))"
-_INSIDE = f"shiftleft(shiftleft(1L, cast({_LEN} - 1 AS int)) - 1, cast({_S} + 1 AS int))"
+# An edge of the lattice in one number: rank of the score, first and last border, id.  Borders are at most
+# MASK_BITS; the highest id stands for a character that is no piece.
+_EDGE = "(shiftleft(cast(rank AS bigint), 28) | shiftleft(cast(s AS bigint), 22) | shiftleft(cast(s + len AS bigint), 16) | coalesce(id, 65535))"
+_S, _E = "cast(shiftright(x, 22) & 63 AS int)", "cast(shiftright(x, 16) & 63 AS int)"
+_ENDS = f"(shiftright(m, {_S}) & shiftright(m, {_E}) & 1) = 1"
+_INSIDE = f"(shiftleft(1L, {_E}) - shiftleft(2L, {_S}))"
 #: All but the edges of single characters, of which each position has one; they come last and change nothing.
 _LONGER = "slice(edges, 1, greatest(0, size(edges) - length(word)))"
 #: Merge in rank order: an edge applies if its span is just two symbols, that is, one inner border.
-_MERGED = f"aggregate({_LONGER}, shiftleft(1L, cast(length(word) + 1 AS int)) - 1, (m, x) -> IF((m & {_BOTH}) = {_BOTH} AND bit_count(m & {_INSIDE}) = 1, m & ~{_INSIDE}, m))"
+_MERGED = f"aggregate({_LONGER}, ~shiftleft(-1L, length(word) + 1), (m, x) -> IF({_ENDS} AND bit_count(m & {_INSIDE}) = 1, m & ~{_INSIDE}, m))"
 #: Best sum of scores up to each position: (sum, first character, id), edges by first character and length.
 _BEST = """aggregate(
     edges, transform(sequence(0, length(word)), i -> named_struct('sum', IF(i = 0, 0D, CAST(NULL AS double)), 's', -1, 'id', -1)),
@@ -115,12 +115,12 @@ _BEST = """aggregate(
 _PATH = """aggregate(
     sequence(1, length(word)), named_struct('at', length(word), 'path', CAST(array() AS array<bigint>)),
     (p, i) -> IF(p.at = 0, p, named_struct('at', best[p.at].s, 'path',
-        concat(array(shiftleft(cast(best[p.at].s AS bigint), 21) | shiftleft(cast(p.at - best[p.at].s AS bigint), 16) | best[p.at].id), p.path)))).path"""
+        concat(array(shiftleft(cast(best[p.at].s AS bigint), 22) | shiftleft(cast(p.at AS bigint), 16) | best[p.at].id), p.path)))).path"""
 
 
 def _ids(first_byte: int) -> str:
     """Ids along ``path``; a character that is no piece becomes its bytes."""
-    letter = f"hex(encode(substring(word, cast({_S} + 1 AS int), 1), 'utf-8'))"
+    letter = f"hex(encode(substring(word, {_S} + 1, 1), 'utf-8'))"
     raw = f"transform(sequence(1, length({letter}), 2), i -> cast(conv(substring({letter}, i, 2), 16, 10) AS int) + {first_byte})"
     return f"flatten(transform(path, x -> IF((x & 65535) = 65535, {raw}, array(cast(x & 65535 AS int)))))"
 
@@ -150,8 +150,8 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     if pieces.merging:
         edges = edges.select("word", "n", F.expr(_EDGE.replace("rank AS", "IF(len = 1, 65535, rank) AS")).alias("edge"))
         met = edges.groupBy("word", "n").agg(F.sort_array(F.collect_list("edge")).alias("edges")).withColumn("m", F.expr(_MERGED))
-        on_path = f"filter(edges, x -> (m & {_BOTH}) = {_BOTH} AND (m & {_INSIDE}) = 0)"
-        path = met.select("word", "n", F.expr(f"array_sort(transform({on_path}, x -> x & shiftleft(1L, 47) - 1))").alias("path"))
+        on_path = f"filter(edges, x -> {_ENDS} AND (m & {_INSIDE}) = 0)"
+        path = met.select("word", "n", F.expr(f"sort_array(transform({on_path}, x -> x & {(1 << 28) - 1}))").alias("path"))
     else:
         edge = F.when(F.col("len").isNotNull(), F.struct("s", "len", F.coalesce("score", F.lit(lost)).alias("score"), "id"))
         met = edges.groupBy("word", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("best", F.expr(_BEST))

@@ -14,7 +14,10 @@ def texts():
     whole = [p for p, _, _ in load_pieces().table]
     made = ["".join(rng.choice(whole) for _ in range(rng.randint(1, 30))).strip(" ") for _ in range(120)]
     random_ = ["".join(rng.choice("etaoin shrdluETA\n\t.,-=é日ß0123😀") for _ in range(rng.randint(1, 60))) for _ in range(120)]
-    return made + random_ + ["", " ", "   ", "  two  blanks ", "x" * 500 + "日" * 300, "ab" * 4000 + " end", "<s> </s> <unk> <0x41>", "\n\n", "a\x00b", "=" * 90]
+    return made + random_ + ["", " ", "   ", "  two  blanks ", "x" * 500 + "日" * 300, "ab" * 4000 + " end", "<s> </s> <unk> <0x41>", "\n\n", "a\x00b", "=" * 90] + [
+        # Words around the longest that a bit mask holds.
+        c * n for c in ("=", "international", "日x") for n in (4, 5, 30, 31, 59, 60, 61, 62, 63, 64)
+    ]
 
 
 def check(spark, model, pieces, known):
