@@ -189,10 +189,10 @@ def _encode_long(word: str, ranks: dict[str, tuple[float, int]], pieces: Pieces)
     return out
 
 
-def _word_codes(words: list[str]) -> np.ndarray:
+def _word_codes(words: pa.Array) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 
-    return np.fromiter((xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
+    return np.fromiter(map(xxh3_64_intdigest, words.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint64, len(words))
 
 
 def _common_words(ids: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -211,7 +211,7 @@ def _common_words(ids: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = pa.array(_word_codes(batch.column(0).to_pylist()).view(np.int64))
+            codes = pa.array(_word_codes(batch.column(0)).view(np.int64))
             yield pa.RecordBatch.from_arrays([codes, batch.column(1), batch.column(2)], ["code", "n", "ids"])
 
     table = chosen.select("word", "n", "ids").mapInArrow(coded, "code long, n long, ids array<int>").toArrow()
@@ -225,11 +225,12 @@ def _common_words(ids: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np
     return codes[numbers], numbers.astype(np.int32), ends.astype(np.int32), lists.flatten().to_numpy().astype(np.uint16)
 
 
-def _packed(refs: np.ndarray) -> bytes:
-    """Numbers of words (other words are odd), byte plane by byte plane, compressed; four bytes of length first."""
-    codes = np.where(refs >= 0, refs.astype(np.int64) * 2, -2 * refs.astype(np.int64) - 1).astype("<u4")
-    planes = codes.view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(planes).to_bytes(4, "little") + _CODEC.compress(planes, asbytes=True)
+def _packed(refs: np.ndarray, ends: list[int]) -> Iterator[bytes]:
+    """By text, numbers of words (other words are odd), byte plane by byte plane, compressed; four bytes of length first."""
+    codes = np.where(refs >= 0, refs.astype(np.int64) * 2, -2 * refs.astype(np.int64) - 1).astype("<u4").view(np.uint8).reshape(-1, 4)
+    for first, last in zip(ends, ends[1:], strict=False):
+        planes = codes[first:last].T.tobytes()
+        yield len(planes).to_bytes(4, "little") + _CODEC.compress(planes, asbytes=True)
 
 
 def _unpacked(packed: pa.BinaryScalar) -> np.ndarray:
@@ -299,7 +300,7 @@ def encode(
                     ends.append(len(words))
                 known = pa.array(words, pa.string()).dictionary_encode()
                 del words
-                hashed = _word_codes(known.dictionary.to_pylist())
+                hashed = _word_codes(known.dictionary)
                 at = np.minimum(np.searchsorted(codes, hashed), max(0, len(codes) - 1))
                 number = np.where(codes[at] == hashed, numbers[at], -1) if len(codes) else np.full(len(hashed), -1)
                 index = known.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -311,7 +312,7 @@ def encode(
                 begins = np.searchsorted(own, np.arange(len(part) + 1) * len(number))
                 refs[rare] = -1 - (back - begins[text])
                 others = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), known.dictionary.take(pa.array(own % max(1, len(number)))))
-                packed = pa.array([_packed(refs[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+                packed = pa.array(_packed(refs, ends), pa.binary())
                 ids = [batch.column(i).slice(first, len(part)) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*ids, packed, others], ["_id", "_uid", "refs", "others"])
                 first += len(part)
