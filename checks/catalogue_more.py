@@ -12,7 +12,7 @@ from ledgerloom.config import LABEL_COLUMNS
 from ledgerloom.functions.vectors import TrainedVectors
 from ledgerloom.operators import approximate, asof, boilerplate, labels, metrics, monitoring, retrieval, suppliers
 from ledgerloom.operators.kept_index import SemanticIndex
-from ledgerloom.scale import shared_root
+from ledgerloom.scale import kept, shared_root
 from ledgerloom.sources import lines as files
 
 
@@ -201,10 +201,12 @@ def csv_lines(spark, sf_dir):
 def csv_missing_columns(spark, sf_dir):
     """One file for each required column that it lacks: what the reader says of it."""
     found = []
-    own = ap_lines(spark, sf_dir)
+    own = kept(ap_lines(spark, sf_dir).select(*files.REQUIRED_COLUMNS))
+    path = shared_path(spark, "lacking")
     for name in files.REQUIRED_COLUMNS:
-        path = shared_path(spark, "lacking")
-        own.select(*[c for c in files.REQUIRED_COLUMNS if c != name]).write.option("header", True).csv(path)
+        # Every file holds all lines: compressed, and in place of the one before, which has been read.
+        lacking = own.select(*[c for c in files.REQUIRED_COLUMNS if c != name])
+        lacking.write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
         try:
             files.load_raw_df(spark, path)
             found.append((name, ""))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 RANK_ROWS = 1_000_000
+#: Strata beyond this size are cut by a digit of the hash before anything is ranked.
+CUT_ROWS = 1_024
 
 
 def small_side(
@@ -53,6 +56,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, for rows that several passes read.
+
+    Unlike a checkpoint it is compressed, and every pass reads only the columns it needs.
+    """
+    path = f"{shared_root(df.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hash_key(column: Column | str, seed: int) -> Column:
     """Reproducible pseudo-random sort key: hex digest of seed and value."""
     value = F.col(column) if isinstance(column, str) else column
@@ -76,9 +89,10 @@ def quota_thresholds(
     ranks per stratum (a short table), ``largest`` the biggest stratum's size.
     No task ever sorts a whole hot stratum: above ``max_rows`` rows it is cut by
     the leading digits of the hash, and only the pieces in which a quota falls
-    are ranked.  Rank 0 gives the empty string, which is below every key.
+    are ranked, so few of the keys are shuffled.  Rank 0 gives the empty string,
+    which is below every key.
     """
-    digits = bucket_digits(largest, max_rows)
+    digits = max(bucket_digits(largest, max_rows), int(largest > CUT_ROWS))
     if digits == 0:
         rank = F.row_number().over(W.partitionBy("stratum").orderBy("key"))
         ranked = keys.withColumn("quota", rank.cast("bigint"))
