@@ -33,7 +33,7 @@ from ledgerloom.operators import errors, inference, labels, metrics, prompts, re
 from ledgerloom.operators.vote import vote
 from ledgerloom.plans import experiments, tuning
 from ledgerloom.plans.models import ForestSettings, LogisticSettings, MlClassifier, fit_text_models
-from ledgerloom.scale import small_side
+from ledgerloom.scale import kept, small_side
 from ledgerloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,20 +72,22 @@ def shared(name: str, spark: SparkSession, sf_dir: str, make: Callable[[], objec
 
 
 def line_split(spark, sf_dir):
-    return shared("split", spark, sf_dir, lambda: split.stratified_random_split(ap_lines(spark, sf_dir)))
+    """The lines' columns that splits and predictions read, joined and written once, as both read them several times."""
+
+    def make():
+        lines = ap_lines(spark, sf_dir).select("line_id", "DETAIL", "SUPPLIER", *FIELDS)
+        return split.stratified_random_split(kept(lines))
+
+    return shared("split", spark, sf_dir, make)
 
 
 def predictions(spark, sf_dir) -> DataFrame:
-    """Supplier-mode predictions of the test lines, kept for all metrics."""
-    return shared(
-        "supplier", spark, sf_dir, lambda: supplier_predictions(line_split(spark, sf_dir)).persist()
-    )
+    """Supplier-mode predictions of the test lines; every metric reads the columns it needs."""
+    return shared("supplier", spark, sf_dir, lambda: supplier_predictions(line_split(spark, sf_dir)))
 
 
 def majority(spark, sf_dir) -> DataFrame:
-    return shared(
-        "majority", spark, sf_dir, lambda: majority_predictions(line_split(spark, sf_dir)).persist()
-    )
+    return shared("majority", spark, sf_dir, lambda: majority_predictions(line_split(spark, sf_dir)))
 
 
 # ---- text ----
@@ -233,7 +235,8 @@ def stratified_split_fallback(spark, sf_dir):
 @query
 def stratified_split_random(spark, sf_dir):
     """Every line a class of its own: no level is possible but the last."""
-    made = split.stratified_random_split(ap_lines(spark, sf_dir).withColumn("NOMINAL", F.col("line_id")))
+    lines = kept(ap_lines(spark, sf_dir).select("line_id", "DEPARTMENT", "TC"))
+    made = split.stratified_random_split(lines.withColumn("NOMINAL", F.col("line_id")))
     return made.data.select("line_id", "split", F.lit(made.level).alias("level"))
 
 

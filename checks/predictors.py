@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.config import LABEL_COLUMNS, REPORT_FIELDS
 from ledgerloom.operators.split import Split
-from ledgerloom.scale import small_side
+from ledgerloom.scale import kept, small_side
 
 COLUMNS = dict(zip(REPORT_FIELDS, LABEL_COLUMNS.values()))
 
@@ -55,11 +55,11 @@ def majority_predictions(split: Split) -> DataFrame:
 
 def supplier_predictions(split: Split) -> DataFrame:
     """The supplier's most frequent label in train, else the overall one."""
-    by_supplier = small_side(_counts(split.train, "SUPPLIER"))
+    by_supplier = kept(_counts(split.train, "SUPPLIER"))
     overall = {r["field"]: r["label"] for r in _mode(
         by_supplier.groupBy("field", "label").agg(F.sum("n").alias("n"))
     ).collect()}
-    modes = small_side(_wide(_mode(by_supplier, "SUPPLIER"), "SUPPLIER", prefix="mode"))
+    modes = small_side(kept(_wide(_mode(by_supplier, "SUPPLIER"), "SUPPLIER", prefix="mode")))
     return split.test.join(modes, "SUPPLIER", "left").select(
         "line_id",
         F.col("DETAIL").alias("detail"),

@@ -85,6 +85,11 @@ def _threshold_split(
     )
 
 
+def _sizes(strata: DataFrame) -> tuple[int, int, int, int]:
+    """Rows, the smallest and the largest stratum's rows, and the number of strata."""
+    return strata.agg(F.coalesce(F.sum("c"), F.lit(0)), F.min("c"), F.max("c"), F.count("*")).first()
+
+
 def stratified_random_split(
     df: DataFrame,
     test_size: float = TEST_SIZE,
@@ -96,20 +101,27 @@ def stratified_random_split(
     """Split on all three labels together, else on one label, else at random.
 
     A level is feasible when every stratum has two rows and both sides have room
-    for every stratum.  ``level`` tells which one was used.
+    for every stratum.  ``level`` tells which one was used.  ``df`` is read several
+    times: a costly one is better kept first.
     """
     joined = F.concat_ws("_", *[_as_text(c) for c in LABEL_COLUMNS.values()])
     levels = [("all_fields", joined), (stratify_by, _as_text(stratify_by)), ("random", F.lit("all"))]
+
+    def feasible(n, smallest, kinds):
+        return smallest >= 2 and kinds <= n_test and kinds <= n - n_test
+
     for name, stratum in levels:
-        strata = small_side(df.groupBy(stratum.alias("stratum")).agg(F.count("*").alias("c")))
-        n, smallest, largest, kinds = strata.agg(
-            F.coalesce(F.sum("c"), F.lit(0)), F.min("c"), F.max("c"), F.count("*")
-        ).first()
+        # Hashes may join strata, never part them: a level they rule out is ruled out, and no names were shuffled.
+        n, smallest, largest, kinds = _sizes(df.groupBy(F.xxhash64(stratum)).agg(F.count("*").alias("c")))
         n_test = math.ceil(test_size * n)
         if n_test == 0 or n_test == n:
             raise ValueError(f"cannot split {n} rows into two non-empty sides")
-        feasible = smallest >= 2 and kinds <= n_test and kinds <= n - n_test
-        if feasible or name == "random":
+        if name == "random":
+            strata = df_of(df, [("all", n)], "stratum string, c bigint")
+        elif feasible(n, smallest, kinds):
+            strata = small_side(df.groupBy(stratum.alias("stratum")).agg(F.count("*").alias("c")))
+            n, smallest, largest, kinds = _sizes(strata)
+        if feasible(n, smallest, kinds) or name == "random":
             data = _threshold_split(
                 df, strata, stratum, n, n_test, largest, id_col, seed, max_rank_rows
             )
