@@ -18,6 +18,10 @@ MISSING = [
 ]
 
 
+#: Rows of an error report that one task writes as one file, if the caller does not say otherwise.
+ONE_FILE_ROWS = 1_000_000
+
+
 def check_columns(columns: list[str]) -> None:
     missing = [c for c in REQUIRED_COLUMNS if c not in columns]
     if missing:
@@ -92,16 +96,20 @@ def report_name(run: str) -> str:
 
 
 def write_error_report(
-    report: DataFrame, folder: str, run: str, single_file: bool = True
+    report: DataFrame, folder: str, run: str, single_file: bool | None = None
 ) -> str:
     """Write error rows as CSV with a header under ``folder``; returns the path.
 
-    ``single_file`` writes one file by one task; without it, each partition
-    writes its own, which is what a very large report needs.
+    ``single_file`` writes one file by one task; with ``False`` each partition
+    writes its own, which is what a very large report needs.  Without a choice a
+    report of at most ONE_FILE_ROWS rows is one file.
     """
     path = f"{folder.rstrip('/')}/{report_name(run)}"
+    if single_file is None:
+        single_file = report.limit(ONE_FILE_ROWS + 1).count() <= ONE_FILE_ROWS
     if single_file:
-        report = report.coalesce(1)
+        # Not coalesce: the task that writes would also compute the whole report.
+        report = report.repartition(1)
     report.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
 
