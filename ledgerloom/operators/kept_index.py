@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, replace
-from math import ceil, isqrt, pi
+from math import isqrt, pi
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -108,8 +108,8 @@ class SemanticIndex:
     def knn(self, queries: DataFrame, k: int = TOP_K, query_id: str = "query_id", block_rows: int = retrieval.BLOCK_ROWS) -> DataFrame:
         """``query_id, idx, distance, similarity, rank``: the exact ``k`` nearest rows, as :func:`retrieval.knn` gives them.
 
-        The query key is unique.  First each query meets one block of a near cell; its k-th distance there
-        bounds the search.  Then it meets all blocks of the cells within that bound; only those are read.
+        The query key is unique.  First each query meets one pack of a near cell; its k-th distance there
+        bounds the search.  Then it meets all rows of the cells within that bound; only those are read.
         """
         return self._knn(queries, k, query_id, block_rows)[0]
 
@@ -118,20 +118,19 @@ class SemanticIndex:
         schema = retrieval._candidate_schema(queries, query_id, self.rows([]))
         if not self.cells or asked.isEmpty():
             return retrieval._no_answers(schema, queries), []
-        cells = {
-            c: retrieval._Cell(n, low, high, ceil(n / block_rows)) for c, (_, n, low, high) in self.cells.items()
-        }
+        sheet_rows = max(block_rows, retrieval.PACK_ROWS)
+        cells = {c: retrieval._Cell(n, low, high) for c, (_, n, low, high) in self.cells.items()}
+        cells = retrieval._pack(cells, self.pivots, sheet_rows)
         is_zero = F.forall("embedding", lambda x: x == 0)
         asking = asked.where(~is_zero)
         near = settle(retrieval._visits(asking, self.pivots, cells, k, True))
-        pilot_cells = [r["cell"] for r in near.select("cell").distinct().collect()]
-        pilot = retrieval._meet(self._blocks(pilot_cells, cells), near, k, schema, cells, block_rows, True)
+        pilot = retrieval._meet(self._blocks(self._asked(near), cells), near, k, schema, sheet_rows)
         found = pilot.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("bound"))
         bound = F.when(F.col("n") >= k, F.col("bound")).otherwise(F.lit(2.0))
         bounded = asking.join(found, "query_id", "left").select("query_id", "embedding", F.coalesce(bound, F.lit(2.0)).alias("bound"))
         visits = settle(retrieval._visits(bounded, self.pivots, cells, k, False))
-        visited = [r["cell"] for r in visits.select("cell").distinct().collect()]  # at most MAX_CELLS
-        met = retrieval._meet(self._blocks(visited, cells), visits, k, schema, cells, block_rows, False)
+        visited = self._asked(visits)
+        met = retrieval._meet(self._blocks(visited, cells), visits, k, schema, sheet_rows)
         zero = asked.where(is_zero)
         if not zero.isEmpty():  # equally far from every row
             visited = sorted(self.cells)
@@ -143,8 +142,12 @@ class SemanticIndex:
 
     def _blocks(self, cells: list[int], known: dict[int, retrieval._Cell]) -> DataFrame:
         rows = self.rows(cells).select("idx", "embedding", "cell")
-        numbered = retrieval._with_number(rows, {c: known[c].blocks for c in cells}, "_blocks")
-        return numbered.select("idx", "embedding", "cell", F.pmod(F.xxhash64("idx"), F.col("_blocks")).cast("int").alias("block"))
+        return retrieval._packed(rows, {c: known[c] for c in cells})
+
+    @staticmethod
+    def _asked(visits: DataFrame) -> list[int]:
+        """The cells that any query asks for, at most MAX_CELLS."""
+        return [r["cell"] for r in visits.select(F.explode("cells").alias("cell")).distinct().collect()]
 
     def retrieve(
         self, queries: DataFrame, k: int = TOP_K, query_id: str = "query_id", min_similarity: float | None = None,

@@ -6,15 +6,17 @@
 places so that the order does not depend on how the work was cut; ties go to the
 smaller ``idx``.  A zero vector is at distance 1 from everything.
 
-Two physical plans give the same rows:
+Three physical plans give the same rows:
 
 * few queries (size checked): the query matrix is broadcast and every task scans
   its part of the index once, keeping ``k`` rows per query.  The index is not
   shuffled.
-* many queries: index rows are grouped around pivots, cells are cut into blocks
-  of bounded size, and a query visits only those cells that the triangle
-  inequality cannot rule out.  Blocks of queries meet blocks of the index by an
-  equi-join on block numbers; a hot cell merely has more blocks.
+* many queries, short index (size checked): the index matrix is broadcast and
+  every task finds the whole answers of its queries, so no candidates are shuffled.
+* many queries: index rows are grouped around pivots, and a query visits only
+  those cells that the triangle inequality cannot rule out.  A large cell is cut
+  into packs of bounded size, small neighbouring cells share one.  Packs of index
+  rows meet sheets of queries by an equi-join on pack numbers.
 
 ``idx`` is unique, and so is the query key.
 """
@@ -22,7 +24,7 @@ Two physical plans give the same rows:
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import ceil, isqrt
 
 import numpy as np
@@ -40,7 +42,10 @@ from ledgerloom.scale import BROADCAST_ROWS, settle, small_side
 PAYLOAD = ("text", *LABEL_COLUMNS)
 BROADCAST_QUERY_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 8192
+#: Rows of the index, and queries, that one comparison of blocks takes: what a smaller ``block_rows`` cuts is put together again.
+PACK_ROWS = BLOCK_ROWS
 TILE = 4_000_000
+TILE_QUERIES = 1024
 DIGITS = 9
 
 
@@ -72,26 +77,50 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
 
-def _best(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The ``k`` best rows for every query, as ``q, idx, distance``; works in tiles."""
-    best = pd.DataFrame({"q": np.empty(0, int), "idx": ids[:0], "distance": np.empty(0)})
-    bound = np.full(len(queries), np.inf)
+def _nearest(distance: np.ndarray, k: int) -> np.ndarray:
+    """Marks the ``k`` smallest members of every row; of equal ones, those further left."""
+    cut = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
+    less, equal = distance < cut, distance == cut
+    wanted = k - less.sum(axis=1, keepdims=True)
+    return less | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= wanted))
+
+
+def _nearest_rows(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the query, number of the row and distance: the ``k`` nearest rows, the earlier of equals, nearest first."""
+    k = min(k, len(rows))
+    best, place = np.full((len(queries), k), np.inf), np.full((len(queries), k), -1)
     step = max(1, TILE // max(1, len(queries)))
     for start in range(0, len(rows), step):
-        tile = rows[start : start + step]
-        distance = np.round(1.0 - tile @ queries.T, DIGITS)
-        if len(tile) > k:
-            limit = np.minimum(bound, np.partition(distance, k - 1, axis=0)[k - 1])
-        else:
-            limit = bound
-        at, q = np.nonzero(distance <= limit)
-        found = pd.DataFrame({"q": q, "idx": ids[start + at], "distance": distance[at, q]})
-        best = pd.concat([best, found]) if len(best) else found
-        best = best.sort_values(["q", "distance", "idx"]).groupby("q", sort=False).head(k)
-        full = best.groupby("q")["distance"].agg(["size", "max"])
-        full = full[full["size"] == k]
-        bound[full.index.to_numpy()] = full["max"].to_numpy()
-    return best
+        distance = np.round(1.0 - queries @ rows[start : start + step].T, DIGITS)
+        near = distance < best[:, -1:]  # an equal distance would lose to the earlier row
+        crowded = np.flatnonzero(near.sum(axis=1) > k)
+        if len(crowded):
+            near[crowded] = _nearest(distance[crowded], k)
+        hit = np.flatnonzero(near.any(axis=1))
+        if len(hit) == 0:
+            continue
+        q, at = np.nonzero(near[hit])
+        counts = np.bincount(q)
+        slot = np.arange(len(q)) - np.repeat(np.cumsum(counts) - counts, counts)
+        new, where = np.full((len(hit), counts.max()), np.inf), np.full((len(hit), counts.max()), -1)
+        new[q, slot], where[q, slot] = distance[hit[q], at], start + at
+        both, places = np.hstack([best[hit], new]), np.hstack([place[hit], where])
+        order = np.argsort(both, axis=1, kind="stable")[:, :k]
+        best[hit], place[hit] = np.take_along_axis(both, order, axis=1), np.take_along_axis(places, order, axis=1)
+    q, rank = np.nonzero(place >= 0)
+    return q, place[q, rank], best[q, rank]
+
+
+def _best(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
+    """The ``k`` best rows for every query, as ``q, idx, distance`` in order of rank; works in tiles."""
+    order = np.argsort(ids, kind="stable")  # so that the earlier of equals has the smaller key
+    rows, ids = rows[order], ids[order]
+    parts = []
+    for start in range(0, len(queries), TILE_QUERIES):
+        q, at, distance = _nearest_rows(queries[start : start + TILE_QUERIES], rows, k)
+        parts.append((q + start, ids[at], distance))
+    q, idx, distance = (np.concatenate(p) for p in zip(*parts)) if parts else (np.empty(0, int), ids[:0], np.empty(0))
+    return pd.DataFrame({"q": q, "idx": idx, "distance": distance})
 
 
 def _vectors(rows: np.ndarray) -> pa.Array:
@@ -146,17 +175,74 @@ def _scan_with_queries(
     return index.select("idx", "embedding").mapInArrow(scan, schema)
 
 
-# ---- plan 2: pivots and blocks ----
+# ---- plan 2: broadcast index ----
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """Vectors over as many tasks as their comparisons ask for, however few files or row groups they came in."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, ceil(df.count() / PACK_ROWS))
+    return df.repartition(tasks)
+
+
+def _scan_with_index(queries: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, schema: T.StructType) -> DataFrame:
+    """The answers of every query with their rank; the query key is unique."""
+    shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
+    schema = T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())])
+    arrow_schema = to_arrow_schema(schema)
+    width = max(1, min(k, len(ids)))
+    step = max(1, min(TILE_QUERIES, TILE // width))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rows = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                best = _best(_matrix(part.column("embedding")), rows, keys, k)
+                q = best["q"].to_numpy()
+                rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("query_id").take(pa.array(q)),
+                        pa.array(best["idx"].to_numpy(), type=arrow_schema.field("idx").type),
+                        pa.array(best["distance"].to_numpy()),
+                        pa.array(rank.astype(np.int32)),
+                    ],
+                    schema=arrow_schema,
+                )
+
+    return _dealt(queries.select("query_id", "embedding")).mapInArrow(scan, schema)
+
+
+# ---- plan 3: pivots and packs ----
 
 
 @dataclass
 class _Cell:
-    """Size and angular range of the index rows nearest to one pivot."""
+    """Size and angular range of the index rows nearest to one pivot, and the numbers of its packs."""
 
     rows: int
     low: float
     high: float
-    blocks: int
+    first: int = 0
+    packs: int = 1
+
+
+def _pack(cells: dict[int, _Cell], pivots: np.ndarray, rows: int) -> dict[int, _Cell]:
+    """``cells`` with pack numbers and in their order: a large cell has packs of its own, small ones near each other share one."""
+    leaders = pivots[: max(1, isqrt(len(pivots)))]
+    group = (pivots @ leaders.T).argmax(axis=1)
+    out, number, room = {}, -1, 0
+    for c in sorted(cells, key=lambda c: (int(group[c]) if c >= 0 else -1, c)):
+        cell = cells[c]
+        if cell.rows > rows:
+            out[c] = replace(cell, first=number + 1, packs=ceil(cell.rows / rows))
+            number, room = number + out[c].packs, 0
+        else:
+            if cell.rows > room:
+                number, room = number + 1, rows
+            out[c] = replace(cell, first=number, packs=1)
+            room -= cell.rows
+    return out
 
 
 def _angle(cosine: np.ndarray) -> np.ndarray:
@@ -214,7 +300,7 @@ def _to_cells(index: DataFrame, pivots: np.ndarray, leaders: int | None = None)
 def _visits(
     queries: DataFrame, pivots: np.ndarray, cells: dict[int, _Cell], k: int, pilot: bool
 ) -> DataFrame:
-    """The cells every query has to look into, as ``query_id, embedding, cell``.
+    """The packs every query has to look into, as ``query_id, embedding, pack``, and the ``cells`` there that it asks for.
 
     The pilot visit is one cell near the query that holds rows; its k-th distance
     (column ``bound``, missing in the pilot) then rules out cells.
@@ -224,16 +310,17 @@ def _visits(
         [
             queries.schema["query_id"],
             T.StructField("embedding", T.ArrayType(T.DoubleType())),
-            T.StructField("cell", T.IntegerType()),
+            T.StructField("pack", T.IntegerType()),
+            T.StructField("cells", T.ArrayType(T.IntegerType())),
         ]
     )
     arrow_schema = to_arrow_schema(schema)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points, known = shared.value
-        names = np.array(sorted(known))
-        low = np.array([known[c].low for c in names])
-        high = np.array([known[c].high for c in names])
+        names = np.array(list(known))  # in the order of their packs
+        low, high = (np.array([getattr(c, name) for c in known.values()]) for name in ("low", "high"))
+        first, packs = (np.array([getattr(c, name) for c in known.values()]) for name in ("first", "packs"))
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -243,20 +330,32 @@ def _visits(
             toward = np.where(names >= 0, angles[:, np.maximum(names, 0)], 0.0)
             nearest = np.maximum(np.maximum(toward - high, low - toward), 0.0)
             if pilot:
-                # Of cells that may hold the query, the one with the nearest pivot.
+                # Of cells that may hold the query, the one with the nearest pivot; of its packs, any one.
                 at, which = np.arange(len(rows)), (nearest + 1e-6 * toward).argmin(axis=1)
+                pack = first[which] + at % packs[which]
             else:
                 bound = batch.column("bound").to_numpy(zero_copy_only=False)
                 # One unit in the last rounded place, and the error of arccos.
                 reach = _angle(1.0 - (bound + 10.0**-DIGITS)) + 1e-6
                 at, which = np.nonzero(nearest <= reach[:, None])
-            for start in range(0, len(at), BLOCK_ROWS):
-                part = at[start : start + BLOCK_ROWS]
+                times = packs[which]
+                at, which, pack = np.repeat(at, times), np.repeat(which, times), np.repeat(first[which], times)
+                pack = pack + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            # A query asks a pack once, whatever the number of its cells.
+            begins = np.flatnonzero(np.r_[True, (np.diff(at) != 0) | (np.diff(pack) != 0)]) if len(at) else at
+            ends = np.r_[begins, len(at)]
+            for start in range(0, len(begins), BLOCK_ROWS):
+                some = begins[start : start + BLOCK_ROWS]
+                edges = ends[start : start + len(some) + 1]
+                asked = pa.ListArray.from_arrays(
+                    pa.array((edges - edges[0]).astype(np.int32)), pa.array(names[which[edges[0] : edges[-1]]].astype(np.int32))
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("query_id").take(pa.array(part)),
-                        _vectors(rows[part]).cast(arrow_schema.field("embedding").type),
-                        pa.array(names[which[start : start + BLOCK_ROWS]].astype(np.int32)),
+                        batch.column("query_id").take(pa.array(at[some])),
+                        _vectors(rows[at[some]]).cast(arrow_schema.field("embedding").type),
+                        pa.array(pack[some].astype(np.int32)),
+                        asked.cast(arrow_schema.field("cells").type),
                     ],
                     schema=arrow_schema,
                 )
@@ -265,43 +364,34 @@ def _visits(
     return queries.select(*columns).mapInArrow(visit, schema)
 
 
-def _with_number(df: DataFrame, numbers: dict[int, int], name: str) -> DataFrame:
-    """Add a number per cell.  There is one cell per pivot, about the root of the index's rows at most."""
-    rows = [(int(c), int(v)) for c, v in numbers.items()]
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, f"cell int, {name} int")), "cell")
+def _with_number(df: DataFrame, numbers: dict[int, tuple[int, ...]], key: str, *names: str) -> DataFrame:
+    """Add numbers per cell or pack.  There is one cell per pivot, about the root of the index's rows at most."""
+    rows = [(int(c), *map(int, v)) for c, v in numbers.items()]
+    schema = ", ".join(f"{name} int" for name in (key, *names))
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, schema)), key)
 
 
-def _meet(
-    blocks: DataFrame, visits: DataFrame, k: int, schema: T.StructType,
-    cells: dict[int, _Cell], block_rows: int, one_block: bool,
-) -> DataFrame:
-    """Compare every visiting block of queries with every block of the visited cell.
+def _packed(placed: DataFrame, cells: dict[int, _Cell]) -> DataFrame:
+    """``idx, embedding, pack`` of the rows in ``cells``."""
+    numbered = _with_number(placed, {c: (v.first, v.packs) for c, v in cells.items()}, "cell", "_first", "_packs")
+    own = F.col("_first") + F.pmod(F.xxhash64("idx"), F.col("_packs")).cast("int")
+    return numbered.select("idx", "embedding", own.alias("pack"))
+
 
-    A group is one block of the index and one block of queries, both of bounded
-    size.  With ``one_block`` a query sees a single block of its cell.
+def _meet(blocks: DataFrame, visits: DataFrame, k: int, schema: T.StructType, sheet_rows: int) -> DataFrame:
+    """Compare every sheet of the queries that visit a pack with the pack's rows.
+
+    A group is one pack and one sheet, both of bounded size.
     """
-    counts = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    sheets = {c: max(1, ceil(counts.get(c, 0) / block_rows)) for c in cells}
-    splits = {c: cell.blocks for c, cell in cells.items()}
-    spread = F.xxhash64("query_id")
-    if one_block:
-        block = F.array(F.pmod(spread, F.col("_splits")).cast("int"))
-    else:
-        block = F.sequence(F.lit(0), F.col("_splits") - 1)
+    sheets = {r["pack"]: (ceil(r["n"] / sheet_rows),) for r in visits.groupBy("pack").agg(F.count("*").alias("n")).collect()}
     sheet = F.pmod(F.xxhash64("query_id", F.lit(1)), F.col("_sheets")).cast("int")
-    asking = _with_number(_with_number(visits, splits, "_splits"), sheets, "_sheets")
-    asking = asking.withColumn("sheet", sheet).withColumn("block", F.explode(block))
-    asking = asking.select("query_id", "embedding", "cell", "block", "sheet")
-    visited = {c: n for c, n in sheets.items() if c in counts}
-    answering = _with_number(blocks, visited, "_sheets").withColumn(
-        "sheet", F.explode(F.sequence(F.lit(0), F.col("_sheets") - 1))
-    )
-    keys = ["cell", "block", "sheet"]
-    return (
-        asking.groupBy(*keys)
-        .cogroup(answering.select("idx", "embedding", *keys).groupBy(*keys))
-        .applyInArrow(_comparer(k, schema), schema)
+    asking = _with_number(visits.select("query_id", "embedding", "pack"), sheets, "pack", "_sheets")
+    asking = asking.select("query_id", "embedding", "pack", sheet.alias("sheet"))
+    answering = _with_number(blocks, sheets, "pack", "_sheets").select(
+        "idx", "embedding", "pack", F.explode(F.sequence(F.lit(0), F.col("_sheets") - 1)).alias("sheet")
     )
+    keys = ["pack", "sheet"]
+    return asking.groupBy(*keys).cogroup(answering.groupBy(*keys)).applyInArrow(_comparer(k, schema), schema)
 
 
 def _comparer(k: int, schema: T.StructType):
@@ -364,14 +454,11 @@ def _pruned_blocks(
     )
     cells = {}
     for row in sizes.collect():  # one row per pivot
-        blocks = ceil(row["n"] / block_rows)
-        if row["cell"] < 0:
-            cells[-1] = _Cell(row["n"], np.pi / 2, np.pi / 2, blocks)
-        else:
-            cells[row["cell"]] = _Cell(row["n"], row["low"], row["high"], blocks)
-    numbered = _with_number(placed, {c: v.blocks for c, v in cells.items()}, "_blocks")
-    split = F.pmod(F.xxhash64("idx"), F.col("_blocks")).cast("int")
-    blocks = numbered.select("idx", "embedding", "cell", split.alias("block"))
+        low, high = (np.pi / 2, np.pi / 2) if row["cell"] < 0 else (row["low"], row["high"])
+        cells[row["cell"]] = _Cell(row["n"], low, high)
+    rows = max(block_rows, PACK_ROWS)
+    cells = _pack(cells, pivots, rows)
+    blocks = _packed(placed, cells)
 
     # All rows are equally far from a zero query: its answer is the same k rows.
     zero = queries.where(is_zero)
@@ -380,13 +467,11 @@ def _pruned_blocks(
     answered = zero.select("query_id", F.explode(same).alias("idx"), F.lit(1.0).alias("distance"))
 
     asking = queries.where(~is_zero)
-    pilot = _meet(
-        blocks, _visits(asking, pivots, cells, k, True), k, schema, cells, block_rows, True
-    )
+    pilot = _meet(blocks, _visits(asking, pivots, cells, k, True), k, schema, rows)
     found = pilot.groupBy("query_id").agg(
         F.count("*").alias("n"), F.max("distance").alias("bound")
     )
-    # Too few rows in the pilot block: nothing can be ruled out.
+    # Too few rows in the pilot's pack: nothing can be ruled out.
     bound = F.when(F.col("n") >= k, F.col("bound")).otherwise(F.lit(2.0))
     bounded = settle(
         asking.join(found, "query_id", "left").select(
@@ -394,7 +479,7 @@ def _pruned_blocks(
         )
     )
     visits = _visits(bounded, pivots, cells, k, False)
-    full = _meet(blocks, visits, k, schema, cells, block_rows, False)
+    full = _meet(blocks, visits, k, schema, rows)
     return full.unionByName(answered)
 
 
@@ -419,7 +504,8 @@ def knn(
     """``query_id, idx, distance, similarity, rank``: the ``k`` nearest index rows.
 
     Fewer than ``k`` rows come back only when the index is smaller than ``k``.
-    ``method`` is ``auto``, ``broadcast`` or ``blocks``.
+    ``method`` is ``auto``, ``broadcast`` or ``blocks``; ``block_rows`` is about the
+    size of the cells that ``blocks`` rules out one by one.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), "embedding")
     schema = _candidate_schema(queries, query_id, index)
@@ -431,12 +517,20 @@ def knn(
         dim = len(head[0])
         cap = max(1, broadcast_bytes // (8 * dim))
         table = asked.limit(cap + 1).toArrow()
+        few = table.num_rows <= cap and table.num_rows * k <= BROADCAST_ROWS
+        if not few and method == "auto":
+            short = index.select("idx", "embedding").limit(cap + 1).toArrow()
+            # The answers of a query key that occurs twice are ranked together, below.
+            if 0 < short.num_rows <= cap and asked.groupBy("query_id").count().where("count > 1").isEmpty():
+                ids = _ids(short.column("idx").combine_chunks())
+                found = _scan_with_index(asked, ids, _matrix(short.column("embedding")), k, schema)
+                return found.withColumn("similarity", 1 - F.col("distance"))
         if table.num_rows <= cap:
             ids = table.column("query_id").combine_chunks()
+            scanned = index if few else _dealt(index.select("idx", "embedding"))
             candidates = _scan_with_queries(
-                index, ids, _matrix(table.column("embedding")), k, schema
+                scanned, ids, _matrix(table.column("embedding")), k, schema
             )
-            few = table.num_rows * k <= BROADCAST_ROWS
         elif method == "broadcast":
             raise ValueError(f"more than {cap} queries; use method='blocks'")
     if candidates is None:

@@ -2,11 +2,12 @@
 
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from checks import catalogue
-from ledgerloom.operators import split
+from ledgerloom.operators import retrieval, split
 from ledgerloom.scale import quota_thresholds, shared_root
 from ledgerloom.sources import lines as files
 
@@ -92,3 +93,72 @@ def test_a_large_report_is_written_by_several_tasks(spark, tmp_path, monkeypatch
     numbers = [len(spark.read.csv(p).inputFiles()) for p in (few, many, one)]
     assert numbers[0] == 1 and numbers[1] > 1 and numbers[2] == 1
     assert files.read_error_report(spark, many).count() == 100
+
+
+# ---- neighbours ----
+
+
+def brute_force(queries, rows, ids, k):
+    distance = np.round(1.0 - queries @ rows.T, retrieval.DIGITS)
+    return [(q, ids[i], distance[q, i]) for q in range(len(queries)) for i in np.lexsort((ids, distance[q]))[:k]]
+
+
+@pytest.mark.parametrize("tile", [40, 4_000_000])
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_best_rows_with_many_equal_distances(monkeypatch, tile, k):
+    monkeypatch.setattr(retrieval, "TILE", tile)
+    monkeypatch.setattr(retrieval, "TILE_QUERIES", 7)
+    rng = np.random.default_rng(1)
+    rows = np.eye(4)[rng.integers(0, 4, 30)]
+    rows[5:15] = 0
+    queries = np.vstack([np.eye(4), np.zeros((3, 4)), np.full((4, 4), 0.5)])
+    ids = rng.permutation(30)
+    found = retrieval._best(queries, rows, ids, k)
+    assert [tuple(r) for r in found.itertuples(index=False)] == brute_force(queries, rows, ids, k)
+
+
+def test_equal_distances_are_not_all_kept(monkeypatch):
+    """A zero query is equally far from every row: only its k answers are sorted."""
+    most = []
+    real = np.argsort
+    monkeypatch.setattr(retrieval.np, "argsort", lambda a, **kw: most.append(a.shape[-1]) or real(a, **kw))
+    retrieval._best(np.zeros((5, 4)), np.eye(4)[np.arange(4000) % 4], np.arange(4000), 5)
+    assert max(most[1:]) <= 10
+
+
+@pytest.mark.parametrize("pack_rows", [3, 16, 1000])
+def test_packs_of_small_and_large_cells_are_exact(spark, monkeypatch, pack_rows):
+    monkeypatch.setattr(retrieval, "PACK_ROWS", pack_rows)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(5, 6))
+    vectors = centres[rng.integers(0, 5, 150)] + 0.05 * rng.normal(size=(150, 6))
+    vectors[:12] = 0
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "idx long, embedding array<double>")
+    asked = df.where("idx % 4 = 0").withColumnRenamed("idx", "query_id")
+    columns = ["query_id", "idx", "rank"]
+    found = [sorted(tuple(r) for r in retrieval.knn(asked, df, 4, method=m, block_rows=2).select(columns).collect()) for m in ("blocks", "broadcast")]
+    assert found[0] == found[1] and len(found[0]) == 38 * 4
+
+
+def test_small_blocks_are_compared_together(spark):
+    """Cells of two rows: many cells, one pack, and each query meets it once."""
+    pivots = np.eye(8)
+    cells = retrieval._pack({c: retrieval._Cell(2, 0.0, 1.6) for c in range(8)}, pivots, 1000)
+    assert {c.first for c in cells.values()} == {0}
+    asked = spark.createDataFrame([(i, [1.0] * 8, 2.0) for i in range(5)], "query_id long, embedding array<double>, bound double")
+    visits = retrieval._visits(asked, pivots, cells, 3, False).collect()
+    assert len(visits) == 5 and all(sorted(v["cells"]) == list(range(8)) for v in visits)
+
+
+def test_large_answers_from_a_short_index_are_not_ranked_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 10)
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(60, 3)))], "idx long, embedding array<double>")
+    asked = df.withColumnRenamed("idx", "query_id")
+    found = retrieval.knn(asked, df, 20)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    plain = retrieval.knn(asked, df, 20, method="broadcast")
+    rows = lambda d: sorted((r["query_id"], r["rank"], r["idx"], r["distance"]) for r in d.collect())
+    assert rows(found) == rows(plain)
+    twice = asked.unionByName(asked)  # a repeated key is ranked over all its rows, as by the other plans
+    assert rows(retrieval.knn(twice, df, 20)) == rows(retrieval.knn(twice, df, 20, method="broadcast"))
