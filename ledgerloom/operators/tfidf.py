@@ -6,10 +6,13 @@ sublinear, and unit length per row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
@@ -20,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerloom.functions.text import add_terms
 from ledgerloom.scale import small_side
@@ -87,11 +91,20 @@ def tfidf_vocabulary(
 _ENTRY = T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("weight", T.DoubleType())])
 
 
-@F.pandas_udf(T.ArrayType(_ENTRY))
-def _entries(vectors: pd.DataFrame) -> pd.Series:
-    """A vector column arrives as its parts, one column each."""
-    pairs = zip(vectors["indices"], vectors["values"])
-    return pd.Series([[{"idx": int(i), "weight": float(w)} for i, w in zip(*p)] for p in pairs])
+def _entries(df: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """``(id, entries)``: the places and values of sparse vectors, which arrive as their parts; nothing is done per entry."""
+    schema = T.StructType([df.schema[id_col], T.StructField("entries", T.ArrayType(_ENTRY))])
+    arrow_schema = to_arrow_schema(schema)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            indices, values = (pc.struct_field(batch.column(1), name) for name in ("indices", "values"))
+            entries = pa.StructArray.from_arrays([indices.flatten(), values.flatten()], ["idx", "weight"])
+            offsets = np.r_[0, np.cumsum(indices.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), entries)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists.cast(arrow_schema.field("entries").type)], schema=arrow_schema)
+
+    return df.select(id_col, vector).mapInArrow(parts, schema)
 
 
 def tfidf_weights(
@@ -111,7 +124,7 @@ def tfidf_weights(
     names = [(i, term) for i, term in enumerate(model.terms)]
     # At most max_features rows.
     terms = F.broadcast(df.sparkSession.createDataFrame(names, "idx int, term string"))
-    found = model.transform(df.select(id_col, text)).select(id_col, F.explode(_entries("_weights")).alias("e"))
+    found = _entries(model.transform(df.select(id_col, text)), id_col, "_weights").select(id_col, F.explode("entries").alias("e"))
     return found.select(id_col, "e.idx", "e.weight").join(terms, "idx").select(id_col, "term", "idx", "weight")
 
 

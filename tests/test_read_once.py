@@ -95,6 +95,17 @@ def test_a_large_report_is_written_by_several_tasks(spark, tmp_path, monkeypatch
     assert files.read_error_report(spark, many).count() == 100
 
 
+def test_texts_read_several_times_are_kept(spark, tables):
+    for name in ("stripped_text", "trained_vectors"):
+        found = catalogue.QUERIES[name](spark, tables)
+        assert all("/kept-" in f for f in found.inputFiles()) and found.inputFiles()
+
+
+def test_vectors_are_compared_without_sorting_rows(spark, tables):
+    plan = catalogue.QUERIES["trained_vectors"](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
 # ---- neighbours ----
 
 
