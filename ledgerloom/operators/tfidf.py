@@ -206,24 +206,19 @@ def text_statistics(
 ) -> DataFrame:
     """``(term, df, cf)`` straight from a text column, optionally per group ``by``.
 
-    A row adds one to ``df`` at the first place of a term, found by comparing
-    neighbours in its sorted terms, so no row key and no distinct count is needed
-    and only per-term sums are shuffled.
+    A row lists its distinct terms and, only if some repeat, all its terms behind
+    them, so no row key and no distinct count is needed, nothing is sorted and
+    only per-term sums are shuffled.
     """
     by = by or []
-    ordered = add_terms(df.select(*by, text), text, ngram_range).withColumn(
-        "terms", F.sort_array("terms")
-    )
-    before = F.array_prepend("terms", F.lit(None).cast("string"))
-    marked = F.transform(
-        F.arrays_zip(F.col("terms").alias("term"), before.alias("before")),
-        lambda t: F.struct(
-            t["term"].alias("term"), (~F.equal_null(t["term"], t["before"])).alias("first")
-        ),
-    )
+    termed = add_terms(df.select(*by, text), text, ngram_range).withColumn("_once", F.array_distinct("terms"))
+    repeats = F.size("_once") < F.size("terms")
+    listed = F.when(repeats, F.concat("_once", "terms")).otherwise(F.col("terms"))
+    listed = termed.select(*by, F.size("_once").alias("_kinds"), repeats.alias("_repeats"), listed.alias("_listed"))
+    first = F.col("_at") < F.col("_kinds")
     return (
-        ordered.select(*by, F.explode_outer(marked).alias("t"))
-        .where(F.col("t.term").isNotNull())
-        .groupBy(*by, "t.term")
-        .agg(F.count_if("t.first").alias("df"), F.count("*").alias("cf"))
+        listed.select(*by, "_kinds", "_repeats", F.posexplode_outer("_listed").alias("_at", "term"))
+        .where(F.col("term").isNotNull())
+        .groupBy(*by, "term")
+        .agg(F.count_if(first).alias("df"), F.count_if(~first | ~F.col("_repeats")).alias("cf"))
     )

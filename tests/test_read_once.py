@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import catalogue
-from ledgerloom.operators import retrieval, split
+from ledgerloom.operators import retrieval, split, tfidf
 from ledgerloom.scale import quota_thresholds, shared_root
 from ledgerloom.sources import lines as files
 
@@ -173,3 +173,13 @@ def test_large_answers_from_a_short_index_are_not_ranked_by_shuffle(spark, monke
     assert rows(found) == rows(plain)
     twice = asked.unionByName(asked)  # a repeated key is ranked over all its rows, as by the other plans
     assert rows(retrieval.knn(twice, df, 20)) == rows(retrieval.knn(twice, df, 20, method="broadcast"))
+
+
+def test_terms_are_counted_without_sorting(spark):
+    df = spark.createDataFrame([("x", "aa bb aa"), ("x", "bb cc"), ("y", "aa aa aa"), ("y", None), ("y", "")], "side string, text string")
+    found = tfidf.text_statistics(df, "text", (1, 2), by=["side"])
+    assert "sort_array" not in found._jdf.queryExecution().analyzed().toString()
+    assert {(r["side"], r["term"]): (r["df"], r["cf"]) for r in found.collect()} == {
+        ("x", "aa"): (1, 2), ("x", "bb"): (2, 2), ("x", "cc"): (1, 1), ("x", "aa bb"): (1, 1), ("x", "bb aa"): (1, 1), ("x", "bb cc"): (1, 1),
+        ("y", "aa"): (1, 3), ("y", "aa aa"): (1, 2),
+    }
