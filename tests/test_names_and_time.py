@@ -157,6 +157,14 @@ def test_trained_vectors_of_near_texts_are_nearer(spark):
     assert one[0] @ one[1] > 0.3 + one[0] @ one[2]
 
 
+def test_vectors_are_learned_from_every_text(spark):
+    # Each word but two is in two texts only: a text left out costs a word.
+    texts = spark.range(240_000).select(F.concat(F.lit("word"), F.expr("id div 2"), F.lit(" side"), F.expr("id % 2")).alias("text"))
+    model = TrainedVectors.fit(texts.union(texts), "text", dim=2)
+    assert model.model.getVectors().count() == 120_002
+    assert model.transform(texts, "text").where("embedding = array(0D, 0D)").count() == 0
+
+
 def test_clusters_are_those_of_plain_rounds(spark):
     rng = np.random.default_rng(3)
     points = np.vstack([rng.normal(c, 0.2, (40, 3)) for c in (-2, 0, 2)])
